@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def text_batches(it: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4
     """Slices whose ``column`` holds about ``most_bytes`` of text, or a single longer text."""
     for b in it:
         col = b.column(b.schema.get_field_index(column))
-        sizes = pa.compute.binary_length(col).fill_null(0).to_pylist()
+        sizes = pc.binary_length(col).fill_null(0).to_pylist()
         at, held = 0, 0
         for k, n in enumerate(sizes):
             if k > at and held + n > most_bytes:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import secret_scan
+from lumiframe.llm import packing, secret_scan, tokens
 
 
 def queries() -> dict:
     return {
+        "op2_token_counts": tokens.op2_token_counts,
+        "op5_packing": packing.op5_packing,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 

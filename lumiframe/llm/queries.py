@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import packing, secret_scan, tokens
+from lumiframe.llm import packing, secret_scan, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op5_packing": packing.op5_packing,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import packing, secret_scan, simhash, tokens
+from lumiframe.llm import language_id, packing, secret_scan, simhash, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_token_counts": tokens.op2_token_counts,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op5_packing": packing.op5_packing,

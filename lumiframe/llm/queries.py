@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import language_id, packing, secret_scan, simhash, tokens
+from lumiframe.llm import html_extract, language_id, packing, secret_scan, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_token_counts": tokens.op2_token_counts,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op5_packing": packing.op5_packing,
+        "op6_html_extraction": html_extract.op6_html_extraction,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 

@@ -58,13 +58,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int, col: int = 0) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows, so that the Python objects made from one stay bounded."""
-    for b in it:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def text_batches(it: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices whose ``column`` holds about ``most_bytes`` of text, or a single longer text."""
     for b in it:
@@ -86,7 +79,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count())) if n.lower() not in have)
 
 
-def filter_rows(df: DataFrame, text: str, keep: Callable[[list], list[bool]], need: str | None = None) -> DataFrame:
+def filter_rows(df: DataFrame, text: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of ``df`` for which ``keep`` (a list of texts to a list of flags) holds; no shuffle, columns untouched."""
     at = df.columns.index(text)
 

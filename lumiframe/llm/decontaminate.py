@@ -16,6 +16,7 @@ Every candidate is verified by the exact word edit distance of the whole item to
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,9 +33,11 @@ from lumiframe.llm.common import table, text_batches
 SIMILARITY = 0.8
 #: Items of fewer words say too little to be told from chance and are passed over.
 LEAST_WORDS = 5
-ITEMS_PER_PASS = 5_000
-WALKS = 4
+ITEMS_PER_PASS = 2_000
+WALKS = 2
 SAMPLED = 4
+#: Candidates whose whole embeddings differ in a larger share of the steps aren't verified; unrelated windows differ in nearly all.
+MOST_DIFFERING = 0.8
 TARGET_RECALL = 0.95
 SEED = 20_241
 
@@ -88,30 +91,35 @@ class Plan:
     @staticmethod
     def of(w: int, walks: int = WALKS, bands: int | None = None, sampled: int = SAMPLED) -> Plan:
         rng = np.random.default_rng([SEED, w])
-        steps = 2 * w  # half the steps move on, so the walk stands at the window's end by then
+        steps = w + w // 2
         each = -(-(bands or bands_for()) // walks)
         return Plan(w, [(rng.integers(0, 1 << 63, steps, np.uint64) * np.uint64(2) + np.uint64(1), np.stack([np.sort(rng.choice(steps, min(sampled, steps), replace=False)) for _ in range(each)])) for _ in range(walks)])
 
-    def keys(self, ids: np.ndarray, mixed: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Hashes (windows x bands) of the sampled symbols; ``mixed`` are the mixed ids that give the walk's bits."""
-        out = []
-        for n, (mult, bands) in enumerate(self.walks):
-            at, end = starts.copy(), starts + self.w
-            acc = [np.full(len(starts), np.uint64((n * 64 + b + 1) * 1_000_003 + self.w)) for b in range(len(bands))]
-            needed = {}
-            for b, steps in enumerate(bands):
-                for s in steps:
-                    needed.setdefault(int(s), []).append(b)
-            for s in range(max(needed) + 1):
-                inside = at < end
-                here = np.minimum(at, end - 1)
-                if s in needed:
-                    symbol = np.where(inside, ids[here].astype(np.uint64) + np.uint64(1), np.uint64(0))
-                    for b in needed[s]:
-                        acc[b] = _mixed(acc[b] ^ symbol)
-                at = at + (inside & ((mixed[here] * mult[s]) >> np.uint64(63)).astype(bool))
-            out += acc
-        return np.stack(out, axis=1) if len(starts) else np.zeros((0, sum(len(b) for _, b in self.walks)), np.uint64)
+    def embed(self, walk: int, ids: np.ndarray, mixed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Embeddings (steps x windows) of the windows at ``starts``; ``mixed`` are the mixed ids that give the walk's bits. Past its window's end a walk writes -1."""
+        mult = self.walks[walk][0]
+        at, last = starts.copy(), starts + (self.w - 1)
+        out = np.empty((len(mult), len(starts)), np.int32)
+        for s, m in enumerate(mult):
+            # half the steps move on, so within 1.5 w steps a walk hardly ever passes its window's end
+            over = at > last
+            here = np.minimum(at, last) if over.any() else at
+            out[s] = ids[here]
+            if here is not at:
+                out[s][over] = -1
+            at = at + ((mixed[here] * m) >> np.uint64(63)).view(np.int64)
+        return out
+
+    def keys(self, walk: int, emb: np.ndarray) -> np.ndarray:
+        """Hashes (bands x windows) of the sampled steps."""
+        out = np.empty((len(self.walks[walk][1]), emb.shape[1]), np.uint64)
+        for b, steps in enumerate(self.walks[walk][1]):
+            acc = np.full(emb.shape[1], (walk * 64 + b + 1) * 1_000_003 + self.w, np.uint64)
+            for s in steps:
+                acc *= np.uint64(0x100000001B3)
+                acc += emb[s].view(np.uint32)
+            out[b] = _mixed(acc)
+        return out
 
 
 def edit_search(item: list, text: list) -> tuple[int, int]:
@@ -156,7 +164,7 @@ class Index:
     vocabulary: dict[str, int]
     items: list[tuple[object, list[int]]]
     plans: dict[int, Plan]
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]  # sorted keys, item, shift, most edits in the class
+    tables: dict[int, tuple]  # sorted keys, sub-window of each; item and shift of each sub-window, its embeddings by walk, most edits in the class
     similarity: float
 
     @staticmethod
@@ -173,51 +181,58 @@ class Index:
         tables = {}
         for w, members in found.items():
             plan = plans[w] = Plan.of(w, bands=bands)
-            keys, who, shift = [], [], []
-            for k in members:
-                ids = np.array(items[k][1], np.int64)
-                starts = np.arange(len(ids) - w + 1)
-                got = plan.keys(ids, _mixed(ids.astype(np.uint64)), starts)
-                keys.append(got.ravel())
-                who.append(np.full(got.size, k, np.int32))
-                shift.append(np.repeat(starts, got.shape[1]).astype(np.int32))
-            keys, who, shift = map(np.concatenate, (keys, who, shift))
+            lens = [len(items[k][1]) for k in members]
+            ids = np.concatenate([np.array(items[k][1], np.int64) for k in members])
+            base = np.cumsum([0, *lens[:-1]])
+            who = np.repeat(np.array(members, np.int32), [n - w + 1 for n in lens])
+            shift = np.concatenate([np.arange(n - w + 1) for n in lens])
+            starts = np.repeat(base, [n - w + 1 for n in lens]) + shift
+            embs = [plan.embed(v, ids, _mixed(ids.astype(np.uint64)), starts) for v in range(len(plan.walks))]
+            keys = np.concatenate([plan.keys(v, e).ravel() for v, e in enumerate(embs)])
+            sub = np.concatenate([np.tile(np.arange(len(starts), dtype=np.int32), len(b)) for _, b in plan.walks])
             order = np.argsort(keys, kind="stable")
-            tables[w] = keys[order], who[order], shift[order], max(edits_allowed(len(items[k][1]), similarity) for k in members)
+            tables[w] = keys[order], sub[order], who, shift, embs, max(edits_allowed(n, similarity) for n in lens)
         return Index(vocabulary, items, plans, tables, similarity)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) of every match in a batch of texts."""
         if not self.tables:
             return []
-        pad = max(t[3] for t in self.tables.values()) + 1
-        get, parts, starts_of, at = self.vocabulary.get, [], [], 0
+        pad = max(t[-1] for t in self.tables.values()) + 1
+        get, none, parts, starts_of, at = self.vocabulary.get, itertools.repeat(0), [], [], 0
+        gap = np.zeros(pad, np.int32)  # more unknown words than a window may hold: none spans two texts
         for t in texts:
-            ids = [get(w, 0) for w in words_of(t)]
+            ids = np.array(list(map(get, words_of(t), none)), np.int32)
             starts_of.append(at)
-            parts += (ids, [0] * pad)  # more unknown words than a window may hold: none spans two texts
+            parts += (ids, gap)
             at += len(ids) + pad
-        ids = np.fromiter((x for p in parts for x in p), np.int64, at)
+        ids = np.concatenate(parts)
         if not ids.any():
             return []
+        most = max(self.tables)
+        ids = np.concatenate((ids, np.zeros(most, np.int32)))
         mixed = _mixed(ids.astype(np.uint64))
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         found = set()
-        for w, (keys, who, shift, edits) in self.tables.items():
-            ext = np.concatenate((ids, np.zeros(w, np.int64)))
+        for w, (keys, sub, who, shift, embs, edits) in self.tables.items():
             every = np.concatenate([np.arange(s, s + max(1, len(p)), stride(w)) for s, p in zip(starts_of, parts[::2], strict=True)])
-            stop = np.minimum(every + w, at)
-            every = every[unknown[stop] - unknown[every] + (every + w - stop) <= edits]
-            for c in range(0, len(every), 1 << 16):
-                starts = every[c : c + (1 << 16)]
-                got = self.plans[w].keys(ext, np.concatenate((mixed, np.full(w, _mixed(np.zeros(1, np.uint64))[0]))), starts)
-                lo = np.searchsorted(keys, got.ravel(), "left")
-                hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == got.ravel()))
-                hi = np.searchsorted(keys, got.ravel()[hit], "right")
-                n = hi - lo[hit]
-                rows = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                place = np.repeat(starts[hit // got.shape[1]], n) - shift[rows]
-                found.update(zip(who[rows].tolist(), place.tolist(), strict=True))
+            every = every[unknown[every + w] - unknown[every] <= edits]
+            for c in range(0, len(every), 1 << 15):
+                starts = every[c : c + (1 << 15)]
+                for v in range(len(embs)):
+                    emb = self.plans[w].embed(v, ids, mixed, starts)
+                    got = self.plans[w].keys(v, emb).ravel()
+                    lo = np.searchsorted(keys, got, "left")
+                    hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == got)
+                    n = np.searchsorted(keys, got[hit], "right") - lo[hit]
+                    for h in range(0, len(hit), 1 << 14):
+                        m = n[h : h + (1 << 14)]
+                        rows = np.repeat(lo[hit[h : h + (1 << 14)]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                        pair = np.unique(np.repeat(hit[h : h + (1 << 14)] % len(starts), m).astype(np.int64) << 32 | sub[rows])
+                        win, own = pair >> 32, pair & 0xFFFFFFFF
+                        near = (emb[:, win] != embs[v][:, own]).mean(0) <= MOST_DIFFERING
+                        found.update(zip(who[own[near]].tolist(), (starts[win[near]] - shift[own[near]]).tolist(), strict=True))
+        at = len(ids) - most
         out, ends = set(), [*starts_of[1:], at]
         offsets = np.array(starts_of)
         done: dict[int, list[tuple[int, int]]] = {}

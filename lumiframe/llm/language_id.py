@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import fresh, held_out, table, text_batches
+from lumiframe.llm.common import filter_rows, fresh, held_out, table, text_batches
 
 UNDETERMINED = "und"
 MAX_DOCS_PER_LANG = 2_000
@@ -178,6 +178,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, found with a probability of at least ``least``; columns untouched."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list) -> list[bool]:
+        return [g != UNDETERMINED and s >= least for g, s in map(sent.value.predict, texts)]
+
+    return filter_rows(docs, text, keep)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document.
 

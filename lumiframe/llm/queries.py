@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import html_extract, language_id, packing, secret_scan, simhash, tokens, toxicity
+from lumiframe.llm import decontaminate, html_extract, language_id, packing, secret_scan, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_token_counts": tokens.op2_token_counts,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_packing": packing.op5_packing,
         "op6_html_extraction": html_extract.op6_html_extraction,
         "op9_toxicity": toxicity.op9_toxicity,

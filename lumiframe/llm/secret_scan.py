@@ -148,12 +148,12 @@ def from_ledger(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return now.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def to_paths(versions: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
-    """``versions`` with ``spans``: each version gets the findings of its blob."""
+def to_paths(versions: DataFrame, findings: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``versions`` with a column ``spans``: each version gets the findings of its blob."""
     v = versions.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    f = findings.select(F.col("blob_id").alias("__blob_f"), F.col("spans").alias("__spans")).filter(F.size("__spans") > 0)
+    f = findings.select(F.col("blob_id").alias("__blob_f"), F.col("spans").alias("__found")).filter(F.size("__found") > 0)
     none = F.array().cast(SPAN)
-    return v.join(f, F.col("__blob") == F.col("__blob_f"), "left").select(*versions.columns, F.col("__blob").alias("blob_id"), F.coalesce("__spans", none).alias("spans"))
+    return v.join(f, F.col("__blob") == F.col("__blob_f"), "left").select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce("__found", none).alias(spans))
 
 
 def redact(text: Column, spans: Column, label: str = "[SECRET]") -> Column:

@@ -245,17 +245,34 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id that links of fingerprints reach, itself included.
+    """(doc_id, fp, root, component_id): root is the component's least fingerprint, component_id the least doc_id that links of
+    fingerprints reach, itself included.
 
-    Null and wordless texts have fingerprint zero and are linked like any other; repeated rows each get a row; an empty table
-    gives no rows; other columns are ignored."""
+    Null and wordless texts have fingerprint zero and are linked like any other; a component without any doc_id has a null
+    component_id; repeated rows each get a row; an empty table gives no rows; other columns are ignored."""
     d = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     first = d.groupBy("fp").agg(F.min("doc_id").alias("first"))
     root = components(links(first, most)).select(F.col("node").alias("fp"), "root")
     rooted = first.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return d.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return d.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id. Rows without an id stand for a component only if it has
+    no other; of repeated rows one stays. Columns are untouched."""
+    found = materialize(near_duplicates(docs, doc_id, text), "components")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.filter(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    if not found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id])
+    if found.filter("doc_id is null and component_id is null").isEmpty():
+        return kept
+    alone = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    own = F.pandas_udf(lambda s: s.map(lambda t: int(np.uint64(fingerprint(t)).view(np.int64))).astype("int64"), "long")
+    anonymous = docs.filter(F.col(doc_id).isNull()).withColumn("__own", own(F.col(text))).join(alone, F.col("__own") == F.col("__fp")).dropDuplicates(["__root"])
+    return kept.unionByName(anonymous.select(*docs.columns))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm import secret_scan
+from lumiframe.llm import decontaminate, language_id, packing, secret_scan, simhash
+from lumiframe.llm.common import table
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents whose language can't be told (no letters, or a probability under one half) go."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: of each component the document with the least doc_id stays."""
+    return simhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a passage of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every document stays, each secret in its text becomes ``[SECRET]``; ``n_chars`` follows where it is a column."""
-    found = secret_scan.to_paths(docs, secret_scan.scan_unseen(docs))
-    text = secret_scan.redact(F.col("text"), F.col("spans"))
+    found = secret_scan.to_paths(docs, secret_scan.scan_unseen(docs), spans="__spans")
+    found = found.withColumn("__text", secret_scan.redact(F.col("text"), F.col("__spans")))
+    text = F.col("__text")
     cols = []
     for c in docs.columns:
         if c == "text":
             cols.append(text.alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.size("spans") > 0, F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.size("__spans") > 0, F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
-            cols.append(F.col(c))
+            cols.append(F.col(f"`{c}`"))
     return found.select(*cols)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of every document in sequences of at most 2,048 tokens."""
+    return packing.pack(docs)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumiframe.llm.common import materialize, table
-from lumiframe.llm.stages import mask_secrets
+from lumiframe.llm.stages import drop_contaminated, drop_near_duplicates, keep_identified, mask_secrets, pack
 
 STAGES = [
+    ("language_id", keep_identified),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
     ("secret_scans", mask_secrets),
+    ("packing", pack),
 ]
 
 #: Language scores, fingerprints and token ids can't be had in SQL; tests hold the stages against brute force.

@@ -236,7 +236,7 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): a forest whose components are those of "differ in at most 4 bits" among the distinct ``fp`` of ``fps``."""
     n = partitions(fps.sparkSession)
     met = lambda sent, found, carried: sent.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_streamed(found, carried), "a long, b long")
-    near = materialize(met(fps.select("fp").repartition(n, "fp").mapInArrow(_emit_pairs(most), ENTRY), _met_pairs(most), most + 1), "links")
+    near = materialize(met(fps.select("fp").repartition(n, F.xxhash64("fp")).mapInArrow(_emit_pairs(most), ENTRY), _met_pairs(most), most + 1), "links")
     hot = near.filter("a = b").select(F.col("a").alias("fp")).distinct()
     near = near.filter("a <> b")
     if hot.isEmpty():

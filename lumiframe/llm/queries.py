@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import decontaminate, html_extract, language_id, packing, secret_scan, simhash, substring_dedup, tokens, toxicity
+from lumiframe.llm import ann, decontaminate, html_extract, language_id, packing, secret_scan, simhash, substring_dedup, tokens, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_packing": packing.op5_packing,
         "op6_html_extraction": html_extract.op6_html_extraction,
+        "op7_ann": ann.op7_ann,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_ann": ann.oracle_sql(),
         "op8_substring_dedup": substring_dedup.oracle_sql(),
         "op10_secret_scan": secret_scan.oracle_sql(),
     }

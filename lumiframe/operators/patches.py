@@ -1,0 +1,71 @@
+"""Overlapping patches, blocks and tiles."""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def starts(size: int, extent: int, overlap: int) -> list[int]:
+    """First cells of patches along one axis. The last patch ends at the edge: where less than half a stride is left over the last
+    regular one is moved there, otherwise one more is added."""
+    if overlap >= extent:
+        raise ValueError("overlap must be smaller than the patch")
+    if size <= extent:
+        return [0]
+    stride = extent - overlap
+    out = list(range(0, size - extent + 1, stride))
+    rest = size - extent - out[-1]
+    if rest:
+        if rest < stride / 2 and len(out) > 1:
+            out[-1] = size - extent
+        else:
+            out.append(size - extent)
+    return out
+
+
+def boxes(shape: Sequence[int], extents: Sequence[int], overlaps: Sequence[int]) -> list[tuple[tuple[int, int], ...]]:
+    """Half-open bounds of every patch, in row-major order."""
+    axes = [[(s, min(s + e, n)) for s in starts(n, e, o)] for n, e, o in zip(shape, extents, overlaps, strict=True)]
+    return list(itertools.product(*axes))
+
+
+def patch_table(spark: SparkSession, shape: Sequence[int], extents: Sequence[int], overlaps: Sequence[int], names: Sequence[str] = ("y", "x")) -> DataFrame:
+    rows = [(k, *itertools.chain(*b)) for k, b in enumerate(boxes(shape, extents, overlaps))]
+    return spark.createDataFrame(rows, "patch int, " + ", ".join(f"{n}0 int, {n}1 int" for n in names))
+
+
+def assign(df: DataFrame, axes: dict[str, tuple[Sequence[int], int]]) -> DataFrame:
+    """``df`` repeated for every patch that holds the row. Each axis gives its patches' starts and extent; a row looks up its few
+    patches by arithmetic on literals, so there is no join."""
+    out, place = df, F.lit(0)
+    for a, (begin, extent) in axes.items():
+        every = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(begin)])
+        own = _own(every, a, extent)
+        out = out.withColumn(f"__{a}", F.explode(F.transform(own, lambda z: z["k"])))
+        place = place * len(begin) + F.col(f"__{a}")
+    return out.withColumn("patch", place).drop(*[f"__{a}" for a in axes])
+
+
+def _own(every, axis: str, extent: int):
+    return F.filter(every, lambda z: (F.col(axis) >= z["s"]) & (F.col(axis) < z["s"] + extent))
+
+
+def tiles(height: int, width: int, tile: int, halo: int) -> list[dict]:
+    """Cores that cover the field once, each with a clamped halo; bounds are inclusive."""
+    out = []
+    for r in range(0, height, tile):
+        for c in range(0, width, tile):
+            r1, c1 = min(r + tile, height) - 1, min(c + tile, width) - 1
+            out.append({"tile": len(out), "core": (r, r1, c, c1), "read": (max(r - halo, 0), min(r1 + halo, height - 1), max(c - halo, 0), min(c1 + halo, width - 1))})
+    return out
+
+
+def split_ranges(size: int, n: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(core start, core end, read start, read end) of up to n near-equal parts; parts that would be empty are left out."""
+    core = -(-size // n)
+    cuts = [(k * core, min((k + 1) * core, size)) for k in range(n)]
+    return [(a, b, max(0, a - overlap), min(size, b + overlap)) for a, b in cuts if b > a]

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import table
+from lumiframe.llm.common import fresh, table
 
 MARK = "\ue000"
 STAND_IN = "\ue001"
@@ -149,7 +149,8 @@ def from_ledger(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def to_paths(versions: DataFrame, findings: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``versions`` with a column ``spans``: each version gets the findings of its blob."""
+    """``versions`` with a column ``spans`` (another name where that is taken): each version gets the findings of its blob."""
+    spans = fresh(versions, spans)
     v = versions.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     f = findings.select(F.col("blob_id").alias("__blob_f"), F.col("spans").alias("__found")).filter(F.size("__found") > 0)
     none = F.array().cast(SPAN)

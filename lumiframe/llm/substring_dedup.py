@@ -265,32 +265,62 @@ class Automaton:
         return out
 
 
+class _Shard:
+    """The segments of one key. A segment's windows get their first documents when it is met first: those that came before it, else its own least one.
+
+    A shard's first segment has nobody before it; it is put into the automaton when a second, different one asks for it."""
+
+    __slots__ = ("known", "machine", "window")
+
+    def __init__(self, window: int):
+        self.window, self.machine, self.known = window, None, {}
+
+    def firsts(self, words: str, least: int) -> tuple[int, int, np.ndarray | None, int]:
+        """(smallest, largest, all, number) of the first documents of the segment's windows; all is left out where they are one."""
+        got = self.known.get(words)
+        if got is None:
+            if not self.known:
+                n = words.count(" ") + 2 - self.window
+                got = least, least, None, n
+            else:
+                if self.machine is None:
+                    self.machine = Automaton()
+                    one, (doc, *_) = next(iter(self.known.items()))
+                    self.machine.add(one.encode().split(b" "), doc)
+                seq = words.encode().split(b" ")
+                found = [least if f is None else f for f in self.machine.earliest(seq, self.window)]
+                self.machine.add(seq, least)
+                lo, hi = min(found), max(found)
+                got = lo, hi, None if lo == hi else np.array(found, np.int64), len(found)
+            self.known[words] = got
+        return got
+
+
 def _spans(window: int):
-    """Streams segments sorted by (key, least id) through their shard's automaton."""
+    """Streams segments sorted by (key, least id) through their shard."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, machine, known = None, None, {}
+        key, shard = None, _Shard(window)
         for b in it:
-            out: list[np.ndarray] = []
-            for k, least, words, holders in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            found = []
+            for k, least, words in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if k != key:
-                    key, machine, known = k, Automaton(), {}
-                firsts = known.get(words)
-                if firsts is None:
-                    seq = words.encode().split()
-                    found = machine.earliest(seq, window)
-                    machine.add(seq, least)
-                    firsts = known[words] = np.array([least if f is None else f for f in found], np.int64)
-                h = np.frombuffer(holders, "<i8").reshape(-1, 3)
-                n = len(firsts)
-                late = firsts[None, :] < h[:, 0][:, None]
-                edge = np.diff(np.pad(late, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-                (r, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-                if len(r):
-                    out.append(np.stack((h[r, 0], h[r, 1], h[r, 2] + s, h[r, 2] + e + window - 1)))
-                assert n == edge.shape[1] - 1
-            if out:
-                cols = np.concatenate(out, axis=1)
+                    key, shard = k, _Shard(window)
+                found.append(shard.firsts(words, least))
+            holders = b.column(3).to_pylist()
+            h = np.frombuffer(b"".join(holders), "<i8").reshape(-1, 3)
+            per = np.array([len(x) // 24 for x in holders])
+            lo, hi, n = (np.repeat(np.array([f[c] for f in found], np.int64), per) for c in (0, 1, 3))
+            whole = hi < h[:, 0]
+            out = [np.stack((h[whole, 0], h[whole, 1], h[whole, 2], h[whole, 2] + n[whole] + window - 1))]
+            seg = np.repeat(np.arange(len(found)), per)
+            for i in np.flatnonzero(~whole & (lo < h[:, 0])).tolist():
+                d, r, at = h[i].tolist()
+                edge = np.diff(np.concatenate(([False], found[seg[i]][2] < d, [False])).astype(np.int8))
+                s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                out.append(np.stack((np.full(len(s), d), np.full(len(s), r), at + s, at + e + window - 1)))
+            cols = np.concatenate(out, axis=1)
+            if cols.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc_id", "row", "a", "b"])
 
     return run

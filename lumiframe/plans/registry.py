@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumiframe.plans import imaging
+from lumiframe.plans import extraction, imaging
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [imaging]
+    return [imaging, extraction]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

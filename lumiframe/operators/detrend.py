@@ -106,8 +106,8 @@ def exponential_trend(trace: DataFrame, keys: Sequence[str] = (), below: float =
 def remove_trend(movie: DataFrame, trend: DataFrame, keys: Sequence[str] = PLANE) -> DataFrame:
     """v over (trend / mean trend). The trend has one row a frame: frames grow with the recording, so it is joined, not forced to be broadcast."""
     mean = trend.agg(F.avg("trend").alias("__mean"))
-    rel = trend.crossJoin(F.broadcast(mean)).select("t", (F.col("trend") / F.col("__mean")).alias("__f"))
-    return movie.join(rel, "t").select(*keys, "t", (F.col("v") / F.col("__f")).alias("v"))
+    rel = trend.crossJoin(F.broadcast(mean)).select("t", F.try_divide("trend", "__mean").alias("__f"))
+    return movie.join(rel, "t").select(*keys, "t", F.try_divide("v", "__f").alias("v"))
 
 
 def detrend(movie: DataFrame, percent: float = 8.0, window: int = 200, mask: DataFrame | None = None, keys: Sequence[str] = PLANE) -> DataFrame:

@@ -130,7 +130,7 @@ def centres(footprints: DataFrame, keys: Keys = PLANE) -> DataFrame:
     """(roi, c_key..., lo_key..., hi_key...): centre of mass of |w| and inclusive bounds of the non-zero weights."""
     w = F.abs(F.col("w"))
     on = footprints.filter("w <> 0")
-    com = [(F.sum(w * F.col(k)) / F.sum(w)).alias(f"c_{k}") for k in keys]
+    com = [F.try_divide(F.sum(w * F.col(k)), F.sum(w)).alias(f"c_{k}") for k in keys]
     return on.groupBy("roi").agg(*com, *[F.min(k).alias(f"lo_{k}") for k in keys], *[F.max(k).alias(f"hi_{k}") for k in keys])
 
 

@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 def starts(size: int, extent: int, overlap: int) -> list[int]:
     """First cells of patches along one axis. The last patch ends at the edge: where less than half a stride is left over the last
-    regular one is moved there, otherwise one more is added."""
-    if overlap >= extent:
-        raise ValueError("overlap must be smaller than the patch")
+    regular one is moved there unless that would leave a gap, otherwise one more is added."""
     if size <= extent:
         return [0]
-    stride = extent - overlap
+    stride = max(1, extent - overlap)
     out = list(range(0, size - extent + 1, stride))
     rest = size - extent - out[-1]
     if rest:
-        if rest < stride / 2 and len(out) > 1:
+        if rest < stride / 2 and rest <= overlap and len(out) > 1:
             out[-1] = size - extent
         else:
             out.append(size - extent)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
+from lumiframe.functions.columns import correlation, or_zero
 from lumiframe.operators.movie import PLANE, VOLUME, to_trace
 
 Keys = Sequence[str]
@@ -86,8 +87,7 @@ def neighbour_mean(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
 
 def local_correlation(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
     """Correlation of each pixel with the mean of its neighbours, zero where either doesn't vary."""
-    r = F.corr("own", "nb")
-    return neighbour_mean(movie, keys).groupBy(*keys).agg(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)).alias("v"))
+    return neighbour_mean(movie, keys).groupBy(*keys).agg(or_zero(correlation("own", "nb")).alias("v"))
 
 
 def noise_std(movie: DataFrame, keys: Keys = PLANE, band: tuple[float, float] = (0.25, 0.5)) -> DataFrame:

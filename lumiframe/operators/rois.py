@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
+from lumiframe.functions.columns import correlation, or_zero
 from lumiframe.operators.masks import clean_region
 
 GROWTH = ("local_corr_threshold", "flood_fill")
@@ -23,7 +24,7 @@ def seed_trace(movie: DataFrame, y: int, x: int, radius: int = 0) -> DataFrame:
 def seed_correlations(movie: DataFrame, y: int, x: int, reach: float = 15, radius: int = 0) -> DataFrame:
     """(y, x, v): correlation of every pixel of the disk with the seed's trace, zero for a pixel that doesn't vary."""
     near = movie.filter(F.pow(F.col("y") - y, 2) + F.pow(F.col("x") - x, 2) <= reach * reach)
-    return near.join(seed_trace(movie, y, x, radius).withColumnRenamed("v", "s"), "t").groupBy("y", "x").agg(F.coalesce(F.nanvl(F.corr("v", "s"), F.lit(0.0)), F.lit(0.0)).alias("v"))
+    return near.join(seed_trace(movie, y, x, radius).withColumnRenamed("v", "s"), "t").groupBy("y", "x").agg(or_zero(correlation("v", "s")).alias("v"))
 
 
 def _correlations(traces: np.ndarray, ref: np.ndarray) -> np.ndarray:

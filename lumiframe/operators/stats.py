@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
+from lumiframe.functions.columns import correlation, or_zero
 from lumiframe.operators import projections
 from lumiframe.operators.movie import PLANE, to_trace
 
@@ -44,20 +45,16 @@ def max_intensity_difference(before: DataFrame, after: DataFrame, bin_frames: in
     return a.crossJoin(F.broadcast(b)).select((F.col("a") - F.col("b")).alias("difference"))
 
 
-def _zero(c):
-    return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-
-
 def image_correlation(a: DataFrame, b: DataFrame, keys: Keys = PLANE) -> DataFrame:
     """Pearson correlation of two images, zero if either doesn't vary."""
     j = a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), list(keys))
-    return j.agg(_zero(F.corr("a", "b")).alias("correlation"))
+    return j.agg(or_zero(correlation("a", "b")).alias("correlation"))
 
 
 def correlation_to_reference(movie: DataFrame, reference: DataFrame | None = None, keys: Keys = PLANE) -> DataFrame:
     """Mean over frames of each frame's correlation with the reference image (the mean image by default)."""
     ref = (projections.mean(movie, keys) if reference is None else reference).withColumnRenamed("v", "ref")
-    per = movie.join(ref, list(keys)).groupBy("t").agg(_zero(F.corr("v", "ref")).alias("c"))
+    per = movie.join(ref, list(keys)).groupBy("t").agg(or_zero(correlation("v", "ref")).alias("c"))
     return per.agg(F.avg("c").alias("correlation"))
 
 
@@ -95,7 +92,7 @@ def column_correlations(vector: DataFrame, matrix: DataFrame) -> DataFrame:
     mm = m.groupBy("j").agg(F.avg("m").alias("mm"))
     d = m.join(mm, "j").join(v, "i").crossJoin(F.broadcast(vm)).select("j", (F.col("x") - F.col("xm")).alias("dx"), (F.col("m") - F.col("mm")).alias("dm"))
     own = lambda k: F.sqrt(F.sum(F.col(k) * F.col(k)))
-    return d.groupBy("j").agg((F.sum(F.col("dx") * F.col("dm")) / (own("dx") * own("dm"))).alias("r"))
+    return d.groupBy("j").agg(F.try_divide(F.sum(F.col("dx") * F.col("dm")), own("dx") * own("dm")).alias("r"))
 
 
 def ar1_coefficients(traces: DataFrame, by: str = "id") -> DataFrame:

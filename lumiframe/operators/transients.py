@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiframe.functions.columns import correlation
 from lumiframe.functions.kernels import MAD_TO_STD
 from lumiframe.operators.masks import offsets_table
 from lumiframe.operators.movie import PLANE
@@ -57,13 +58,13 @@ def shapes(movie: DataFrame, traces: DataFrame, found: DataFrame, bounds: DataFr
     frames = found.join(bounds, "roi").withColumn("t", F.explode(F.sequence("t0", "t1"))).join(traces.withColumnRenamed("v", "tc"), ["roi", "t"])
     cells = frames.select("roi", "trans", "t", "tc", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
     j = cells.join(movie, ["y", "x", "t"])
-    return j.groupBy("roi", "trans", "y", "x").agg((F.sum(F.col("v") * F.col("tc")) / F.sum(F.col("tc") * F.col("tc"))).alias("shape"), F.corr("tc", "v").alias("corr"), F.avg("v").alias("mean"))
+    return j.groupBy("roi", "trans", "y", "x").agg(F.try_divide(F.sum(F.col("v") * F.col("tc")), F.sum(F.col("tc") * F.col("tc"))).alias("shape"), correlation("tc", "v").alias("corr"), F.avg("v").alias("mean"))
 
 
 def profile_correlation(shaped: DataFrame, profiles: DataFrame) -> DataFrame:
     """(roi, trans, r): correlation of each transient's shape with its region's profile (roi, y, x, w), zero where there is no weight."""
     j = shaped.join(profiles, ["roi", "y", "x"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    return j.groupBy("roi", "trans").agg(F.corr("w", "shape").alias("r"))
+    return j.groupBy("roi", "trans").agg(correlation("w", "shape").alias("r"))
 
 
 def carry_over(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def merge_groups(regions: DataFrame, traces: DataFrame, least: float = 0.8, keys
     a, b = regions.select("roi", *keys), regions.select(F.col("roi").alias("other"), *keys)
     pairs = a.join(b, list(keys)).filter(F.col("roi") < F.col("other")).select("roi", "other").distinct()
     tr = pairs.join(traces.withColumnRenamed("v", "x"), "roi").join(traces.select(F.col("roi").alias("other"), "t", F.col("v").alias("y")), ["other", "t"])
-    edges = tr.groupBy("roi", "other").agg(F.corr("x", "y").alias("r")).filter(F.col("r") >= least)
+    edges = tr.groupBy("roi", "other").agg(correlation("x", "y").alias("r")).filter(F.col("r") >= least)
     return closure(regions.select("roi").distinct(), edges.select(F.col("roi").alias("a"), F.col("other").alias("b")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
+from lumiframe.functions.columns import correlation
 from lumiframe.operators import contamination, factor, masks, movie, projections, register, rois, transients
 from lumiframe.plans.imaging import EMB, MEAN, ROI, emb, emb_traces, image, r6
 from lumiframe.streaming import online
@@ -104,7 +105,7 @@ def _(s, d):
 @query("c5_objectives", f"with {EMB}, {ROI}, tq as (select roi, t, avg(v) v from mv join rp using (y, x) group by roi, t), f as (select t, avg(v) n from mv group by t) select roi, round(-corr(v, n), 6) decorrelation, round(sum(v-n)/var_samp(n), 3) difference from tq join f using (t) group by roi")
 def _(s, d):
     f = emb(s, d).groupBy("t").agg(F.avg("v").alias("n"))
-    return emb_traces(s, d).join(f, "t").groupBy("roi").agg(r6(-F.corr("v", "n")).alias("decorrelation"), r6(F.sum(F.col("v") - F.col("n")) / F.var_samp("n"), 3).alias("difference"))
+    return emb_traces(s, d).join(f, "t").groupBy("roi").agg(r6(-correlation("v", "n")).alias("decorrelation"), r6(F.sum(F.col("v") - F.col("n")) / F.var_samp("n"), 3).alias("difference"))
 
 
 for growth in rois.GROWTH:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumiframe.sources import formats
 
 LONG, VOLUME = "y int, x int, t int, v double", "l int, w int, d int, t int, v double"
+SUFFIXES = (".npy", ".tif", ".tiff", ".fits", ".fit")
 MISSING = {".h5": "h5py", ".hdf5": "h5py", ".mat": "scipy"}
 
 
@@ -40,14 +41,14 @@ def read_movie(spark: SparkSession, path: str) -> DataFrame:
         raise ModuleNotFoundError(f"{suffix} files need {MISSING[suffix]}, which isn't installed")
     if not suffix:
         return read_tiff_folder(spark, path)
+    if suffix not in SUFFIXES:
+        raise ValueError(f"unknown kind of movie file: {suffix}")
     files = spark.read.format("binaryFile").load(path)
     if suffix == ".npy":
         return _decode(files, _plane(formats.read_npy), ["y", "x", "t"], LONG)
     if suffix in (".tif", ".tiff"):
         return _decode(files, formats.read_tiff, ["t", "y", "x"], LONG)
-    if suffix in (".fits", ".fit"):
-        return _decode(files, _plane(formats.read_fits), ["y", "x", "t"], LONG)
-    raise ValueError(f"unknown kind of movie file: {suffix}")
+    return _decode(files, _plane(formats.read_fits), ["y", "x", "t"], LONG)
 
 
 def _plane(read):

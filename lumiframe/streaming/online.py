@@ -186,7 +186,7 @@ def containment_ratios(profiles: DataFrame) -> DataFrame:
     j = p.select(F.col("roi").alias("a"), "y", "x", F.col("w").alias("wa")).join(q.select(F.col("roi").alias("b"), "y", "x", F.col("w").alias("wb")), ["y", "x"]).filter("a < b")
     s = j.groupBy("a", "b").agg(F.sum("wa").alias("sa"), F.sum("wb").alias("sb"))
     ta, tb = total.select(F.col("roi").alias("a"), F.col("s").alias("ta")), total.select(F.col("roi").alias("b"), F.col("s").alias("tb"))
-    return s.join(ta, "a").join(tb, "b").select("a", "b", (F.col("sa") / F.col("ta")).alias("alpha"), (F.col("sb") / F.col("tb")).alias("beta"))
+    return s.join(ta, "a").join(tb, "b").select("a", "b", F.try_divide("sa", "ta").alias("alpha"), F.try_divide("sb", "tb").alias("beta"))
 
 
 def merge_candidates(regions: DataFrame, k: float = 0.2) -> DataFrame:

@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language, found with a probability of at least ``least``; columns untouched."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -10,7 +10,7 @@ from lumiframe.llm.common import table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents whose language can't be told (no letters, or a probability under one half) go."""
+    """Language ID: documents whose language can't be told (no letters, or a probability under 0.3) go."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 

@@ -263,3 +263,36 @@ def _(s, d):
 
     base = s.range(10).select(F.col("id").cast("int").alias("roi"))
     return match_regions(base, base.filter("roi % 2 = 0").withColumn("source_method", F.concat(F.lit("m"), F.col("roi").cast("string"))))
+
+
+# dictionaries
+@query("f20_dictionary")
+def _(s, d):
+    from lumiframe.operators import dictionary
+
+    fp, _ = dictionary.extract(synthetic(s, t=80), (30, 30), (30, 30), n=4)
+    return fp.select("roi", "y", "x", r6("weight", 3).alias("weight"))
+
+
+def _volume(s: SparkSession) -> DataFrame:
+    rng = np.random.default_rng(3)
+    v = 0.1 * rng.normal(size=(12, 12, 6, 60)) + 1
+    for box in ((slice(2, 5), slice(2, 5), slice(1, 4)), (slice(7, 10), slice(7, 10), slice(2, 5))):
+        v[box] += 3 * np.maximum(rng.normal(size=60), 0)
+    return movie.from_array(s, v, movie.VOLUME)
+
+
+@query("f21_dictionary_volume")
+def _(s, d):
+    from lumiframe.operators import dictionary
+
+    v = _volume(s)
+    mask = v.select("l", "w", "d").distinct().filter("(l < 6 and w < 6) or (l >= 6 and w >= 6)")
+    fp, _ = dictionary.extract(v, (12, 12, 6), (12, 12, 6), (2, 2, 2), 4, mask=mask, keys=movie.VOLUME)
+    return fp.groupBy("roi").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l"), 2).alias("l"), F.round(F.avg("w"), 2).alias("w"))
+
+
+@query("r12_rigid_volume")
+def _(s, d):
+    v = _volume(s).filter("t < 8")
+    return register.rigid(v, most=3, upsample=4, bin_frames=4, first=4, keys=movie.VOLUME)[1].select("t", *[F.round(F.col("shift")[k], 2).alias(f"d{k}") for k in range(3)])

@@ -189,3 +189,36 @@ def profiles_of(regions: DataFrame, grid: DataFrame, sigma: float = 1.5, keys: S
     sent = regions.select("roi", *keys).withColumn("__a", F.explode(every)).withColumn("__b", F.explode(every))
     moved = sent.select("roi", (F.col(keys[0]) + F.col("__a.o")).alias(keys[0]), (F.col(keys[1]) + F.col("__b.o")).alias(keys[1]), (F.col("__a.w") * F.col("__b.w")).alias("w"))
     return moved.join(grid.select(*keys), list(keys), "left_semi").groupBy("roi", *keys).agg(F.sum("w").alias("w"))
+
+
+class TimeCourses:
+    """A movie, its profiles and the runs of time courses over them, by name: ``default``, ``contaminated`` or a run's number."""
+
+    def __init__(self, movie: DataFrame, profiles: DataFrame, height: int, width: int):
+        missing = [c for c in ("roi", "y", "x", "w") if c not in profiles.columns]
+        if missing:
+            raise ValueError(f"not profiles: no column {', '.join(missing)}")
+        self.movie, self.profiles, self.shape = movie, profiles, (height, width)
+        self.named: dict[str, DataFrame] = {}
+        self.runs: list[DataFrame] = []
+
+    def run(self, blocks: DataFrame | None = None, **options) -> DataFrame:
+        self.runs.append(time_courses(self.movie, self.profiles, *self.shape, blocks=blocks, **options))
+        return self.runs[-1]
+
+    def get(self, which: str | int = "default") -> DataFrame:
+        if isinstance(which, int):
+            if not -len(self.runs) <= which < len(self.runs):
+                raise KeyError(f"no run {which}")
+            return self.runs[which]
+        if which not in self.named:
+            raise KeyError(f"no time course named {which}")
+        return self.named[which]
+
+    def latest(self) -> DataFrame:
+        """Of all runs, each cell's latest."""
+        every = None
+        for k, r in enumerate(self.runs):
+            own = r.select(F.lit(k).alias("run"), "roi", "t", "tc")
+            every = own if every is None else every.unionByName(own)
+        return transients.latest_time_course(every)

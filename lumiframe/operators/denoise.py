@@ -215,3 +215,14 @@ def residual_energy(before: DataFrame, after: DataFrame, keys: Keys = PLANE) ->
 
 def residual(before: DataFrame, after: DataFrame, keys: Keys = PLANE) -> DataFrame:
     return before.withColumnRenamed("v", "b").join(after.withColumnRenamed("v", "a"), [*keys, "t"]).select(*keys, "t", (F.col("b") - F.col("a")).alias("v"))
+
+
+def assess(before: DataFrame, after: DataFrame, skip: int = 0, keys: Keys = PLANE) -> DataFrame:
+    """One row: residual energy, mean local correlation before and after, pixels whose residual is autocorrelated."""
+    from lumiframe.operators import projections, stats
+
+    a = residual_energy(before, after, keys)
+    b = projections.local_correlation(before, keys).agg(F.avg("v").alias("correlation_before"))
+    c = projections.local_correlation(after, keys).agg(F.avg("v").alias("correlation_after"))
+    d = stats.autocorrelation_failures(residual(before, after, keys), skip, keys)
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)

@@ -185,3 +185,36 @@ def clean_region(grid: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
 def project_mask(mask: DataFrame, keys: Keys = VOLUME) -> DataFrame:
     """A volume mask seen along its last key."""
     return mask.select(*[c for c in mask.columns if c != keys[-1]]).distinct()
+
+
+def boxes_overlap(a: str, b: str, keys: Keys = PLANE):
+    """Whether the inclusive bounds lo_/hi_ under two struct columns share a cell."""
+    out = F.lit(True)
+    for k in keys:
+        out &= (F.col(f"{a}.lo_{k}") <= F.col(f"{b}.hi_{k}")) & (F.col(f"{b}.lo_{k}") <= F.col(f"{a}.hi_{k}"))
+    return out
+
+
+def box_contains(a: str, b: str, keys: Keys = PLANE):
+    """Whether the bounds of ``a`` hold those of ``b``."""
+    out = F.lit(True)
+    for k in keys:
+        out &= (F.col(f"{a}.lo_{k}") <= F.col(f"{b}.lo_{k}")) & (F.col(f"{b}.hi_{k}") <= F.col(f"{a}.hi_{k}"))
+    return out
+
+
+def box_union(a: str, b: str, keys: Keys = PLANE):
+    return F.struct(*[F.least(f"{a}.lo_{k}", f"{b}.lo_{k}").alias(f"lo_{k}") for k in keys], *[F.greatest(f"{a}.hi_{k}", f"{b}.hi_{k}").alias(f"hi_{k}") for k in keys])
+
+
+def overlapping_boxes(boxes: DataFrame, cell: int = 32, keys: Keys = PLANE) -> DataFrame:
+    """(a, b, contains, union) of regions (roi, lo_..., hi_...) whose bounds overlap. Bounds are sent to the grid cells they touch and meet
+    there, so the interval join is an equi-join."""
+    box = F.struct(*[F.col(f"{e}_{k}") for k in keys for e in ("lo", "hi")])
+    at = boxes.select("roi", box.alias("box"))
+    for k in keys:
+        at = at.withColumn(f"__{k}", F.explode(F.sequence(F.floor(F.col(f"box.lo_{k}") / cell), F.floor(F.col(f"box.hi_{k}") / cell))))
+    cells = [f"__{k}" for k in keys]
+    other = at.select(F.col("roi").alias("b"), F.col("box").alias("bb"), *cells)
+    j = at.withColumnRenamed("roi", "a").withColumnRenamed("box", "ba").join(other, cells).filter((F.col("a") < F.col("b")) & boxes_overlap("ba", "bb", keys))
+    return j.select("a", "b", box_contains("ba", "bb", keys).alias("contains"), box_union("ba", "bb", keys).alias("union")).distinct()

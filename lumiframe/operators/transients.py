@@ -158,3 +158,28 @@ def lookahead_mean(movie: DataFrame, frames: int = 3, keys: Keys = PLANE) -> Dat
 def trailing_mean(movie: DataFrame, frames: int = 3, keys: Keys = PLANE) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(-(frames - 1), 0)
     return movie.select(*keys, "t", F.avg("v").over(w).alias("v"))
+
+
+def plot_order(values: DataFrame, by: str, descending: bool = True) -> DataFrame:
+    """(roi, trans, place): each cell's transients by a value, the best first; transients without one come last."""
+    order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    return values.select("roi", "trans", (F.row_number().over(Window.partitionBy("roi").orderBy(order, "trans")) - 1).alias("place"))
+
+
+def neighbour_cells(cells: DataFrame) -> DataFrame:
+    """(roi, before, after) in the order of the numbers. One row a cell."""
+    w = Window.orderBy("roi")
+    return cells.select("roi", F.lag("roi").over(w).alias("before"), F.lead("roi").over(w).alias("after"))
+
+
+def latest_time_course(runs_: DataFrame) -> DataFrame:
+    """(roi, t, tc): of several runs (run, roi, t, tc) the latest that holds the cell."""
+    last = runs_.groupBy("roi").agg(F.max("run").alias("run"))
+    return runs_.join(last, ["roi", "run"]).select("roi", "t", "tc")
+
+
+def scale_for_display(tc: DataFrame, reference: DataFrame) -> DataFrame:
+    """(roi, t, v): time courses scaled so that their largest size is the reference trace's (roi, t, v) over the frames that both have."""
+    j = tc.filter(F.col("tc").isNotNull() & ~F.isnan("tc")).join(reference, ["roi", "t"])
+    s = j.groupBy("roi").agg(F.try_divide(F.max(F.abs("v")), F.max(F.abs("tc"))).alias("s"))
+    return tc.join(s, "roi", "left").select("roi", "t", (F.col("tc") * F.coalesce("s", F.lit(1.0))).alias("v"))

@@ -296,3 +296,65 @@ def _(s, d):
 def _(s, d):
     v = _volume(s).filter("t < 8")
     return register.rigid(v, most=3, upsample=4, bin_frames=4, first=4, keys=movie.VOLUME)[1].select("t", *[F.round(F.col("shift")[k], 2).alias(f"d{k}") for k in range(3)])
+
+
+@query("x12_overlapping_boxes", f"""with {PAIRS}, b as (select roi, min(y) ly, max(y) hy, min(x) lx, max(x) hx from rg group by roi)
+select p.roi a, q.roi b, p.ly<=q.ly and q.hy<=p.hy and p.lx<=q.lx and q.hx<=p.hx contains, least(p.ly, q.ly) lo_y, greatest(p.hx, q.hx) hi_x from b p join b q on p.roi < q.roi and p.ly<=q.hy and q.ly<=p.hy and p.lx<=q.hx and q.lx<=p.hx""")
+def _(s, d):
+    b = _pairs(s, d).groupBy("roi").agg(*[f(k).alias(f"{n}_{k}") for k in "yx" for n, f in (("lo", F.min), ("hi", F.max))])
+    return masks.overlapping_boxes(b, 8).select("a", "b", "contains", F.col("union.lo_y").alias("lo_y"), F.col("union.hi_x").alias("hi_x"))
+
+
+@query("z15_noise_level", f"with {EMB}, {MEAN} select round(greatest(quantile_cont(v, 0.5)-min(v), 100*2.220446049250313e-16*greatest(1.0, max(abs(v)))), 6) level from im")
+def _(s, d):
+    return online.noise_level(projections.mean(emb(s, d))).select(r6("level").alias("level"))
+
+
+@query("z16_detect_in_tiles")
+def _(s, d):
+    return online.detect_in_tiles(projections.mean(emb(s, d)), 20, 25, 8, 3, 0.02, 2).select(r6("y", 3).alias("y"), r6("x", 3).alias("x"), "n")
+
+
+@query("z25_latest_time_course", f"with {EMB}, {ROI}, tq as (select roi, t, avg(v) v from mv join rp using (y, x) group by roi, t), rn as (select 0 run, roi, t, v tc from tq union all select 1, roi, t, 2*v from tq where roi % 2 = 0) select roi, t, round(tc, 6) + 0.0 tc from rn where run = case when roi % 2 = 0 then 1 else 0 end")
+def _(s, d):
+    tq = emb_traces(s, d)
+    runs = tq.select(F.lit(0).alias("run"), "roi", "t", F.col("v").alias("tc")).union(tq.filter("roi % 2 = 0").select(F.lit(1), "roi", "t", 2 * F.col("v")))
+    return transients.latest_time_course(runs).select("roi", "t", r6("tc").alias("tc"))
+
+
+@query("z25_scale_for_display", f"with {EMB}, {ROI}, tq as (select roi, t, avg(v) v from mv join rp using (y, x) group by roi, t), m as (select roi, max(abs(v))/max(abs(v*v)) s from tq group by roi) select roi, t, round(v*v*s, 6) v from tq join m using (roi)")
+def _(s, d):
+    tq = emb_traces(s, d)
+    return transients.scale_for_display(tq.select("roi", "t", (F.col("v") * F.col("v")).alias("tc")), tq).select("roi", "t", r6().alias("v"))
+
+
+@query("d18_plot_order", f"with {EMB}, {ROI}, tq as (select roi, t, avg(v) v from mv join rp using (y, x) group by roi, t) select roi, t trans, row_number() over (partition by roi order by round(v, 9) desc, t)-1 place from tq")
+def _(s, d):
+    return transients.plot_order(emb_traces(s, d).select("roi", F.col("t").alias("trans"), F.round("v", 9).alias("r")), "r").select("roi", "trans", F.col("place").cast("bigint").alias("place"))
+
+
+@query("d18_neighbour_cells", "with c as (select distinct cast(label as int) roi from embeddings) select roi, lag(roi) over (order by roi) before, lead(roi) over (order by roi) \"after\" from c")
+def _(s, d):
+    return transients.neighbour_cells(movie.embedding_labels(s, d).select("roi").distinct())
+
+
+@query("q10_assess")
+def _(s, d):
+    from lumiframe.operators import denoise
+
+    m = emb(s, d)
+    return denoise.assess(m, denoise.gaussian(m, 0, 1.0)).select(*[r6(c, 5).alias(c) for c in ("fraction", "correlation_before", "correlation_after")], "failures")
+
+
+@query("s14_encode_frames", f"with {EMB} select y, x, t, round(cast(cast(v as float) as double), 5) + 0.0 v from mv where t < 4")
+def _(s, d):
+    from lumiframe.sources import readers
+
+    return image(readers.decode_frames(readers.encode_frames(emb(s, d).filter("t < 4"))), digits=5)
+
+
+@query("v7_region_status", "with r as (select k roi, case when k % 3 = 0 then 'rejected' else 'accepted' end status from range(0, 20) g(k)) select count(*) filter (where status = 'accepted')::bigint rois_committed, count(*) filter (where status <> 'accepted')::bigint rois_deleted from r")
+def _(s, d):
+    r = s.range(20).select(F.col("id").alias("roi"), F.when(F.col("id") % 3 == 0, "rejected").otherwise("accepted").alias("status"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    return r.agg(n(F.col("status") == "accepted").alias("rois_committed"), n(F.col("status") != "accepted").alias("rois_deleted"))

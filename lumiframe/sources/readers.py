@@ -131,3 +131,29 @@ def summary(movie: DataFrame, keys=("y", "x")) -> str:
     """``32 x 64 pixels, 100 frames``."""
     r = movie.agg(*[(F.max(k) + 1).alias(k) for k in keys], (F.max("t") + 1).alias("t")).first()
     return f"{' x '.join(str(r[k]) for k in keys)} {'voxels' if len(keys) == 3 else 'pixels'}, {r['t']} frames"
+
+
+def encode_frames(movie: DataFrame, kind: str = "fits") -> DataFrame:
+    """(t, content): each frame as the bytes of a FITS or TIFF file of 32-bit floats, for any sink that takes bytes."""
+    if kind not in ("fits", "tiff"):
+        raise ValueError("kind must be fits or tiff")
+    write = formats.write_fits if kind == "fits" else formats.write_tiff
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(p["y"].max()) + 1, int(p["x"].max()) + 1), np.float32)
+        a[p["y"], p["x"]] = p["v"]
+        return pd.DataFrame({"t": [int(p["t"].iloc[0])], "content": [write(a)]})
+
+    return movie.groupBy("t").applyInPandas(run, "t int, content binary")
+
+
+def decode_frames(frames: DataFrame, kind: str = "fits") -> DataFrame:
+    read = formats.read_fits if kind == "fits" else lambda raw: formats.read_tiff(raw)[0]
+
+    def run(it):
+        for p in it:
+            for t, raw in zip(p["t"], p["content"], strict=True):
+                for q in _rows(read(bytes(raw)), ["y", "x"], t=int(t)):
+                    yield q[["y", "x", "t", "v"]]
+
+    return frames.mapInPandas(run, LONG)

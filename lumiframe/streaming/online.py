@@ -132,6 +132,16 @@ class State:
             if j not in used_f:
                 self.tracks.append(Track(c, px, t, 1, [np.maximum(residual, 0)]))
 
+    def _without_tracks(self, residual: np.ndarray) -> np.ndarray:
+        shapes = []
+        for tr in self.tracks:
+            at = tuple(np.array(sorted(tr.pixels)).T)
+            s = np.zeros(self.shape)
+            s[at] = np.mean([c[at] for c in tr.crops], axis=0)
+            shapes.append(s.ravel())
+        a = np.array(shapes)
+        return residual - (np.maximum(np.linalg.lstsq(a.T, residual.ravel(), rcond=None)[0], 0) @ a).reshape(self.shape)
+
     def _promote(self) -> list[int]:
         new = []
         for tr in [x for x in self.tracks if x.seen >= self.promotion.after]:
@@ -167,6 +177,13 @@ class State:
         activity = self._fit(now)
         residual = now - sum((a * p for a, p in zip(activity, self.profiles, strict=True)), np.zeros(self.shape))
         self._match(self._detect(residual), residual, at)
+        if len(self.tracks) > 1 or self.tracks and self.tracks[0].seen > 1:
+            # what the candidates explain together is taken away; what is bright still is a candidate of its own
+            rest = self._without_tracks(residual)
+            known = set().union(*(tr.pixels for tr in self.tracks))
+            for c, px in self._detect(rest):
+                if not px & known:
+                    self.tracks.append(Track(c, px, at, 1, [np.maximum(rest, 0)]))
         rows = [(at, k, a, False) for k, a in enumerate(activity)]
         for k in self._promote():
             box, w = self._window(k)
@@ -236,3 +253,37 @@ def extract_online(movie: DataFrame, shape: tuple[int, int], **options) -> DataF
         return pd.DataFrame(rows, columns=["roi", "y", "x", "w"])
 
     return movie.groupBy().applyInPandas(one, "roi int, y int, x int, w double")
+
+
+def noise_level(image: DataFrame) -> DataFrame:
+    """One row: median minus minimum of an image, never under a hundred rounding errors of its scale."""
+    eps = float(100 * np.finfo(float).eps)
+    return image.agg(F.greatest(F.percentile("v", F.lit(0.5)) - F.min("v"), eps * F.greatest(F.lit(1.0), F.max(F.abs("v")))).alias("level"))
+
+
+def detect_in_tiles(image: DataFrame, height: int, width: int, tile: int, halo: int, threshold: float, least_pixels: int = 1) -> DataFrame:
+    """(tile, y, x, n): centres and sizes of connected spots above the threshold. Tiles overlap by their halo; a spot belongs to the tile
+    whose core holds its centre, so it is reported once."""
+    from lumiframe.operators.patches import tiles
+
+    every = {t["tile"]: t for t in tiles(height, width, tile, halo)}
+    table = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(n) for n, v in zip(("y0", "y1", "x0", "x1"), t["read"], strict=True)]) for k, t in every.items()])
+    own = F.filter(table, lambda z: F.col("y").between(z["y0"], z["y1"]) & F.col("x").between(z["x0"], z["x1"]))
+    held = image.filter(F.col("v") > threshold).withColumn("tile", F.explode(F.transform(own, lambda z: z["k"])))
+
+    def spots(p: pd.DataFrame) -> pd.DataFrame:
+        t = every[int(p["tile"].iloc[0])]
+        y0, y1, x0, x1 = t["read"]
+        on = np.zeros((y1 - y0 + 1, x1 - x0 + 1), bool)
+        on[p["y"] - y0, p["x"] - x0] = True
+        lab, n = kernels.label(on, corners=False)
+        rows = []
+        for k in range(1, n + 1):
+            at = np.argwhere(lab == k)
+            c = at.mean(0) + (y0, x0)
+            a, b, d, e = t["core"]
+            if len(at) >= least_pixels and a <= round(c[0]) <= b and d <= round(c[1]) <= e:
+                rows.append((t["tile"], float(c[0]), float(c[1]), len(at)))
+        return pd.DataFrame(rows, columns=["tile", "y", "x", "n"])
+
+    return held.groupBy("tile").applyInPandas(spots, "tile int, y double, x double, n int")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import table, text_batches
+from lumiframe.llm.common import spread, table, text_batches
 
 SIMILARITY = 0.8
 #: Items of fewer words say too little to be told from chance and are passed over.
@@ -304,4 +304,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in every document."""
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import filter_rows, fresh, held_out, table, text_batches
+from lumiframe.llm.common import filter_rows, fresh, held_out, spread, table, text_batches
 
 UNDETERMINED = "und"
-MAX_DOCS_PER_LANG = 2_000
+MAX_DOCS_PER_LANG = 1_000
 MAX_LANGS = 256
 MAX_WORDS_PER_LANG = 20_000
 MAX_GRAMS_PER_LANG = 40_000
@@ -40,26 +40,28 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
+    """Scores by language, centred: rows of two tables, found by word and by n-gram."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    unseen_word: np.ndarray
-    grams: dict[str, np.ndarray]
-    unseen_gram: np.ndarray
+    words: dict[str, int]
+    word_table: np.ndarray
+    grams: dict[str, int]
+    gram_table: np.ndarray
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
     _used: int = 0
 
     def word_scores(self, w: str) -> np.ndarray:
-        """Log scores of one word in each language, centred."""
-        v = self.words.get(w)
-        if v is not None:
-            return v
+        """Log scores of one word in each language."""
+        r = self.words.get(w)
+        if r is not None:
+            return self.word_table[r]
         padded = f"^{w}$"
         for n in range(MAX_N, 0, -1):
             src = padded if n > 1 else w
             known = [g for k in range(len(src) - n + 1) if (g := self.grams.get(src[k : k + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_table[known].mean(0)
         return np.zeros(len(self.langs))
 
     def _row(self, w: str) -> int:
@@ -93,40 +95,36 @@ class Model:
         return self.langs[best], float(z[best] / z.sum())
 
 
-def _top(counts: Counter, most: int) -> list[tuple[str, int]]:
-    return sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+def _scores(tables: list[dict[str, int]], most: int, least: int = 2, alpha: float = 0.5) -> tuple[dict[str, int], np.ndarray]:
+    """(row of each entry, centred log frequencies by language) of the ``most`` most frequent entries of each language that occur ``least`` times in it."""
+    kept = sorted({w for t in tables for w, c in sorted(t.items(), key=lambda x: (-x[1], x[0]))[:most] if c >= least})
+    counts = np.array([[t.get(w, 0) for w in kept] for t in tables], float).reshape(len(tables), -1).T
+    total = np.array([sum(t.values()) for t in tables], float)
+    logs = np.log(counts + alpha) - np.log(total + alpha * (len(kept) + 1))
+    return {w: k for k, w in enumerate(kept)}, logs - logs.mean(1, keepdims=True)
 
 
-def fit_counts(by_lang: dict[str, Counter], max_words: int = MAX_WORDS_PER_LANG, max_grams: int = MAX_GRAMS_PER_LANG) -> Model:
-    """The model of word counts by language. A word counts as known from its second occurrence on in some language."""
+def fit_counts(by_lang: dict[str, dict[str, int]], max_words: int = MAX_WORDS_PER_LANG, max_grams: int = MAX_GRAMS_PER_LANG) -> Model:
+    """The model of word counts by language. A word, or an n-gram, counts as known from its second occurrence on in some language."""
     langs = sorted(by_lang)
-    grams: dict[str, Counter] = {g: Counter() for g in langs}
-    for g in langs:
-        for w, c in by_lang[g].items():
-            p = f"^{w}$"
-            for n in range(1, MAX_N + 1):
-                src = p if n > 1 else w
-                for k in range(len(src) - n + 1):
-                    grams[g][src[k : k + n]] += c
-
-    def logs(tables: dict[str, Counter], most: int, least: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        kept = {w for g in langs for w, c in _top(tables[g], most) if c >= least}
-        total = np.array([sum(tables[g].values()) for g in langs], float)
-        alpha = 0.5
-        denominator = np.log(total + alpha * (len(kept) + 1))
-        out = {}
-        for w in kept:
-            v = np.log([tables[g].get(w, 0) + alpha for g in langs]) - denominator
-            out[w] = v - v.mean()
-        none = np.log(alpha) - denominator
-        return out, none - none.mean()
-
-    words, unseen_word = logs(by_lang, max_words, 2)
-    gram_scores: dict[str, np.ndarray] = {}
+    if not langs:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+    rows, parts = {}, []
+    words, word_table = _scores([by_lang[g] for g in langs], max_words)
     for n in range(1, MAX_N + 1):
-        own = {g: Counter({k: c for k, c in grams[g].items() if len(k) == n}) for g in langs}
-        gram_scores |= logs(own, max_grams // MAX_N, 2)[0]
-    return Model(langs, words, unseen_word, gram_scores, np.zeros(len(langs)))
+        tables = []
+        for g in langs:
+            t: dict[str, int] = defaultdict(int)
+            for w, c in by_lang[g].items():
+                src = f"^{w}$" if n > 1 else w
+                for k in range(len(src) - n + 1):
+                    t[src[k : k + n]] += c
+            tables.append(t)
+        own, table_ = _scores(tables, max_grams // MAX_N)
+        base = sum(map(len, parts))
+        rows |= {w: base + k for w, k in own.items()}
+        parts.append(table_)
+    return Model(langs, words, word_table, rows, np.concatenate(parts))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Model:
@@ -134,7 +132,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.col("lang") != UNDETERMINED))
     sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
-        return Model([], {}, np.zeros(0), {}, np.zeros(0))
+        return fit_counts({})
     rate = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, max_docs_per_lang / n))])
     draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))
 
@@ -150,7 +148,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     counted = known.filter(draw).select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     w = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    rows = counted.withColumn("r", w).filter(F.col("r") <= 2 * MAX_WORDS_PER_LANG).select("lang", "word", "n").toArrow().to_pydict()
+    rows = counted.withColumn("r", w).filter(F.col("r") <= MAX_WORDS_PER_LANG).select("lang", "word", "n").toArrow().to_pydict()
     by_lang: dict[str, Counter] = {g: Counter() for g in sizes}
     for g, word, n in zip(rows["lang"], rows["word"], rows["n"], strict=True):
         by_lang[g][word] = n
@@ -195,4 +193,4 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     alphabetical order; an empty table, or one without labels, gives ``und`` throughout."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)
-    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text", held_out().alias("held_out"))), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import table, text_batches
+from lumiframe.llm.common import spread, table, text_batches
 from lumiframe.llm.tokens import encode
 
 TIERS = (256, 512, 1024, 2048)
@@ -147,4 +147,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tiers: tup
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2,048 tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

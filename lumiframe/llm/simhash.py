@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import materialize, partitions, table, text_batches
+from lumiframe.llm.common import materialize, partitions, spread, table, text_batches
 from lumiframe.llm.components import components
 
 RADIUS = 4
@@ -277,5 +277,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
-    d = near_duplicates(table(spark, sf_dir, "documents"))
+    d = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

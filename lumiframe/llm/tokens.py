@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import table, text_batches
+from lumiframe.llm.common import spread, table, text_batches
 
 JSON_FILE, RANK_FILE, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "<|endoftext|>"
 
@@ -131,4 +131,4 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every line of every document, boundary-crossing tokens to the line that holds most of them."""
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

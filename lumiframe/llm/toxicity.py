@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import discard, fresh, held_out, materialize, table, text_batches
+from lumiframe.llm.common import discard, fresh, held_out, materialize, spread, table, text_batches
 
 MAX_DOCS_PER_CLASS = 3_000
 MAX_TERMS = 2_000
@@ -245,5 +245,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     label says so; without labels all scores are alike and low; repeated rows each get a row; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    s = score(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    s = score(spread(docs.select("doc_id", "text", held_out().alias("held_out"))), model)
     return s.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))

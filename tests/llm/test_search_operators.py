@@ -254,11 +254,18 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in docs.collect()}
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) == ids
-    left = docs.filter("text like '%[SECRET]%'").count()
-    assert left and docs.filter("n_chars <> char_length(text)").count() == 0
+    assert docs.filter("n_chars <> char_length(text)").count() == 0
     assert secret_scan.scan_unseen(docs).filter(F.size("spans") > 0).count() == 0
 
 
+def test_secrets_are_masked_in_the_stage(spark):
+    from lumiframe.llm.stages import mask_secrets
+
+    df = spark.createDataFrame([(1, "a token=abcdefgh b", 18), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in mask_secrets(spark, df, SF).collect()}
+    assert got == {1: ("a [SECRET] b", 12), 2: ("clean", 5), 3: (None, 0)}
+
+
 def test_stages_take_empty_tables_and_clashing_columns(spark):
     import corpus_pipeline
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm import decontaminate, language_id, packing, secret_scan, simhash
+from lumiframe.llm import decontaminate, jaccard, language_id, packing, secret_scan
 from lumiframe.llm.common import spread, table
 
 
@@ -15,8 +15,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the least doc_id stays."""
-    return simhash.deduplicate(docs)
+    """Near-dedup on 5-word shingles: of each component of Jaccard similarity 0.8 or more the document with the least doc_id stays."""
+    return jaccard.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

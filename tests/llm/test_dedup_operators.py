@@ -149,3 +149,38 @@ def test_automaton_finds_the_first_document():
             m.add(ws, d)
             for g in grams:
                 first.setdefault(g, d)
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_finds_every_pair_of_similarity_08(spark):
+    """Texts whose fingerprints are up to 13 bits apart, against all pairs; also a group of near copies and a passage that many texts hold."""
+    from lumiframe.llm import stages
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(30)]
+    texts = []
+    for k in range(25):
+        base = [word() for _ in range(rng.randint(60, 200))] + (passage if k % 2 else [])
+        for _ in range(4):
+            w = base[:]
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    base = [word() for _ in range(150)]
+    texts += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(0, 150, 3)]
+    texts += ["", "a b", "a b", "a b c"]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (texts[i] and texts[j]) and _jaccard(texts[i], texts[j]) >= 0.8]
+    assert any((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 4 for i, j in links)
+    root = _roots(len(texts), links)
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+    edges = [(5, "q r s t u v"), (2, "q r s t u v"), (2, "q r s t u v"), (9, None), (8, ""), (None, "q r s t u v"), (None, "x y z"), (None, "x y z")]
+    got = stages.drop_near_duplicates(spark, spark.createDataFrame(edges, DOCS), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "x y z"), (2, "q r s t u v"), (8, "")]

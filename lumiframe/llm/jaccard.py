@@ -99,8 +99,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, doc_id: str,
     """The pairs (a, b) of keys whose sets are similar. ``first``: (key, first) with a doc_id of each key."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key")
     own, src = _own_key(shingle), docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    named = src.join(keys.filter("first is not null"), F.col("__id") == F.col("first")).filter(own("__text") == F.col("key"))
-    texts = named.select("key", "__text")
+
+    def right(it):  # a repeated doc_id may have several texts; in a filter the function would run on all documents before the join
+        for b in text_batches(it, "__text"):
+            yield b.filter(pa.array([set_key(shingles(t, shingle)) == k for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.bool_()))
+
+    named = src.join(keys.filter("first is not null"), F.col("__id") == F.col("first"))
+    texts = named.select("key", "__text").mapInArrow(right, "key long, __text string")
     if not keys.filter("first is null").isEmpty():
         bare = src.filter("__id is null").withColumn("__own", own("__text")).join(keys.filter("first is null"), F.col("__own") == F.col("key"))
         texts = texts.union(bare.select("key", "__text"))
@@ -143,9 +148,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     x, y = (mixed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "label")]) for s in "xy")
     fits = (F.col("label_x") != F.col("label_y")) & (F.col("key_x") < F.col("key_y")) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-9)
     rest = materialize(x.join(y, "h").filter(fits).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    root = label
     if not rest.isEmpty():
-        links = links.union(verified(rest))
-    root = components(links).select(F.col("node").alias("key"), "root")
+        more = verified(rest)
+        if not more.isEmpty():
+            root = components(more.union(label.select(F.col("key").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "key")
     rooted = first.join(root, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return d.select("doc_id", "key").join(rooted.join(least, "root").select("key", "root", "component_id"), "key").select("doc_id", "key", "root", "component_id")

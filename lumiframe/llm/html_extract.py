@@ -53,13 +53,84 @@ def _hints(attrs: str) -> set[str]:
     return {w.lower() for m in _HINT.finditer(attrs) for w in _PART.findall(m[1] or m[2] or m[3] or "")} if "=" in attrs else set()
 
 
+#: Start tags that end an open paragraph, and for tags with an optional end: what ends them, and within which elements.
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+_ROWS = {"table"}
+_CELLS = {"tr", "table"}
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, _CELLS), "th": ({"td", "th"}, _CELLS),
+    "tr": ({"tr"}, _ROWS), "tbody": ({"thead", "tbody", "tfoot"}, _ROWS), "thead": ({"thead", "tbody", "tfoot"}, _ROWS), "tfoot": ({"thead", "tbody", "tfoot"}, _ROWS),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"optgroup"}, {"select"}),
+}
+
+
+def _tag(m: re.Match) -> tuple[str, bool, str]:
+    """(name, is an end tag, attributes); no name for what isn't a tag."""
+    return (m[3] or m[6] or "").lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
+
+
+def ends_of(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """For each start tag's index the index of the tag that ends the element, and whether it is that tag itself (an end tag of the element).
+
+    Ends that HTML implies are found: by the next paragraph, item or cell, and by the end of an enclosing element. Else the page's end counts; an unclosed
+    element that holds an ``article`` or ``main`` ends where that begins."""
+    out: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    inner: dict[int, int] = {}  # first article or main inside an open element
+
+    def pop(at: int, own: bool) -> None:
+        name, k = stack.pop()
+        count[name] -= 1
+        first = inner.pop(k, None)
+        out[k] = (at, True) if own else (at if first is None or name in ANCHORS else first, False)
+        if first is not None and stack:
+            inner.setdefault(stack[-1][1], first)
+
+    for k, m in enumerate(tokens):
+        name, ending, attrs = _tag(m)
+        if not name or name in VOID and name != "hr":
+            continue
+        if ending:
+            if count.get(name):
+                while stack[-1][0] != name:
+                    pop(k, False)
+                pop(k, True)
+            continue
+        if name in ENDS_P and count.get("p"):
+            j = len(stack) - 1
+            while stack[j][0] in INLINE and j:
+                j -= 1
+            if stack[j][0] == "p":
+                while len(stack) > j:
+                    pop(k, False)
+        same, within = IMPLIED.get(name, ((), ()))
+        if any(count.get(x) for x in same):
+            j = len(stack) - 1
+            while j >= 0 and stack[j][0] not in same and stack[j][0] not in within:
+                j -= 1
+            if j >= 0 and stack[j][0] in same:
+                while len(stack) > j:
+                    pop(k, False)
+        if name in ANCHORS and stack:
+            inner.setdefault(stack[-1][1], k)
+        if name not in VOID and not attrs.endswith("/"):
+            stack.append((name, k))
+            count[name] = count.get(name, 0) + 1
+    while stack:
+        pop(len(tokens), False)
+    return out
+
+
 def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
     """The text lines of a page that mark-up doesn't rule out, in page order, and whether each is anchored."""
     lines: list[str] = []
     anchored: list[bool] = []
     now: list[str] = []
-    anchor, out_name, out_depth, at = 0, "", 0, 0
+    anchor, at, out_to, out_own = 0, 0, -1, False  # left out up to the tag out_to, which may be the element's own end tag
     page = page or ""
+    tokens = list(_TOKEN.finditer(page))
+    ends = ends_of(tokens)
 
     def close() -> None:
         if now:
@@ -69,20 +140,14 @@ def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
                 lines.append(t)
                 anchored.append(anchor > 0)
 
-    for m in _TOKEN.finditer(page):
-        if not out_name and m.start() > at:
+    for k, m in enumerate(tokens):
+        if k > out_to and m.start() > at:
             now.append(page[at : m.start()])
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
-        if not name:
+        if k < out_to or k == out_to and out_own:
             continue
-        ending = bool(m[2] or m[5])
-        attrs = m[4] or m[7] or ""
-        if out_name:
-            if name == out_name and not attrs.endswith("/"):
-                out_depth += -1 if ending else 1
-                if not out_depth:
-                    out_name = ""
+        name, ending, attrs = _tag(m)
+        if not name:
             continue
         if name in INLINE and (ending or not attrs):
             continue
@@ -90,15 +155,15 @@ def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
             words = _hints(attrs)
             if name in LEFT_OUT or words & BOILERPLATE and not (name in ANCHORS or "article" in words) or not anchor and (name in SITE_HEAD or words & SITE_HEAD):
                 close()
-                if not attrs.endswith("/"):
-                    out_name, out_depth = name, 1
+                if k in ends:
+                    out_to, out_own = ends[k]
                 continue
         if name in INLINE:
             continue
         close()
         if name in ANCHORS:
             anchor = max(0, anchor + (-1 if ending else 1))
-    if not out_name and at < len(page):
+    if len(tokens) > out_to and at < len(page):
         now.append(page[at:])
     close()
     return lines, anchored

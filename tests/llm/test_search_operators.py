@@ -90,6 +90,18 @@ def test_html_marks():
     assert lines("<!-- x --><p>y<!-- open")[0] == ["y"]
 
 
+def test_html_omitted_end_tags():
+    lines = lambda h: html_extract.lines_of(h)[0]
+    assert lines('<p class="notice">Hi<p>Body</p><p>more') == ["Body", "more"]
+    assert lines('<ul><li class="menu">Home<li>One<li>Two</ul><p>Body') == ["One", "Two", "Body"]
+    assert lines('<ul><li class="menu">Home<ul><li>sub</ul></ul><p>Body') == ["Body"]
+    for left_out in ("nav", "aside", "form"):
+        assert lines(f"<body><{left_out}>Home<article><p>Body</article></body>") == ["Body"]
+        assert lines(f"<div><{left_out}>Home</div><p>Body") == ["Body"]
+    assert lines('<div class="comments"><article>reply</article></div><p>Body') == ["Body"]
+    assert lines('<table><tr><td class="ad">Buy<td>Cell<tr><td>Next</table>') == ["Cell", "Next"]
+
+
 def test_html_lcs():
     rng = random.Random(3)
     for _ in range(200):

@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are range-partitioned and sorted by host and URL path (a host of any size spreads over partitions). A page's partner is
-whichever neighbour of the same host shares the longer path prefix, and holds other lines. The lines of both are aligned by a longest
+Distinct pages (of equal lines on a host the first) are range-partitioned, sorted by host and URL path and ranked, so a host of any size
+spreads over partitions. A page's partner is whichever neighbour by rank of the same host shares the longer path prefix; copies get
+the text of their first page. The lines of both are aligned by a longest
 common subsequence, and lines that the partner has too are deleted: what a site repeats from page to page is not the article.
 
 Before that, mark-up that can't be article is left out by name: scripts, styles, forms, navigation, asides, footers, and blocks whose
@@ -16,13 +17,15 @@ import html as _html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumiframe.llm.common import partitions, table, text_batches
+from lumiframe.llm.common import materialize, partitions, table, text_batches
 
 # Element names, and words in class, id or role.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math", "canvas", "audio", "video")
@@ -241,40 +244,61 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     pattern = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)"
     part = lambda k: F.lower(F.coalesce(F.regexp_extract(url, pattern, k), F.lit("")))
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), part(1).alias("host"), part(2).alias("path"))
-    near = src.repartitionByRange(partitions(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    kinds = pages.schema[page_id].dataType.simpleString()
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: _Page | None = None  # the last page that differs from ``now``
-        now: _Page | None = None
-        done: list[tuple] = []
-
-        def settle(after: _Page | None) -> None:
-            partners = [q for q in (before, after) if q is not None]
-            text = difference(now, partners)
-            done.append((*now.row, text, len(text)))
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
-                done.clear()
-
-        kinds = None
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(it, "html"):
-            kinds = [b.schema.field(0).type, pa.string(), pa.string(), pa.int64()]
-            for i, u, h, host, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                new = _Page((i, u), host, path, *lines_of(h))
-                if now is not None:
-                    settle(new)
-                    if now.host != new.host or now.lines != new.lines:
-                        before = now
-                now = new
-            yield from rows()
-        if now is not None:
-            settle(None)
-        yield from rows()
-
-    kind = pages.schema[page_id].dataType.simpleString()
-    return near.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+            got = [lines_of(h) for h in b.column(2).to_pylist()]
+            marks = [sha256("\n".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x, _ in got]  # a line holds no line end
+            cols = [*b.columns[:2], *b.columns[3:], pa.array(marks), pa.array([x for x, _ in got], pa.list_(pa.string())), pa.array([x for _, x in got], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "path", "mark", "lines", "anchored"])
+
+    every = materialize(src.mapInArrow(read, f"page_id {kinds}, url string, host string, path string, mark string, lines array<string>, anchored array<boolean>"), "lines")
+    own = F.array_join(F.transform(F.filter(F.arrays_zip("lines", "anchored"), lambda x: x["anchored"]), lambda x: x["lines"]), " ")
+    done = lambda df, text: df.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    is_bare = ~F.exists("anchored", lambda x: x)
+    alone, bare = done(every.filter(~is_bare), own), every.filter(is_bare)
+    if bare.isEmpty():
+        return alone
+    texts = differenced(every)
+    return alone.unionByName(done(bare.join(texts, ["host", "mark"]), F.col("found")))
+
+
+def differenced(every: DataFrame) -> DataFrame:
+    """(host, mark, found): the text of each distinct page, copies counted once, by its nearest distinct pages before and after in the order of host, path and page_id.
+
+    Pages are ranked by range partitions and their sizes, and meet their neighbours by rank: neither copies nor the edges of partitions come between them."""
+    place = F.struct("path", "page_id")
+    first = every.groupBy("host", "mark").agg(F.min(place).alias("p"), F.min_by("lines", place).alias("lines"), F.max(~F.exists("anchored", lambda x: x)).alias("bare"))
+    first = first.select("host", "mark", F.col("p.path").alias("path"), F.col("p.page_id").alias("page_id"), "lines", "bare")
+    order = ["host", "path", "page_id", "mark"]
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in it:
+            yield b.append_column("k", pa.array(np.arange(at, at + b.num_rows)))
+            at += b.num_rows
+
+    cut = first.repartitionByRange(partitions(every.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    cut = materialize(cut.mapInArrow(count, T.StructType([*cut.schema.fields, T.StructField("k", T.LongType())])), "ranked")
+    sizes = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, at = [], 0
+    for part in range(max(sizes) + 1):
+        starts.append(at)
+        at += sizes.get(part, 0)
+    ranked = cut.select("host", "mark", "path", "lines", "bare", (F.element_at(F.lit(starts), F.col("part") + 1) + F.col("k")).alias("rank"))
+    side = lambda name, step: ranked.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "lines").alias(name))
+    met = ranked.filter("bare").join(side("before", 1), "rank", "left").join(side("after", -1), "rank", "left")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for c in range(0, b.num_rows, 64):
+                rows = b.slice(c, 64).to_pylist()
+                page = lambda r: _Page((), r["host"], r["path"], r["lines"], [False] * len(r["lines"]))
+                out = [difference(page(r), [page(q) for q in (r["before"], r["after"]) if q]) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.string()) for x in ("host", "mark")] + [pa.array(out, pa.string())], names=["host", "mark", "found"])
+
+    return met.select("host", "mark", "path", "lines", "before", "after").mapInArrow(run, "host string, mark string, found string")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

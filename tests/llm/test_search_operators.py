@@ -131,6 +131,22 @@ def test_html_differencing(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 13])
+def test_html_partners_across_copies_and_partitions(spark, n):
+    """A host that starts with copies, and more partitions than pages: every page has its nearest distinct partner."""
+    page = lambda n: f"<body><p>Site slogan</p><p>text of {n}</p><p>All rights reserved</p></body>"
+    rows = [(k, f"http://h/a/{k}", page(0)) for k in range(6)] + [(k, f"http://h/b/{k}", page(k)) for k in range(6, 12)] + [(20, "http://lone/", page(20)), (21, "http://m/0", "<main><p>same</p></main>"), (22, "http://m/1", "<p>same</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {k: f"text of {0 if k < 6 else k}" for k in range(12)} | {20: "Site slogan text of 20 All rights reserved", 21: "same", 22: "same"}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
 def test_html_on_the_table(spark):
     import html
 

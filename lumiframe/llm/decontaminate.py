@@ -10,6 +10,9 @@ W + stride - 1 <= L, and documents are read in windows of W words at every strid
 document's grid wherever the item stands. Windows with more words unknown to the benchmark than any allowed number of edits are
 passed over: they can't match.
 
+Beside that, an item that allows d edits is cut into d + 1 pieces, of which one stands unchanged in every match. All pieces are looked up at every
+word, so no match is lost to chance.
+
 Every candidate is verified by the exact word edit distance of the whole item to the best span around it. The index of at most
 ``ITEMS_PER_PASS`` items is broadcast; more items take more passes over the documents, so the broadcast has a bound.
 """
@@ -49,6 +52,21 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def pieces(n_words: int, edits: int) -> list[tuple[int, int]]:
+    """(offset, words) of edits + 1 pieces of an item: each edit spoils one at most, so one of them stands unchanged in every match."""
+    cuts = [k * n_words // (edits + 1) for k in range(edits + 2)]
+    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
+
+
+def _piece_keys(mixed: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    acc = np.full(max(0, len(mixed) - n + 1), n, np.uint64)
+    for k in range(n):
+        acc = (acc ^ mixed[k : k + len(acc)]) * _MIX
+        acc ^= acc >> np.uint64(32)
+    return acc
+
+
 def edits_allowed(n_words: int, similarity: float = SIMILARITY) -> int:
     """Most edits d with 1 - d / n >= similarity."""
     return int(math.floor((1 - similarity) * n_words + 1e-9))
@@ -165,6 +183,7 @@ class Index:
     items: list[tuple[object, list[int]]]
     plans: dict[int, Plan]
     tables: dict[int, tuple]  # sorted keys, sub-window of each; item and shift of each sub-window, its embeddings by walk, most edits in the class
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by words in a piece: sorted keys, item and offset of each
     similarity: float
 
     @staticmethod
@@ -176,8 +195,18 @@ class Index:
             if len(ws) >= LEAST_WORDS:
                 items.append((i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws]))
         plans, found = {}, {}
+        cut: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, ids) in enumerate(items):
-            found.setdefault(window_size(len(ids)), []).append(k)
+            if len(ids) >= LEAST_WORDS:
+                found.setdefault(window_size(len(ids)), []).append(k)
+            mixed = _mixed(np.array(ids, np.uint64))
+            for at, n in pieces(len(ids), edits_allowed(len(ids), similarity)):
+                cut.setdefault(n, []).append((int(_piece_keys(mixed[at : at + n], n)[0]), k, at))
+        seeds = {}
+        for n, got in cut.items():
+            got.sort()
+            key, item, at = zip(*got, strict=True)
+            seeds[n] = np.array(key, np.uint64), np.array(item, np.int64), np.array(at, np.int64)
         tables = {}
         for w, members in found.items():
             plan = plans[w] = Plan.of(w, bands=bands)
@@ -192,13 +221,15 @@ class Index:
             sub = np.concatenate([np.tile(np.arange(len(starts), dtype=np.int32), len(b)) for _, b in plan.walks])
             order = np.argsort(keys, kind="stable")
             tables[w] = keys[order], sub[order], who, shift, embs, max(edits_allowed(n, similarity) for n in lens)
-        return Index(vocabulary, items, plans, tables, similarity)
+        return Index(vocabulary, items, plans, tables, seeds, similarity)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) of every match in a batch of texts."""
-        if not self.tables:
+        if not self.items:
             return []
-        pad = max(t[-1] for t in self.tables.values()) + 1
+        lens = np.array([len(x) for _, x in self.items])
+        allowed = np.array([edits_allowed(int(n), self.similarity) for n in lens])
+        pad = int(allowed.max()) + 1
         get, none, parts, starts_of, at = self.vocabulary.get, itertools.repeat(0), [], [], 0
         gap = np.zeros(pad, np.int32)  # more unknown words than a window may hold: none spans two texts
         for t in texts:
@@ -209,7 +240,7 @@ class Index:
         ids = np.concatenate(parts)
         if not ids.any():
             return []
-        most = max(self.tables)
+        most = max(self.tables, default=0)
         ids = np.concatenate((ids, np.zeros(most, np.int32)))
         mixed = _mixed(ids.astype(np.uint64))
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
@@ -232,6 +263,20 @@ class Index:
                         win, own = pair >> 32, pair & 0xFFFFFFFF
                         near = (emb[:, win] != embs[v][:, own]).mean(0) <= MOST_DIFFERING
                         found.update(zip(who[own[near]].tolist(), (starts[win[near]] - shift[own[near]]).tolist(), strict=True))
+        for n, (keys, item, offset) in self.seeds.items():
+            where = np.flatnonzero(unknown[n:] == unknown[:-n])
+            got = _piece_keys(mixed, n)[where]
+            lo = np.searchsorted(keys, got, "left")
+            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == got)
+            m = np.searchsorted(keys, got[hit], "right") - lo[hit]
+            for h in range(0, len(hit), 1 << 14):
+                c = m[h : h + (1 << 14)]
+                rows = np.repeat(lo[hit[h : h + (1 << 14)]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                who, place = item[rows], np.repeat(where[hit[h : h + (1 << 14)]], c) - offset[rows]
+                # a match has all but the allowed edits of the item's words here
+                a, z = np.clip(place - allowed[who], 0, len(ids)), np.clip(place + lens[who] + allowed[who], 0, len(ids))
+                fits = z - a - (unknown[z] - unknown[a]) >= lens[who] - allowed[who]
+                found.update(zip(who[fits].tolist(), place[fits].tolist(), strict=True))
         at = len(ids) - most
         out, ends = set(), [*starts_of[1:], at]
         offsets = np.array(starts_of)

@@ -60,6 +60,22 @@ def test_decontamination_recall_and_clean_documents(spark):
     assert decontaminate.matches(df.limit(0), b).count() == 0 == decontaminate.matches(df, b.limit(0)).count()
 
 
+def test_decontamination_finds_all_at_the_allowed_edits():
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(3000)}"
+    for n in range(5, 65):
+        items = [(k, " ".join(word() for _ in range(n))) for k in range(12)]
+        texts = []
+        for _, t in items:
+            w = t.split()
+            for _ in range(decontaminate.edits_allowed(n)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+            texts.append(" ".join([*[word() for _ in range(rng.randint(0, 40))], *w, *[word() for _ in range(20)]]))
+        got = {(t, k) for t, k, *_ in decontaminate.Index.of(items).search(texts)}
+        assert {(k, k) for k in range(12)} <= got, n
+
+
 def test_decontamination_in_several_passes(spark):
     df = table(spark, SF, "documents")
     b = table(spark, SF, "benchmark")

@@ -11,7 +11,7 @@ document's grid wherever the item stands. Windows with more words unknown to the
 passed over: they can't match.
 
 Beside that, an item that allows d edits is cut into d + 1 pieces, of which one stands unchanged in every match. All pieces are looked up at every
-word, so no match is lost to chance.
+word, so no match is lost to chance; items under five words allow no edit and are a single piece. Scripts without spaces count by characters.
 
 Every candidate is verified by the exact word edit distance of the whole item to the best span around it. The index of at most
 ``ITEMS_PER_PASS`` items is broadcast; more items take more passes over the documents, so the broadcast has a bound.
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lumiframe.llm.common import spread, table, text_batches
 
 SIMILARITY = 0.8
-#: Items of fewer words say too little to be told from chance and are passed over.
+#: Items of fewer words allow no edit: they are found by their one piece alone.
 LEAST_WORDS = 5
 ITEMS_PER_PASS = 2_000
 WALKS = 2
@@ -45,11 +45,18 @@ TARGET_RECALL = 0.95
 SEED = 20_241
 
 _WORD = re.compile(r"\w+")
+#: Scripts written without spaces (Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese): each character is a word.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD_OR_SIGN = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_WORD if text.isascii() or not _HAS_UNSPACED.search(text) else _WORD_OR_SIGN).findall(text)
 
 
 def pieces(n_words: int, edits: int) -> list[tuple[int, int]]:
@@ -192,7 +199,7 @@ class Index:
         items = []
         for i, t in rows:
             ws = words_of(t)
-            if len(ws) >= LEAST_WORDS:
+            if ws:
                 items.append((i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws]))
         plans, found = {}, {}
         cut: dict[int, list[tuple[int, int, int]]] = {}

@@ -76,6 +76,14 @@ def test_decontamination_finds_all_at_the_allowed_edits():
         assert {(k, k) for k in range(12)} <= got, n
 
 
+def test_decontamination_of_short_items_and_scripts_without_spaces():
+    items = [(0, "alpha beta"), (1, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u5427"), (2, "one two three four"), (3, "...")]
+    texts = ["x Alpha, beta y", "beta alpha", "\u4ed6\u8bf4\u4eca\u5929\u5929\u6c14\u5f88\u574f\u6211\u4eec\u53bb\u516c\u56ed\u5427\u3002", "one two three five", None, "one two three four"]
+    got = decontaminate.Index.of(items).search(texts)
+    assert {(t, k) for t, k, *_ in got} == {(0, 0), (2, 1), (5, 2)}
+    assert {(t, s, n, d) for t, _, s, n, d in got} == {(0, 1, 2, 0), (2, 2, 12, 1), (5, 0, 4, 0)}
+
+
 def test_decontamination_in_several_passes(spark):
     df = table(spark, SF, "documents")
     b = table(spark, SF, "benchmark")

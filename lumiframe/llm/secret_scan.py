@@ -67,6 +67,13 @@ RULES = (
     Rule("jwt", 1, "eyJ", r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, "eyJ", False),
 )
 
+_KEY_LABEL = "[A-Z ]{0,30}PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[nr])*+"
+#: A private key's body: all up to its END line, before any other such mark; without one, the base64 that follows, and its short last line.
+_KEY_BODY = rf"[^-]*+(?:-(?!----)[^-]*+){{0,400}}+-----END {_KEY_LABEL}|(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+){{1,400}}+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=\s|\\[nr]|\z))?|"
+#: What is masked: as RULES, but private keys whole. The query and its SQL report the BEGIN line only.
+MASKED = tuple(Rule("pem", 2, f"-----BEGIN {_KEY_LABEL}", _KEY_BODY, 0, "-----BEGIN ", False) if r.kind == "pem" else r for r in RULES)
+
 _BLOCK = 64
 SPAN = "array<struct<start:bigint,rule:int,stop:bigint>>"
 

@@ -26,7 +26,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every document stays, each secret in its text becomes ``[SECRET]``; ``n_chars`` follows where it is a column."""
-    found = secret_scan.to_paths(docs, secret_scan.scan_unseen(docs), spans="__spans")
+    found = secret_scan.to_paths(docs, secret_scan.scan_unseen(docs, rules=secret_scan.MASKED), spans="__spans")
     found = found.withColumn("__text", secret_scan.redact(F.col("text"), F.col("__spans")))
     text = F.col("__text")
     cols = []

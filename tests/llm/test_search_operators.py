@@ -327,3 +327,14 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
             got = stage(spark, frame, SF)
             assert got.columns == frame.columns
             got.collect()
+
+
+def test_stage_masks_whole_private_keys(spark):
+    from lumiframe.llm import stages
+
+    key = "\n".join("Ab+/" * 16 for _ in range(30)) + "\nAbc9="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a\n{begin}\nDEK-Info: AES-128-CBC,00\n\n{key}\n{end}\nb", f"a {begin}\n{key}\nb c", f"x {begin} y {begin}\n{key}\n{end} z", f"q {begin}"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.text for r in stages.mask_secrets(spark, df, SF).collect()}
+    assert got == {0: "a\n[SECRET]\nb", 1: "a [SECRET]\nb c", 2: "x [SECRET] y [SECRET] z", 3: "q [SECRET]"}

@@ -2,7 +2,8 @@
 
 Ids are those of the byte-level BPE in ``byte_bpe_50k.json``; the merge loop runs over the same vocabulary's rank
 file, which gives the same ids several times faster. A text that holds a special token's string goes through the
-JSON tokenizer itself, which alone knows those.
+JSON tokenizer itself, which alone knows those, and so does a text that the fast one breaks off at (runs of about a
+million spaces overflow its pattern's stack).
 """
 
 from __future__ import annotations
@@ -54,7 +55,12 @@ def encode(text: str | None, rank_path: str | None = None, json_path: str | None
         return np.zeros(0, np.uint32)
     if SPECIAL in text:
         return np.array(_json_tokenizer(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
-    return np.array(_rank_encoding(rank_path).encode_ordinary(text), np.uint32)
+    try:
+        return np.array(_rank_encoding(rank_path).encode_ordinary(text), np.uint32)
+    except BaseException as e:
+        if type(e).__name__ != "PanicException":  # a panic of the native code is no Exception
+            raise
+    return np.array(_json_tokenizer(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def char_spans(text: str, ids: np.ndarray, rank_path: str | None = None) -> tuple[np.ndarray, np.ndarray]:

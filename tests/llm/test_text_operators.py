@@ -62,6 +62,37 @@ def test_token_counts_round_trip(spark):
     assert tokens.token_counts(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_token_counts_against_a_slow_join(spark):
+    """Every document, every token against every line it touches."""
+    docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    want = {}
+    for d, t in docs.items():
+        lines, at = [], 0
+        for x in t.split("\n"):
+            lines.append((at, at + len(x) + 1))
+            at += len(x) + 1
+        lines = [(a, min(b, len(t))) for a, b in lines if a < len(t)] or [(0, 0)]
+        n, cross = [0] * len(lines), [0] * len(lines)
+        for s, e in tokens._json_tokenizer(None).encode(t, add_special_tokens=False).offsets:
+            shares = [max(0, min(b, e) - max(a, s)) for a, b in lines]
+            k = shares.index(max(shares))
+            n[k] += 1
+            cross[k] += sum(x > 0 for x in shares) > 1
+        want |= {(d, k): (*lines[k], n[k], cross[k]) for k in range(len(lines))}
+    got = {(r.doc_id, r.section): (r.start, r.stop, r.n_tokens, r.n_crossing) for r in tokens.token_counts(table(spark, SF, "documents")).collect()}
+    assert got == want
+
+
+def test_runs_that_the_fast_tokenizer_breaks_off_at(spark):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" * 1_000_000)]
+    n = {d: len(tokens._json_tokenizer(None).encode(t, add_special_tokens=False).ids) for d, t in rows}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = tokens.token_counts(docs).groupBy("doc_id").agg({"n_tokens": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == n
+    got = packing.pack(docs).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == {d: k + 1 for d, k in n.items()}
+
+
 def test_spans_match_the_tokenizer_offsets():
     for t in ("plain words, and more.", "día über 日本語 👍 x", "a<|endoftext|>b", "x" * 500):
         e = tokens._json_tokenizer(None).encode(t, add_special_tokens=False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,32 +30,57 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset, and gets a temporary one."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "lumiframe-checkpoints")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    The table goes with ``discard``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumiframe/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumiframe_path = path
+    fs, p = _file(spark, path)
+    fs.deleteOnExit(p)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df``."""
-    path = getattr(df, "_lumiframe_path", None)
-    if path:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these."""
+    for df in tables:
+        if path := getattr(df, "_lumiframe_path", None):
+            fs, p = _file(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+#: A key of more than this share of all rows is hot; fewer keys than its inverse can be.
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``named`` (one row a key, written; column ``n``: how many of ``rows`` hold it; ``total``: all of them).
+
+    Hot keys, fewer than a thousand whatever the input, are broadcast, so none of them meets in one task; the others are shuffled."""
+    hot = named.filter(F.col(n) > max(1, total * HOT_SHARE))
+    if hot.isEmpty():
+        return rows.join(named, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.filter(F.col(n) <= max(1, total * HOT_SHARE)), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def held_out(key: str = "doc_id"):

@@ -1,12 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, without loss: prefix filtering and exact verification.
+"""Near-duplicates by SimHash, completed to every pair of Jaccard similarity 0.8 of word shingles.
 
-A document is the set of its shingles (five words, hashed to 64 bits). Under any one order of all shingles, two sets of similarity
-s share one of the first ``n - ceil(s * n) + 1`` shingles of each, so documents that share none need no look. The order puts shingles
-that a sample of the corpus repeats last, the most repeated at the very end: it decides how many documents meet, never which are found.
+Ball hashing within 4 bits (``simhash.links``) meets the closest texts, large groups of copies above all; each of its links is verified. It misses
+most pairs of similarity 0.8 to 0.92, which differ in 5 to 13 bits, so prefix filtering completes it: a document is the set of its
+shingles (five words, hashed to 64 bits). Under any one order of all shingles, two sets of similarity s share one of the first
+``n - ceil(s * n) + 1`` shingles of each, so documents that share none need no look. The order puts shingles that a sample of the corpus
+repeats last, the most repeated at the very end: it decides how many documents meet, never which are found.
 
-Equal sets are one node. Neighbours in each bucket are verified first; what they link needs no further pair. All other pairs of a bucket
-are verified after that, unless their sizes rule them out. So the components are those of all pairs, but a large group of copies
-costs its size and not its square.
+Equal sets are one node. Only buckets (documents that share a prefix shingle) of more than one group so far matter: neighbours of each are verified first,
+then all pairs that are still in different groups, unless their sizes rule them out. So the components are those of all pairs,
+but a large group of copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import materialize, text_batches
+from lumiframe.llm import simhash
+from lumiframe.llm.common import discard, materialize, text_batches
 from lumiframe.llm.components import components
+from lumiframe.llm.groups import name_groups, one_of_each, row_hash
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -29,15 +33,8 @@ REPEATED = 4
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted set of a text's shingles: words split at ASCII white space, A-Z lowered; a shorter text is one shingle."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < shingle:
-        return np.array([xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    return np.unique(np.array([xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))], np.uint64))
+    """The sorted set of a text's shingles, as ``simhash.shingle_hashes`` has them."""
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def set_key(h: np.ndarray) -> int:
@@ -68,8 +65,10 @@ def repeated(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> tup
     return h[order], rank[order]
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> DataFrame:
-    """(doc_id, key, n, prefix) of every row."""
+def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, row, fp, key, n, prefix) of every row, written: a hash of its text, its fingerprint, and of its set of shingles a hash, the size and the prefix.
+
+    Null and wordless texts have the empty set and fingerprint zero; repeated rows each get a row; an empty table gives none; other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(repeated(docs, text, shingle))
 
     def first(h: np.ndarray) -> np.ndarray:
@@ -80,36 +79,26 @@ def _sets(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: i
         return h[: prefix_length(len(h), similarity)]
 
     def run(it):
-        for b in text_batches(it, text):
-            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
+        for b in text_batches(it, "text"):
+            every = [simhash.shingle_hashes(t, shingle) for t in b.column(2).to_pylist()]
+            fps = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             cut = [first(h).view(np.int64) for h in sets]
             ends = np.cumsum([0, *map(len, cut)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix], names=["doc_id", "key", "n", "prefix"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, key long, n int, prefix array<long>")
-
-
-def _own_key(shingle: int):
-    return F.pandas_udf(lambda s: s.map(lambda t: set_key(shingles(t, shingle))).astype("int64"), "long")
+            cols = [pa.array(fps), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "row", "fp", "key", "n", "prefix"])
 
+    src = docs.select(F.col(doc_id).alias("doc_id"), row_hash(text).alias("row"), F.col(text).alias("text"))
+    return materialize(src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row long, fp long, key long, n int, prefix array<long>"), "sets")
 
-def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar. ``first``: (key, first) with a doc_id of each key."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key")
-    own, src = _own_key(shingle), docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
 
-    def right(it):  # a repeated doc_id may have several texts; in a filter the function would run on all documents before the join
-        for b in text_batches(it, "__text"):
-            yield b.filter(pa.array([set_key(shingles(t, shingle)) == k for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.bool_()))
-
-    named = src.join(keys.filter("first is not null"), F.col("__id") == F.col("first"))
-    texts = named.select("key", "__text").mapInArrow(right, "key long, __text string")
-    if not keys.filter("first is null").isEmpty():
-        bare = src.filter("__id is null").withColumn("__own", own("__text")).join(keys.filter("first is null"), F.col("__own") == F.col("key"))
-        texts = texts.union(bare.select("key", "__text"))
-    texts = materialize(texts.dropDuplicates(["key"]), "texts")
+def _verified(pairs: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar, written. ``holder``: (key, doc_id, row) of one row for each key, whose text is looked up."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(holder, "key")
+    src = docs.select(F.col(doc_id).alias("__id"), row_hash(text).alias("__row"), F.col(text).alias("__text"))
+    texts = src.join(keys, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__row") == F.col("row"))).select("key", "__text")
+    texts = materialize(texts.groupBy("key").agg(F.first("__text").alias("__text")), "texts")
     side = lambda k: texts.select(F.col("key").alias(k), F.col("__text").alias(f"t{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
@@ -123,51 +112,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, doc_id: str,
                 keep.append(met >= similarity * (len(x) + len(y) - met) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    out = materialize(both.mapInArrow(run, "a long, b long"), "similar")
+    discard(texts)
+    return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, root, component_id) of each row: key is its set's hash, root the least key and component_id the least doc_id of its component, null if it has none.
-
-    Null and wordless texts have the same, empty set."""
-    d = materialize(_sets(docs, doc_id, text, similarity, shingle), "sets")
-    each = d.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    first = materialize(d.groupBy("key").agg(F.min("doc_id").alias("first")), "first")
-    rows = each.select(F.explode("prefix").alias("h"), "key", "n")
-    near = Window.partitionBy("h").orderBy("n", "key")
-    met = rows.select("h", "key", "n", F.lag("key").over(near).alias("before"), F.lag("n").over(near).alias("n_before"), F.lead("key").over(near).alias("after"))
-    met = materialize(met.filter("before is not null or after is not null"), "met")
+def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b) pairs of set keys, written, whose components are those of all pairs of similarity ``similarity`` or more.
+
+    ``sets``: the sketch of ``docs``; ``near``: links of its fingerprints, which are tried first."""
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")
+    each = materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(place).alias("p"), F.min("fp").alias("fp")), "keys")
+    holder = each.select("key", "p.doc_id", "p.row")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = materialize(met.filter(F.col("n_before") >= F.col("n") * similarity - 1e-9).select(*pair("key", "before")).distinct(), "tried")
-    verified = lambda pairs: materialize(_verified(pairs, docs, first, doc_id, text, similarity, shingle), "similar")
-    links = verified(tried)
-    label = components(links).withColumnRenamed("node", "key")
-    at = met.select("h", "key", "n").join(label, "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("label"))
-    at = materialize(at, "labels")
-    mixed = at.join(at.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h"), "h", "left_semi")
-    x, y = (mixed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "label")]) for s in "xy")
-    fits = (F.col("label_x") != F.col("label_y")) & (F.col("key_x") < F.col("key_y")) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-9)
-    rest = materialize(x.join(y, "h").filter(fits).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    root = label
-    if not rest.isEmpty():
-        more = verified(rest)
-        if not more.isEmpty():
-            root = components(more.union(label.select(F.col("key").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "key")
-    rooted = first.join(root, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return d.select("doc_id", "key").join(rooted.join(least, "root").select("key", "root", "component_id"), "key").select("doc_id", "key", "root", "component_id")
+    verified = lambda pairs: _verified(pairs, docs, holder, doc_id, text, similarity, shingle)
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+
+    of_fp = each.groupBy("fp").agg(F.min("key").alias("key"))
+    across = near.join(of_fp.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
+    within = each.select("fp", F.col("key").alias("y")).join(of_fp.select("fp", F.col("key").alias("x")), "fp").filter("x <> y")
+    found = verified(across.select(*pair("x", "y")).union(within.select(*pair("x", "y"))).distinct())
+
+    def mixed(edges: DataFrame) -> DataFrame:
+        """(h, key, n, label) of the buckets that hold more than one group."""
+        label = components(edges).select(F.col("node").alias("key"), "root")
+        rows = each.join(label, "key", "left").select(F.explode("prefix").alias("h"), "key", "n", F.coalesce("root", "key").alias("label"))
+        several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+        return materialize(rows.join(several, "h", "left_semi"), "buckets")
+
+    met = mixed(found)
+    order = Window.partitionBy("h").orderBy("n", "key")
+    before = [F.lag(c).over(order).alias(f"{c}_before") for c in ("key", "n", "label")]
+    next_to = met.select("key", "n", "label", *before).filter("label <> label_before").filter(fits("n", "n_before"))
+    tried = materialize(next_to.select(*pair("key", "key_before")).distinct(), "tried")
+    found = materialize(found.union(verified(tried)), "similar")
+    discard(met)
+
+    met = mixed(found)
+    x, y = (met.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "label")]) for s in "xy")
+    apart = (F.col("label_x") != F.col("label_y")) & (F.col("key_x") < F.col("key_y")) & fits("n_x", "n_y")
+    rest = x.join(y, "h").filter(apart).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = materialize(rest, "rest")
+    out = found if rest.isEmpty() else materialize(found.union(verified(rest)), "similar")
+    discard(met, tried, rest, each)
+    return out
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, row, key, root, first) of each row, see ``groups.name_groups``: key is its set's hash, root the least key of its component."""
+    sets = sketch(docs, doc_id, text, similarity, shingle)
+    near = simhash.links(sets.select("fp").distinct())
+    edges = links(sets, near, docs, doc_id, text, similarity, shingle)
+    discard(near)
+    return name_groups(sets.select("doc_id", "row", "key"), edges, "key")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id. Rows without an id stand for a component only if it has
-    no other; of repeated rows one stays. Columns are untouched."""
-    found = materialize(near_duplicates(docs, doc_id, text, similarity, shingle), "components")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.filter(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    if not found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    alone = found.filter("doc_id is null and component_id is null").select(F.col("key").alias("__key"), F.col("root").alias("__root")).distinct()
-    if alone.isEmpty():
-        return kept
-    bare = docs.filter(F.col(doc_id).isNull()).withColumn("__own", _own_key(shingle)(F.col(text))).join(alone, F.col("__own") == F.col("__key")).dropDuplicates(["__root"])
-    return kept.unionByName(bare.select(*docs.columns))
+    """``docs`` with one row of each component: that of the least doc_id; of different texts under that id the one with the least
+    set key, then the least text hash. Rows without an id stand for a component only if it has no other; of rows equal in id and text one
+    stays. Null and wordless texts are one component. Columns are untouched; an empty table stays empty."""
+    return one_of_each(docs, near_duplicates(docs, doc_id, text, similarity, shingle), "key", doc_id, text)

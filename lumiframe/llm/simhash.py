@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import materialize, partitions, spread, table, text_batches
-from lumiframe.llm.components import components
+from lumiframe.llm.common import discard, materialize, partitions, spread, table, text_batches
+from lumiframe.llm.groups import name_groups, one_of_each, row_hash
 
 RADIUS = 4
 SHINGLE = 4
@@ -32,34 +32,41 @@ BLOCKS = ((0, 22), (22, 43), (43, 64))
 MOST = 128
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash: words split at ASCII white space, A-Z lowered, shingles hashed by XXH64 with seed 42."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included: words split at ASCII white space, A-Z lowered; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        h = [xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        h = [xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))]
+        return np.array([xxh64_intdigest(b" ".join(words), 42)] if words else [], "<u8")
+    return np.fromiter((xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))), "<u8", len(words) - shingle + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 15):
-        bits = np.unpackbits(np.array(h[k : k + (1 << 15)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
+        ones += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a whole text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null and wordless texts have fingerprint zero."""
+    """(doc_id, row, fp) of each row: row is a hash of the text, fp the fingerprint as a signed long.
+
+    Null and wordless texts have fingerprint zero; repeated rows each get a row; an empty table gives none; other columns are ignored."""
 
     def run(it):
-        for b in text_batches(it, text):
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        for b in text_batches(it, "text"):
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps)], names=["doc_id", "row", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), row_hash(text).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, fp long")
 
 
 def _ball(bits: list[int], radius: int) -> np.ndarray:
@@ -236,12 +243,15 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): a forest whose components are those of "differ in at most 4 bits" among the distinct ``fp`` of ``fps``."""
     n = partitions(fps.sparkSession)
     met = lambda sent, found, carried: sent.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_streamed(found, carried), "a long, b long")
-    near = materialize(met(fps.select("fp").repartition(n, F.xxhash64("fp")).mapInArrow(_emit_pairs(most), ENTRY), _met_pairs(most), most + 1), "links")
-    hot = near.filter("a = b").select(F.col("a").alias("fp")).distinct()
-    near = near.filter("a <> b")
-    if hot.isEmpty():
-        return near
-    return near.union(met(hot.mapInArrow(_emit_balls, ENTRY), _met_balls, 1))
+    met_pairs = materialize(met(fps.select("fp").repartition(n, F.xxhash64("fp")).mapInArrow(_emit_pairs(most), ENTRY), _met_pairs(most), most + 1), "links")
+    hot = met_pairs.filter("a = b").select(F.col("a").alias("fp")).distinct()
+    near = met_pairs.filter("a <> b")
+    if not hot.isEmpty():
+        near = materialize(near.union(met(hot.mapInArrow(_emit_balls, ENTRY), _met_balls, 1)), "links")
+        discard(met_pairs)
+    else:
+        near._lumiframe_path = met_pairs._lumiframe_path
+    return near
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
@@ -250,29 +260,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and wordless texts have fingerprint zero and are linked like any other; a component without any doc_id has a null
     component_id; repeated rows each get a row; an empty table gives no rows; other columns are ignored."""
+    return _named(docs, doc_id, text, shingle, most).select("doc_id", "fp", "root", F.col("first.doc_id").alias("component_id"))
+
+
+def _named(docs: DataFrame, doc_id: str, text: str, shingle: int, most: int) -> DataFrame:
     d = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    first = d.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = components(links(first, most)).select(F.col("node").alias("fp"), "root")
-    rooted = first.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return d.join(named, "fp").select("doc_id", "fp", "root", "component_id")
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id. Rows without an id stand for a component only if it has
-    no other; of repeated rows one stays. Columns are untouched."""
-    found = materialize(near_duplicates(docs, doc_id, text), "components")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.filter(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    if not found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    if found.filter("doc_id is null and component_id is null").isEmpty():
-        return kept
-    alone = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    own = F.pandas_udf(lambda s: s.map(lambda t: int(np.uint64(fingerprint(t)).view(np.int64))).astype("int64"), "long")
-    anonymous = docs.filter(F.col(doc_id).isNull()).withColumn("__own", own(F.col(text))).join(alone, F.col("__own") == F.col("__fp")).dropDuplicates(["__root"])
-    return kept.unionByName(anonymous.select(*docs.columns))
+    near = links(d.select("fp").distinct(), most)
+    named = name_groups(d, near)
+    discard(near)
+    return named
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id; of different texts under that id the one with the least
+    fingerprint, then the least text hash. Rows without an id stand for a component only if it has no other; of rows equal in id and text
+    one stays. Null and wordless texts are one component. Columns are untouched; an empty table stays empty."""
+    return one_of_each(docs, _named(docs, doc_id, text, shingle, most), "fp", doc_id, text)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

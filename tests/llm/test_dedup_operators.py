@@ -87,6 +87,40 @@ def test_deduplicate_edges(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def _clashing(spark):
+    """Two texts under one id, alone and with a copy of one of them elsewhere; a repeated row; rows without an id."""
+    a, b = "one two three four five six seven eight", "quite another text that nobody has copied so far"
+    alone = spark.createDataFrame([(7, a, 1), (7, b, 2)], DOCS + ", __gone_id int")
+    copied = spark.createDataFrame([(7, a, 1), (7, b, 2), (3, a, 3), (7, b, 2), (None, b, 4)], DOCS + ", __gone_id int")
+    return (a, b), alone, copied
+
+
+@pytest.mark.parametrize("which", ["simhash", "stage"])
+def test_texts_under_one_id_are_kept_apart(spark, which):
+    from lumiframe.llm import stages
+
+    (a, b), alone, copied = _clashing(spark)
+    run = simhash.deduplicate if which == "simhash" else lambda d: stages.drop_near_duplicates(spark, d, SF)
+    assert sorted((r.doc_id, r.text) for r in run(alone).collect()) == [(7, a), (7, b)]
+    assert sorted((r.doc_id, r.text) for r in run(copied).collect()) == [(3, a), (7, b)]
+    assert run(copied).columns == copied.columns
+
+
+def test_one_hot_group_is_salted_and_broadcast(spark):
+    """A third of the rows equal, and a component of many near copies."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base)) for k in range(400)] + [(1000 + k, " ".join([*base[:k], "zz", *base[k + 1 :]])) for k in range(100)] + [(5000 + k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(600)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).toPandas()
+    fps = {d: simhash.fingerprint(t) for d, t in rows}
+    uniq = sorted(set(fps.values()))
+    root = _roots(len(uniq), [(i, j) for i in range(len(uniq)) for j in range(i) if (uniq[i] ^ uniq[j]).bit_count() <= 4])
+    of = dict(zip(uniq, root, strict=True))
+    least = {}
+    for d, f in fps.items():
+        least[of[f]] = min(least.get(of[f], d), d)
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == {d: least[of[f]] for d, f in fps.items()}
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(100, 160)]
     star = [(500, k) for k in range(501, 560)]

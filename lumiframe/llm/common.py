@@ -46,13 +46,24 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
 
     The table goes with ``discard``, or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumiframe/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.mode("error").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumiframe_path = path
+    return out
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nobody uses; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/lumiframe/{label}-{uuid.uuid4().hex}"
     fs, p = _file(spark, path)
     fs.deleteOnExit(p)
-    return out
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
 
 
 def _file(spark: SparkSession, path: str):

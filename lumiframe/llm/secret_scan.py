@@ -2,7 +2,7 @@
 
 Every version of every path is content-addressed (SHA-256 of its text). A blob is scanned once for each
 version of each rule: pairs of (blob, rule version) that the ledger already holds are skipped, new ones are
-scanned and appended, and findings are joined back to every path that holds the blob. Copies therefore cost
+scanned and appended, and findings are joined from the ledger back to every path that holds the blob. Copies therefore cost
 one scan, and a second run over the same corpus costs none.
 
 Positions without a regex-position function: ``regexp_replace`` puts a mark before, inside and after each match,
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import fresh, table
+from lumiframe.llm.common import exists, fresh, materialize, new_path, table
 
 MARK = "\ue000"
 STAND_IN = "\ue001"
@@ -150,22 +150,39 @@ def ledger_rows(added: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def from_ledger(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger's findings for the current rule versions: (blob_id, spans)."""
-    now = ledger.filter(F.col("rule_id").isin([r.id for r in rules]))
-    return now.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    """The ledger's findings for the current rule versions: (blob_id, spans) of the blobs that have any. A pair that two runs have added counts once."""
+    now = ledger.filter(F.col("rule_id").isin([r.id for r in rules]) & (F.size("spans") > 0))
+    return now.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def update(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Brings the ledger at ``path`` up to date with ``versions`` and returns it: only pairs of blob and rule version that it doesn't hold are scanned and
+    appended, in one commit; a run that fails appends nothing. A missing ledger is begun."""
+    spark = versions.sparkSession
+    had = spark.read.schema(ledger_schema()).parquet(path) if exists(spark, path) else None
+    ledger_rows(scan_unseen(versions, had, text, rules), rules).write.mode("append").parquet(path)
+    return spark.read.schema(ledger_schema()).parquet(path)
+
+
+def findings(versions: DataFrame, path: str | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob_id, spans), written: what the ledger at ``path`` has on its blobs, after it was brought up to date. Without a path the ledger is one of this run's own."""
+    return materialize(from_ledger(update(versions, path or new_path(versions.sparkSession, "ledger"), text, rules), rules), "findings")
 
 
 def to_paths(versions: DataFrame, findings: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``versions`` with a column ``spans`` (another name where that is taken): each version gets the findings of its blob."""
-    spans = fresh(versions, spans)
-    v = versions.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    f = findings.select(F.col("blob_id").alias("__blob_f"), F.col("spans").alias("__found")).filter(F.size("__found") > 0)
+    """``versions`` with a column ``spans`` (another name where that is taken, see ``fresh``): each version gets the findings of its blob.
+
+    ``findings`` has one row a blob and is best a written table: both sides of the join then are plain shuffles, of which the adaptive planner
+    splits what a hot blob's versions fill. Null texts are the empty blob; repeated rows each get a row; empty tables give none."""
+    spans, blob, found = fresh(versions, spans), fresh(versions, "__blob"), fresh(versions, "__found")
+    v = versions.withColumn(blob, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    f = findings.select(F.col("blob_id").alias("__blob_of_findings"), F.col("spans").alias(found)).filter(F.size(found) > 0)
     none = F.array().cast(SPAN)
-    return v.join(f, F.col("__blob") == F.col("__blob_f"), "left").select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce("__found", none).alias(spans))
+    return v.join(f, F.col(blob) == F.col("__blob_of_findings"), "left").select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce(found, none).alias(spans))
 
 
 def redact(text: Column, spans: Column, label: str = "[SECRET]") -> Column:
-    """``text`` with each span, or each run of spans that overlap, replaced by ``label``."""
+    """``text`` with each span, or each run of spans that overlap, replaced by ``label``; a null text, or one without spans, as it is."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -190,10 +207,9 @@ def digest(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's query: a first run (empty ledger) over every document."""
+    """The contract's query: a first run over every document, so the ledger begins empty; findings come from the ledger."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    v = to_paths(docs, scan_unseen(docs)).select("doc_id", "spans")
-    return digest(v)
+    return digest(to_paths(docs, findings(docs)).select("doc_id", "spans"))
 
 
 _SQL_MARK = "chr(57344)"

@@ -278,6 +278,34 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert secret_scan.to_paths(a, first).filter(F.size("spans") > 0).count() == 3
 
 
+def test_ledger_on_disk(spark, tmp_path):
+    """Three runs over one ledger: new blobs, nothing new, a newer rule. Findings always are those of a scan of everything."""
+    import dataclasses
+
+    path = str(tmp_path / "ledger")
+    a = spark.createDataFrame([(1, SECRETS[2]), (2, SECRETS[1]), (3, SECRETS[2]), (4, None)], DOCS)
+    b = a.union(spark.createDataFrame([(5, SECRETS[7]), (6, "clean")], DOCS))
+    newer = (dataclasses.replace(secret_scan.RULES[0], version=2), *secret_scan.RULES[1:])
+    n = []
+    for df, rules in ((a, secret_scan.RULES), (b, secret_scan.RULES), (b, secret_scan.RULES), (b, newer)):
+        got = {r.blob_id: r.spans for r in secret_scan.findings(df, path, rules=rules).collect()}
+        want = {r.blob_id: r.spans for r in secret_scan.scan_unseen(b, rules=rules).collect() if r.spans}
+        assert got == {k: v for k, v in want.items() if k in got} and (df is a or got == want)
+        n.append(spark.read.parquet(path).count())
+    kinds = len(secret_scan.RULES)
+    assert n == [3 * kinds, 5 * kinds, 5 * kinds, 5 * kinds + 5]
+
+
+def test_hot_blob_and_clashing_columns(spark):
+    rows = [(k, "x token=abcdefgh y" if k % 3 == 0 else f"clean {k}", "q") for k in range(300)]
+    df = spark.createDataFrame(rows, DOCS + ", __blob string").withColumn("__found", F.lit(1)).withColumn("__spans", F.lit(2)).withColumn("__masked", F.lit(3)).withColumn("__text", F.lit(4)).withColumn("blob_id", F.lit(5)).withColumn("spans", F.lit(6))
+    from lumiframe.llm.stages import mask_secrets
+
+    got = mask_secrets(spark, df, SF)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {k: t.replace("token=abcdefgh", "[SECRET]") for k, t, _ in rows}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefgh x AKIA" + "A" * 20 + "."), (2, None), (3, "clean")], DOCS)
     v = secret_scan.to_paths(df, secret_scan.scan_unseen(df))

@@ -1,14 +1,15 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Distinct pages (of equal lines on a host the first) are range-partitioned, sorted by host and URL path and ranked, so a host of any size
-spreads over partitions. A page's partner is whichever neighbour by rank of the same host shares the longer path prefix; copies get
-the text of their first page. The lines of both are aligned by a longest
-common subsequence, and lines that the partner has too are deleted: what a site repeats from page to page is not the article.
-
-Before that, mark-up that can't be article is left out by name: scripts, styles, forms, navigation, asides, footers, and blocks whose
-class, id or role says advert, notice, menu, comments and the like. Lines inside an ``article`` or ``main`` element are anchored: the page
-itself says that they are its main text, so a copy of them on another page doesn't delete them, and on such pages only they are
-returned. On pages without such an element all lines face the differencing.
+spreads over partitions. A page's partner is whichever neighbour by rank of the same host shares the longer path prefix; copies share
+the partner of their first page. The lines of both are aligned by a longest common subsequence, and lines that the partner has too
+are deleted: what a site repeats from page to page is not the article. That is done on every page.
+
+Mark-up helps on both sides. What can't be article by name is no line at all: scripts, styles, forms, navigation, asides, footers, and blocks whose
+class, id or role says advert, notice, menu, comments and the like. Lines inside an ``article`` or ``main`` element are protected: the page
+itself says that they are its main text, so a copy of them on another page doesn't delete them.
+
+Pages are read twice, first for 64-bit hashes of their lines, which are all that is shuffled and aligned, then for the text without the lines found.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import materialize, partitions, table, text_batches
+from lumiframe.llm.common import discard, materialize, partitions, table, text_batches
 
 # Element names, and words in class, id or role.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math", "canvas", "audio", "video")
@@ -207,15 +208,6 @@ def lcs_mask(a: list, b: list) -> np.ndarray:
     return mask
 
 
-@dataclass
-class _Page:
-    row: tuple
-    host: str
-    path: str
-    lines: list[str]
-    anchored: list[bool]
-
-
 def _prefix(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
@@ -225,52 +217,65 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def difference(page: _Page, partners: list[_Page]) -> str:
-    """The page's text: its anchored lines if it has any, else its lines without those shared with the nearest partner."""
-    if any(page.anchored):
-        return " ".join(t for t, keep in zip(page.lines, page.anchored, strict=True) if keep)
-    best = max(((_prefix(page.path, q.path), -k, q) for k, q in enumerate(partners) if q.host == page.host and q.lines != page.lines), default=None, key=lambda x: x[:2])
-    if best is None:
-        return " ".join(page.lines)
-    shared = lcs_mask(page.lines, best[2].lines)
-    return " ".join(t for t, gone in zip(page.lines, shared, strict=True) if not gone)
+def shared_lines(path: str, lines: list, partners: list[tuple[str, list]]) -> list[int]:
+    """The numbers of the lines that the partner has too, which is the (path, lines) of the longest common path prefix, ties to the first; none without partners."""
+    best = max(((_prefix(path, p), -k) for k, (p, _) in enumerate(partners)), default=None)
+    return [] if best is None else np.flatnonzero(lcs_mask(lines, partners[-best[1]][1])).tolist()
+
+
+def text_of(page: str | None, gone: list[int] | None) -> str:
+    """The page's text: its lines but those ``gone``, unless they are protected."""
+    lines, anchored = lines_of(page)
+    if gone:
+        drop = {k for k in gone if not anchored[k]}
+        lines = [t for k, t in enumerate(lines) if k not in drop]
+    return " ".join(lines)
+
+
+_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)"
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page.
 
     A null page is empty and gives an empty text; a null or odd URL is a host of its own kind (''), with no path; copies of a page
-    don't count as partners; repeated rows each get a row; an empty table gives no rows; other columns are ignored."""
-    pattern = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)"
-    part = lambda k: F.lower(F.coalesce(F.regexp_extract(url, pattern, k), F.lit("")))
-    src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), part(1).alias("host"), part(2).alias("path"))
+    don't count as partners; a page without a partner keeps all its lines; repeated rows each get a row; an empty table gives no rows; other
+    columns are ignored."""
+    part = lambda k: F.lower(F.coalesce(F.regexp_extract(url, _URL, k), F.lit("")))
+    src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), part(1).alias("host"), F.xxhash64(F.coalesce(F.col(page), F.lit(""))).alias("same"))
     kinds = pages.schema[page_id].dataType.simpleString()
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in text_batches(it, "html"):
+            got = [[t.encode("utf-8", "surrogatepass") for t in lines_of(h)[0]] for h in b.column(2).to_pylist()]
+            marks = [sha256(b"\n".join(x)).hexdigest() for x in got]  # a line holds no line end
+            hashes = [np.array([xxh64_intdigest(t) for t in x], np.uint64).view(np.int64) for x in got]
+            cols = [b.column(0), *b.columns[3:], pa.array(marks), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "host", "same", "path", "mark", "lines"])
+
+    sketch = materialize(src.withColumn("path", part(2)).mapInArrow(read, f"page_id {kinds}, host string, same long, path string, mark string, lines array<long>"), "lines")
+    gone = differenced(sketch).filter(F.size("gone") > 0)
+    gone = materialize(sketch.select("host", "same", "mark").distinct().join(gone, ["host", "mark"]).groupBy("host", "same").agg(F.first("gone").alias("gone")), "gone")
+    discard(sketch)
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(it, "html"):
-            got = [lines_of(h) for h in b.column(2).to_pylist()]
-            marks = [sha256("\n".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x, _ in got]  # a line holds no line end
-            cols = [*b.columns[:2], *b.columns[3:], pa.array(marks), pa.array([x for x, _ in got], pa.list_(pa.string())), pa.array([x for _, x in got], pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "path", "mark", "lines", "anchored"])
+            out = pa.array([text_of(h, g) for h, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], out, pc.cast(pc.utf8_length(out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    every = materialize(src.mapInArrow(read, f"page_id {kinds}, url string, host string, path string, mark string, lines array<string>, anchored array<boolean>"), "lines")
-    own = F.array_join(F.transform(F.filter(F.arrays_zip("lines", "anchored"), lambda x: x["anchored"]), lambda x: x["lines"]), " ")
-    done = lambda df, text: df.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
-    is_bare = ~F.exists("anchored", lambda x: x)
-    alone, bare = done(every.filter(~is_bare), own), every.filter(is_bare)
-    if bare.isEmpty():
-        return alone
-    texts = differenced(every)
-    return alone.unionByName(done(bare.join(texts, ["host", "mark"]), F.col("found")))
+    met = src.join(gone.select(F.col("host").alias("h"), F.col("same").alias("s"), "gone"), (F.col("host") == F.col("h")) & (F.col("same") == F.col("s")), "left")
+    return met.select("page_id", "url", "html", "gone").mapInArrow(write, f"page_id {kinds}, url string, text string, n_chars long")
 
 
-def differenced(every: DataFrame) -> DataFrame:
-    """(host, mark, found): the text of each distinct page, copies counted once, by its nearest distinct pages before and after in the order of host, path and page_id.
+def differenced(sketch: DataFrame) -> DataFrame:
+    """(host, mark, gone): the lines that each distinct page, copies counted once, shares with its nearest distinct page before or after in the order of host, path and page_id.
 
     Pages are ranked by range partitions and their sizes, and meet their neighbours by rank: neither copies nor the edges of partitions come between them."""
     place = F.struct("path", "page_id")
-    first = every.groupBy("host", "mark").agg(F.min(place).alias("p"), F.min_by("lines", place).alias("lines"), F.max(~F.exists("anchored", lambda x: x)).alias("bare"))
-    first = first.select("host", "mark", F.col("p.path").alias("path"), F.col("p.page_id").alias("page_id"), "lines", "bare")
+    first = sketch.groupBy("host", "mark").agg(F.min(place).alias("p"), F.min_by("lines", place).alias("lines"))
+    first = first.select("host", "mark", F.col("p.path").alias("path"), F.col("p.page_id").alias("page_id"), "lines")
     order = ["host", "path", "page_id", "mark"]
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,26 +284,25 @@ def differenced(every: DataFrame) -> DataFrame:
             yield b.append_column("k", pa.array(np.arange(at, at + b.num_rows)))
             at += b.num_rows
 
-    cut = first.repartitionByRange(partitions(every.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    cut = first.repartitionByRange(partitions(sketch.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     cut = materialize(cut.mapInArrow(count, T.StructType([*cut.schema.fields, T.StructField("k", T.LongType())])), "ranked")
     sizes = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, at = [], 0
-    for part in range(max(sizes) + 1):
+    for part in range(max(sizes, default=0) + 1):
         starts.append(at)
         at += sizes.get(part, 0)
-    ranked = cut.select("host", "mark", "path", "lines", "bare", (F.element_at(F.lit(starts), F.col("part") + 1) + F.col("k")).alias("rank"))
+    ranked = cut.select("host", "mark", "path", "lines", (F.element_at(F.lit(starts), F.col("part") + 1) + F.col("k")).alias("rank"))
     side = lambda name, step: ranked.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "lines").alias(name))
-    met = ranked.filter("bare").join(side("before", 1), "rank", "left").join(side("after", -1), "rank", "left")
+    met = ranked.join(side("before", 1), "rank", "left").join(side("after", -1), "rank", "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for c in range(0, b.num_rows, 64):
                 rows = b.slice(c, 64).to_pylist()
-                page = lambda r: _Page((), r["host"], r["path"], r["lines"], [False] * len(r["lines"]))
-                out = [difference(page(r), [page(q) for q in (r["before"], r["after"]) if q]) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.string()) for x in ("host", "mark")] + [pa.array(out, pa.string())], names=["host", "mark", "found"])
+                out = [shared_lines(r["path"], r["lines"], [(q["path"], q["lines"]) for q in (r["before"], r["after"]) if q and q["host"] == r["host"]]) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.string()) for x in ("host", "mark")] + [pa.array(out, pa.list_(pa.int32()))], names=["host", "mark", "gone"])
 
-    return met.select("host", "mark", "path", "lines", "before", "after").mapInArrow(run, "host string, mark string, found string")
+    return met.select("host", "mark", "path", "lines", "before", "after").mapInArrow(run, "host string, mark string, gone array<int>")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

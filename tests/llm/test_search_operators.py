@@ -150,16 +150,18 @@ def test_html_differencing(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     slogan, rights = "Site slogan ", " All rights reserved"
-    assert got[1] == "text of 1" and got[2] == "text of 2" and got[8] == "Site slogan"
+    assert got[1] == "text of 1" and got[2] == "text of 2" and got[8] == "Site slogan text of 1"  # protected, and not shared
     assert got[5] == f"{slogan}text of 5{rights}" and got[6] == "" and got[7] == "z"
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 13])
+@pytest.mark.parametrize("n", [1, 8, 13, 211])
 def test_html_partners_across_copies_and_partitions(spark, n):
-    """A host that starts with copies, and more partitions than pages: every page has its nearest distinct partner."""
+    """A host that starts with copies, and more partitions than pages: every page has its nearest distinct partner, with and without an article."""
     page = lambda n: f"<body><p>Site slogan</p><p>text of {n}</p><p>All rights reserved</p></body>"
+    marked = lambda n: f"<body><p>Site slogan</p><article><p>Same start</p><p>text of {n}</p></article><p>All rights reserved</p></body>"
     rows = [(k, f"http://h/a/{k}", page(0)) for k in range(6)] + [(k, f"http://h/b/{k}", page(k)) for k in range(6, 12)] + [(20, "http://lone/", page(20)), (21, "http://m/0", "<main><p>same</p></main>"), (22, "http://m/1", "<p>same</p>")]
+    rows += [(k, f"http://n/{k}", marked(k)) for k in range(30, 40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", n)
@@ -168,9 +170,19 @@ def test_html_partners_across_copies_and_partitions(spark, n):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     want = {k: f"text of {0 if k < 6 else k}" for k in range(12)} | {20: "Site slogan text of 20 All rights reserved", 21: "same", 22: "same"}
+    want |= {k: f"Same start text of {k}" for k in range(30, 40)}
     assert got == {k: (t, len(t)) for k, t in want.items()}
 
 
+def test_html_very_long_and_null_pages(spark):
+    long = "<p>head</p>" + "".join(f"<p>line {k}</p>" for k in range(20_000)) + "<p>" + "x" * 1_000_000 + "</p>"
+    rows = [(1, "http://h/1", long), (2, "http://h/2", "<p>head</p><p>own</p>"), (None, "http://h/3", None), (4, None, "<p>lost"), (2, "http://h/2", "<p>head</p><p>own</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("lines", F.lit("clash"))
+    got = sorted(((r.page_id or 0, r.text) for r in html_extract.extract(df).collect()), key=lambda r: (r[0], len(r[1])))
+    assert [(k, t) for k, t in got if k != 1] == [(0, ""), (2, "own"), (2, "own"), (4, "lost")]
+    assert got[1][1].startswith("line 0 line 1 ") and len(got[1][1]) > 1_000_000
+
+
 def test_html_on_the_table(spark):
     import html
 

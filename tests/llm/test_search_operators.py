@@ -230,11 +230,39 @@ def test_ann_copies_ties_and_bad_vectors(spark):
     assert sorted(set(got.query_id)) == ids[qs].tolist()
     want = _nearest(ids, x, qs)
     assert [got[got.query_id == ids[q]].sort_values("rank").vec_id.tolist() for q in qs] == want
+    again = ann.search(df, df.filter("vec_id % 50 = 0"), queries_per_pass=3).toPandas()
+    key = ["query_id", "rank"]
+    assert again.sort_values(key).reset_index(drop=True).equals(got.sort_values(key).reset_index(drop=True))
     few = df.filter("vec_id in (250, 1, 2)")
     assert sorted(ann.search(few, few.filter("vec_id = 250")).toPandas()["rank"]) == [1, 2]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_of_several_lengths(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(6)] + [(k, [1.0, float(k), 2.0]) for k in range(50, 56)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id in (0, 50)"), k=2).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(0, 1): 1, (0, 2): 2, (50, 1): 51, (50, 2): 52}
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_ann_scores_few_pairs_exactly(clusters):
+    """The codes prune: at most one pair in twenty is scored exactly, without losing a neighbour."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))] + 0.5 * x
+    ids, unit = np.arange(len(x)), x / np.sqrt((x**2).sum(1))[:, None]
+    model = ann.fit_books(unit[:4000])
+    qs = ids[::200]
+    s = ann.Searcher(model, qs, x[qs], 5)
+    for c in range(0, len(x), 8192):
+        codes, rho, perp = model.encode(unit[c : c + 8192])
+        s.add(ids[c : c + 8192], x[c : c + 8192], ann.packed(codes), rho, perp)
+    assert [r.tolist() for r in s.best.id] == _nearest(ids, x, qs)
+    assert s.scored < 0.05 * s.pairs, s.scored / s.pairs
+
+
 # secrets
 BASE = {
     "assign": (re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 6),

@@ -13,7 +13,10 @@ repeat is kept away from the automata first:
    the last 13 words tells the least document that holds them. Spans whose windows all have an earlier document are removed.
 
 Hot keys: within a chunk of documents, a key or a segment that many of them hold is sent once, with the list of its holders; whatever
-is known to repeat inside the chunk doesn't wait for the shuffle. Words, not hashes, decide: hashes only pick the shard.
+is known to repeat inside the chunk doesn't wait for the shuffle. A key of more than ``MOST_HOLDERS`` documents makes no shard, whose automaton
+would outgrow a task: its windows go one by one, from each chunk only for the chunk's least document (all others in the chunk are
+known to repeat), and the least document of each is an aggregate and a join that no single task has to hold. So a shard is
+bounded by ``MOST_HOLDERS`` documents and its segments by ``MOST_WINDOWS`` windows. Words, not hashes, decide: hashes only pick the shard.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from lumiframe.llm.common import materialize, partitions, table, text_batches
 
 WINDOW = 13
 GRAM = 6
+MOST_HOLDERS = 1 << 14
+MOST_WINDOWS = 1 << 10
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -187,9 +192,11 @@ def _segments(window: int):
                 hit = np.isin(keys.view(np.int64), np.array(want, np.int64))
                 starts, sizes = _runs(keys)
                 words = raw.split()
-                for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-                    if hit[s]:
-                        held.setdefault((int(keys[s].view(np.int64)), b" ".join(words[s : s + n + window - 1])), []).append((d, r, s))
+                for first, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                    if hit[first]:
+                        for s in range(first, first + size, MOST_WINDOWS):
+                            n = min(MOST_WINDOWS, first + size - s)
+                            held.setdefault((int(keys[s].view(np.int64)), b" ".join(words[s : s + n + window - 1])), []).append((d, r, s))
             items = list(held.items())
             for c in range(0, len(items), 1 << 13):
                 part = items[c : c + (1 << 13)]
@@ -201,6 +208,52 @@ def _segments(window: int):
     return run
 
 
+LONE = "words string, doc_id long, row long, a long, b long"  # a finished span has no words
+
+
+def _lone_windows(window: int):
+    """Windows of hot keys: those of each chunk's least document, to meet the other chunks; for the chunk's other documents finished spans."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(it, "text", _CHUNK_BYTES):
+            held: dict[bytes, list] = {}
+            for d, r, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                raw = t.encode()
+                words = raw.split()
+                for s in np.flatnonzero(np.isin(window_keys(raw, window).view(np.int64), np.array(want, np.int64))).tolist():
+                    held.setdefault(b" ".join(words[s : s + window]), []).append((d, r, s))
+            texts, open_, done = [], [], []
+            for words, holders in held.items():
+                least = min(holders)[0]
+                for h in holders:
+                    if h[0] == least:
+                        texts.append(words)
+                        open_.append(h)
+                    else:
+                        done.append(h)
+            joined: list[list[int]] = []
+            for d, r, s in sorted(done):  # neighbouring windows are one span
+                if joined and joined[-1][:2] == [d, r] and s <= joined[-1][3]:
+                    joined[-1][3] = s + window
+                else:
+                    joined.append([d, r, s, s + window])
+            rows = [(d, r, s, s + window) for d, r, s in open_] + joined
+            for c in range(0, len(rows), 1 << 14):
+                cols = zip(*rows[c : c + (1 << 14)], strict=True)
+                said = pa.array(texts[c : c + (1 << 14)] + [None] * (len(rows[c : c + (1 << 14)]) - len(texts[c : c + (1 << 14)])), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([said, *(pa.array(x, pa.int64()) for x in cols)], names=["words", "doc_id", "row", "a", "b"])
+
+    return run
+
+
+def _hot_spans(docs: DataFrame, window: int) -> DataFrame:
+    """The spans of hot keys' windows. ``docs``: (doc_id, row, text, want)."""
+    every = materialize(docs.mapInArrow(_lone_windows(window), LONE), "hot-windows")
+    met = every.filter("words is not null")
+    first = materialize(met.groupBy("words").agg(F.min("doc_id").alias("first")), "hot-firsts")
+    return met.join(first, "words").filter("first < doc_id").select("doc_id", "row", "a", "b").union(every.filter("words is null").select("doc_id", "row", "a", "b"))
+
+
 class Automaton:
     """Suffix automaton of word sequences; every state keeps the document whose sequence reached it first."""
 
@@ -326,15 +379,29 @@ def _spans(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, a, b): word spans [a, b) to be removed; spans of a document may overlap. ``row`` tells rows with equal ids and different texts apart."""
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, most_holders: int = MOST_HOLDERS) -> DataFrame:
+    """(doc_id, row, a, b): word spans [a, b) to be removed; spans of a document may overlap. ``row`` tells rows with equal ids and different texts apart.
+
+    Null texts, rows without an id and empty tables have none; rows equal in id and text share their spans."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     n = partitions(docs.sparkSession)
     sketch = src.mapInArrow(_sketch(window), SKETCH)
     dealt = sketch.repartition(n, F.coalesce("at", F.xxhash64("key", "row"))).sortWithinPartitions("at", "doc_id")
-    wanted = materialize(dealt.mapInArrow(_repeated, "key long, doc_id long, row long"), "repeated-keys").groupBy("doc_id", "row").agg(F.collect_set("key").alias("want"))
-    segments = src.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "want").mapInArrow(_segments(window), SEGMENT)
-    return segments.repartition(n, "key").sortWithinPartitions("key", "least").mapInArrow(_spans(window), "doc_id long, row long, a long, b long")
+    keys = materialize(dealt.mapInArrow(_repeated, "key long, doc_id long, row long"), "repeated-keys")
+    hot = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_holders).select("key", F.lit(True).alias("hot")), "hot-keys")
+    none = hot.isEmpty()
+    marked = keys.withColumn("hot", F.lit(None).cast("boolean")) if none else keys.join(hot, "key", "left")
+    wanted = marked.groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("hot").isNull(), F.col("key"))).alias("want"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("lone"))
+    if none:
+        met = src.join(wanted, ["doc_id", "row"])
+    else:
+        wanted = materialize(wanted, "wanted-keys")
+        met = src.join(wanted.filter(F.size("want") > 0), ["doc_id", "row"])
+    segments = met.select("doc_id", "row", "text", "want").mapInArrow(_segments(window), SEGMENT)
+    spans = segments.repartition(n, "key").sortWithinPartitions("key", "least").mapInArrow(_spans(window), "doc_id long, row long, a long, b long")
+    if none:
+        return spans
+    return spans.union(_hot_spans(src.join(wanted.filter(F.size("lone") > 0), ["doc_id", "row"]).select("doc_id", "row", "text", F.col("lone").alias("want")), window))
 
 
 def _covered(n: int, spans: list) -> np.ndarray:
@@ -345,12 +412,12 @@ def _covered(n: int, spans: list) -> np.ndarray:
     return np.cumsum(mark)[:n] > 0
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, most_holders: int = MOST_HOLDERS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the words left, joined by one space.
 
     A null text has no words; documents of fewer words than a window lose none; a row without an id loses nothing and is nobody's
     reference; rows with equal ids aren't earlier than each other; an empty table gives no rows; other columns are ignored."""
-    spans = materialize(repeated_spans(docs, doc_id, text, window), "spans").groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = materialize(repeated_spans(docs, doc_id, text, window, most_holders), "spans").groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "spans")
     kind = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))

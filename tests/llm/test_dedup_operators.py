@@ -150,11 +150,13 @@ def slow_substring_dedup(docs, window=13):
     return out
 
 
-def _got(df):
-    return [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.deduplicate(df).collect()]
+def _got(df, **kw):
+    return [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.deduplicate(df, **kw).collect()]
 
 
-def test_substring_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("most", [substring_dedup.MOST_HOLDERS, 20, 0])
+def test_substring_dedup_against_brute_force(spark, most):
+    """By shards alone, with the windows of hot keys one by one, and with all windows so. Document 205 has more windows of one key than a segment."""
     rng = random.Random(4)
     passages = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(10, 60))] for _ in range(12)]
     docs = []
@@ -167,8 +169,18 @@ def test_substring_dedup_against_brute_force(spark):
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, DOCS).repartition(5)
     key = lambda r: (r[0] is None, r)
-    assert sorted(_got(df), key=key) == sorted(slow_substring_dedup(docs), key=key)
-    assert _got(df.limit(0)) == []
+    assert sorted(_got(df, most_holders=most), key=key) == sorted(slow_substring_dedup(docs), key=key)
+    assert _got(df.limit(0), most_holders=most) == []
+
+
+def test_a_hot_minimizer_fills_no_shard(spark):
+    """A line that every document holds between words of its own: all its windows go one by one."""
+    rng = random.Random(2)
+    line = [f"line{k}" for k in range(8)]
+    lone = lambda: [f"u{rng.randrange(10**9)}" for _ in range(15)]
+    docs = [(k, " ".join([*lone(), *line, *lone()])) for k in range(300)] + [(1000, " ".join([f"x{k}" for k in range(5)] + line)), (1001, " ".join([f"x{k}" for k in range(5)] + line))]
+    got = _got(spark.createDataFrame(docs, DOCS).repartition(4), most_holders=10)
+    assert sorted(got) == sorted(slow_substring_dedup(docs)) and sum(r[2] for r in got) == 13
 
 
 def test_automaton_finds_the_first_document():

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import spread, table, text_batches
+from lumiframe.llm.common import fresh, materialize, spread, table, text_batches
 
 SIMILARITY = 0.8
 #: Items of fewer words allow no edit: they are found by their one piece alone.
@@ -304,24 +304,24 @@ class Index:
         return sorted(out)
 
 
-def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> Iterator[Index]:
-    """Indexes of at most about ``items_per_pass`` items each; items without text are passed over."""
+def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> Iterator[tuple[Index, bool]]:
+    """Indexes of at most about ``items_per_pass`` items each, built one at a time, and whether there are several; items without text are passed over."""
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t is not null")
     n = max(1, -(-rows.count() // items_per_pass))
     for k in range(n):
         got = rows.filter(F.pmod(F.xxhash64(F.col("i").cast("string"), "t"), F.lit(n)) == k).orderBy("i", "t").toArrow().to_pydict()
-        yield Index.of(list(zip(got["i"], got["t"], strict=True)), similarity)
+        yield Index.of(list(zip(got["i"], got["t"], strict=True)), similarity), n > 1
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, edit_distance, similarity) of every passage of a document within the allowed edits of a whole item.
 
     Null and empty texts match nothing; equal items each get their rows; repeated rows are searched row by row; an empty benchmark or
-    table gives no rows; other columns are ignored."""
+    table gives no rows; other columns are ignored. Where the items take several passes, each pass's matches are written before the next index is built."""
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word int, n_words int, edit_distance int, similarity double"
     out = None
-    for index in passes(benchmark, similarity=similarity):
+    for index, several in passes(benchmark, similarity=similarity, items_per_pass=items_per_pass):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(it, sent=sent):
@@ -335,23 +335,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array([x[0] for x in items]), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.int32()), pa.array(sim)], names=["doc_id", "item_id", "start_word", "n_words", "edit_distance", "similarity"])
 
         one = docs.select(doc_id, text).mapInArrow(run, schema)
+        if several:
+            one = materialize(one, "matches")
+            sent.destroy()
         out = one if out is None else out.union(one)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of an item, columns untouched and without a shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of an item, columns untouched; without a shuffle where the items take one pass.
+
+    Null and empty texts hold none; an empty benchmark takes nothing; repeated rows fare alike. Several passes each write the hashes of the texts they found before
+    the next index is built, and the texts go in the end."""
     at = docs.columns.index(text)
-    for index in passes(benchmark, similarity=similarity):
+    bad = None
+    mark = F.sha2(F.col(f"`{text}`"), 256)
+    for index, several in passes(benchmark, similarity=similarity, items_per_pass=items_per_pass):
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        if not several:
 
-        def run(it, sent=sent):
-            for b in text_batches(it, text):
-                bad = {x[0] for x in sent.value.search(b.column(at).to_pylist())}
-                yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))
+            def run(it, sent=sent):
+                for b in text_batches(it, text):
+                    bad = {x[0] for x in sent.value.search(b.column(at).to_pylist())}
+                    yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))
+
+            return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+
+        def find(it, sent=sent):
+            for b in text_batches(it, "text"):
+                found = sorted({x[0] for x in sent.value.search(b.column(0).to_pylist())})
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(found, pa.int64()))], names=["mark"])
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
-    return docs
+        one = materialize(docs.select(F.col(f"`{text}`").alias("text"), mark.alias("mark")).mapInArrow(find, "mark string"), "found")
+        sent.destroy()
+        bad = one if bad is None else bad.union(one)
+    gone = fresh(docs, "__gone")
+    return docs.join(bad.distinct().select(F.col("mark").alias(gone)), mark == F.col(gone), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

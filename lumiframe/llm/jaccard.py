@@ -1,20 +1,18 @@
-"""Near-duplicates by SimHash, completed to every pair of Jaccard similarity 0.8 of word shingles.
+"""Near-duplicates by SimHash, completed to pairs of Jaccard similarity 0.8 of word shingles.
 
 Ball hashing within 4 bits (``simhash.links``) meets the closest texts, large groups of copies above all; each of its links is verified. It misses
-most pairs of similarity 0.8 to 0.92, which differ in 5 to 13 bits, so prefix filtering completes it: a document is the set of its
-shingles (five words, hashed to 64 bits). Under any one order of all shingles, two sets of similarity s share one of the first
-``n - ceil(s * n) + 1`` shingles of each, so documents that share none need no look. The order puts shingles that a sample of the corpus
-repeats last, the most repeated at the very end: it decides how many documents meet, never which are found.
-
-Equal sets are one node. Only buckets (documents that share a prefix shingle) of more than one group so far matter: neighbours of each are verified first,
-then all pairs that are still in different groups, unless their sizes rule them out. So the components are those of all pairs,
-but a large group of copies costs its size and not its square.
+most pairs of similarity 0.8 to 0.92, which differ in 5 to 13 bits, so min-hash bands complete it: a document is the set of its
+shingles (five words, hashed to 64 bits), and two sets of similarity s agree on a band of ``ROWS`` minima with probability s ** ROWS. All ``BANDS`` bands
+miss a pair of similarity 0.8 with probability 3e-6, of 0.9 with 1e-11; sets that share a passage only hardly ever meet. Every
+pair that is linked is verified on the exact sets.
+
+Equal sets are one node. Only buckets (documents that agree on a band) of more than one group so far matter: neighbours of each are verified first,
+then the pairs that are still in different groups, unless their sizes rule them out. So a large group of copies costs its size
+and not its square.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,9 +25,10 @@ from lumiframe.llm.groups import name_groups, one_of_each, row_hash
 
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Documents looked at for the order, and in how many of them a shingle counts as repeated.
-SAMPLE = 2_000
-REPEATED = 4
+#: Bands of so many minima each.
+BANDS, ROWS = 24, 4
+_RANDOM = np.random.default_rng(20_241).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_XOR, _MULTIPLY = _RANDOM[0] * np.uint64(2), _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -43,54 +42,33 @@ def set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
 
 
-def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def repeated(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts repeats, sorted, and the rank of each (1: least repeated)."""
-    part = max(1, docs.count() // SAMPLE)
-
-    def run(it):
-        for b in text_batches(it, text):
-            h = [shingles(t, shingle) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minima; none for the empty set."""
+    from xxhash import xxh64_intdigest
 
-    some = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(part)) == 0)
-    got = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= REPEATED).orderBy(F.desc("count"), "h").limit(1 << 18).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
-    order = np.argsort(h)
-    return h[order], rank[order]
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 2048):
+        np.minimum(least, ((h[k : k + 2048, None] ^ _XOR) * _MULTIPLY).min(0), out=least)
+    return np.array([xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
-def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, fp, key, n, prefix) of every row, written: a hash of its text, its fingerprint, and of its set of shingles a hash, the size and the prefix.
+def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, row, fp, key, n, bands) of every row, written: a hash of its text, its fingerprint, and of its set of shingles a hash, the size and the bands.
 
     Null and wordless texts have the empty set and fingerprint zero; repeated rows each get a row; an empty table gives none; other columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(repeated(docs, text, shingle))
-
-    def first(h: np.ndarray) -> np.ndarray:
-        hot, rank = sent.value
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            h = h[np.lexsort((h, np.where(hot[at] == h, rank[at], 0)))]
-        return h[: prefix_length(len(h), similarity)]
 
     def run(it):
         for b in text_batches(it, "text"):
             every = [simhash.shingle_hashes(t, shingle) for t in b.column(2).to_pylist()]
             fps = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in every]
-            cut = [first(h).view(np.int64) for h in sets]
-            ends = np.cumsum([0, *map(len, cut)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut)))
-            cols = [pa.array(fps), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "row", "fp", "key", "n", "prefix"])
+            cols = [pa.array(fps), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "row", "fp", "key", "n", "bands"])
 
     src = docs.select(F.col(doc_id).alias("doc_id"), row_hash(text).alias("row"), F.col(text).alias("text"))
-    return materialize(src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row long, fp long, key long, n int, prefix array<long>"), "sets")
+    return materialize(src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row long, fp long, key long, n int, bands array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> DataFrame:
@@ -118,11 +96,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str,
 
 
 def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b) pairs of set keys, written, whose components are those of all pairs of similarity ``similarity`` or more.
+    """(a, b) pairs of set keys, written, whose components are those of all pairs of similarity ``similarity`` or more that meet.
 
     ``sets``: the sketch of ``docs``; ``near``: links of its fingerprints, which are tried first."""
     place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")
-    each = materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(place).alias("p"), F.min("fp").alias("fp")), "keys")
+    each = materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(place).alias("p"), F.min("fp").alias("fp")), "keys")
     holder = each.select("key", "p.doc_id", "p.row")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     verified = lambda pairs: _verified(pairs, docs, holder, doc_id, text, similarity, shingle)
@@ -133,16 +111,22 @@ def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_
     within = each.select("fp", F.col("key").alias("y")).join(of_fp.select("fp", F.col("key").alias("x")), "fp").filter("x <> y")
     found = verified(across.select(*pair("x", "y")).union(within.select(*pair("x", "y"))).distinct())
 
+    near_by = Window.partitionBy("h").orderBy("n", "key")
+    rows = each.select(F.explode("bands").alias("h"), "key", "n")
+    shared = rows.withColumn("last", F.lag("key").over(near_by)).withColumn("next", F.lead("key").over(near_by)).filter("last is not null or next is not null")
+    shared = materialize(shared.select("h", "key", "n"), "shared")
+
     def mixed(edges: DataFrame) -> DataFrame:
-        """(h, key, n, label) of the buckets that hold more than one group."""
+        """(h, key, n, label) of the buckets that hold more than one group, written."""
         label = components(edges).select(F.col("node").alias("key"), "root")
-        rows = each.join(label, "key", "left").select(F.explode("prefix").alias("h"), "key", "n", F.coalesce("root", "key").alias("label"))
+        rows = materialize(shared.join(label, "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("label")), "labels")
         several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-        return materialize(rows.join(several, "h", "left_semi"), "buckets")
+        out = materialize(rows.join(several, "h", "left_semi"), "buckets")
+        discard(rows)
+        return out
 
     met = mixed(found)
-    order = Window.partitionBy("h").orderBy("n", "key")
-    before = [F.lag(c).over(order).alias(f"{c}_before") for c in ("key", "n", "label")]
+    before = [F.lag(c).over(near_by).alias(f"{c}_before") for c in ("key", "n", "label")]
     next_to = met.select("key", "n", "label", *before).filter("label <> label_before").filter(fits("n", "n_before"))
     tried = materialize(next_to.select(*pair("key", "key_before")).distinct(), "tried")
     found = materialize(found.union(verified(tried)), "similar")
@@ -154,13 +138,13 @@ def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_
     rest = x.join(y, "h").filter(apart).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     out = found if rest.isEmpty() else materialize(found.union(verified(rest)), "similar")
-    discard(met, tried, rest, each)
+    discard(met, tried, rest, each, shared)
     return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, row, key, root, first) of each row, see ``groups.name_groups``: key is its set's hash, root the least key of its component."""
-    sets = sketch(docs, doc_id, text, similarity, shingle)
+    sets = sketch(docs, doc_id, text, shingle)
     near = simhash.links(sets.select("fp").distinct())
     edges = links(sets, near, docs, doc_id, text, similarity, shingle)
     discard(near)

@@ -197,6 +197,23 @@ def test_automaton_finds_the_first_document():
                 first.setdefault(g, d)
 
 
+def test_bands_meet_as_often_as_they_should():
+    """A band agrees with probability s ** ROWS; copies always do, and strangers never."""
+    from lumiframe.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    hit = 0
+    for _ in range(300):
+        a = rng.integers(0, 1 << 63, 60, np.uint64)
+        b = np.concatenate((a[6:], rng.integers(0, 1 << 63, 6, np.uint64)))
+        x, y = jaccard.bands(np.unique(a)), jaccard.bands(np.unique(b))
+        assert (x == y).any() and (x == jaccard.bands(np.unique(a[::-1]))).all()
+        hit += (x == y).sum()
+        assert not (x == jaccard.bands(np.unique(rng.integers(0, 1 << 63, 60, np.uint64)))).any()
+    assert abs(hit / (300 * jaccard.BANDS) - (54 / 66) ** jaccard.ROWS) < 0.03
+    assert len(jaccard.bands(np.zeros(0, np.uint64))) == 0
+
+
 def _jaccard(a, b):
     x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
     return len(x & y) / len(x | y)

@@ -6,9 +6,11 @@ shingles (five words, hashed to 64 bits), and two sets of similarity s agree on
 miss a pair of similarity 0.8 with probability 3e-6, of 0.9 with 1e-11; sets that share a passage only hardly ever meet. Every
 pair that is linked is verified on the exact sets.
 
-Equal sets are one node. Only buckets (documents that agree on a band) of more than one group so far matter: neighbours of each are verified first,
-then the pairs that are still in different groups, unless their sizes rule them out. So a large group of copies costs its size
-and not its square.
+Equal sets are one node. Only buckets (documents that agree on a band) of more than one group so far matter. A bucket is sorted by each of a few
+other bands, so that documents which agree on two bands stand together, and neighbours of different groups are tried, unless their sizes or
+the histograms of their shingles rule them out (an upper bound of what they share, so it loses nothing). So the work is in
+proportion to the documents and their bands, whatever the size of a group: no bucket's pairs are all made. A pair is
+missed only where, in each bucket that it shares, documents that belong to neither's group stand between the two in all those orders.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Bands of so many minima each.
 BANDS, ROWS = 24, 4
+#: How far from a bucket's band the bands are that it is sorted by.
+ORDERS = (1, 2, 3, 5, 7, 9, 11, 12)
 _RANDOM = np.random.default_rng(20_241).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _XOR, _MULTIPLY = _RANDOM[0] * np.uint64(2), _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
@@ -54,8 +58,29 @@ def bands(h: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def histogram(h: np.ndarray) -> bytes:
+    """How many of a set's shingles have each value of their lowest bits, about three a value; empty where a byte can't hold a count."""
+    n = np.bincount((h & np.uint64(_cells(len(h)) - 1)).astype(np.int64), minlength=_cells(len(h)))
+    return n.astype(np.uint8).tobytes() if len(h) and n.max() < 256 else b""
+
+
+def _cells(n: int) -> int:
+    return 1 << max(3, (max(n, 1) // 3).bit_length())
+
+
+def may_be_similar(n: int, m: int, x: bytes, y: bytes, similarity: float = SIMILARITY) -> bool:
+    """Whether sets of n and m shingles with these histograms can have that similarity: they share at most the sum of the lesser counts."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    while len(a) != len(b):
+        a, b = (a.reshape(2, -1).sum(0), b) if len(a) > len(b) else (a, b.reshape(2, -1).sum(0))
+    met = int(np.minimum(a, b).sum())
+    return met >= similarity * (n + m - met) - 1e-9
+
+
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, fp, key, n, bands) of every row, written: a hash of its text, its fingerprint, and of its set of shingles a hash, the size and the bands.
+    """(doc_id, row, fp, key, n, bands, counts) of every row, written: a hash of its text, its fingerprint, and of its set of shingles a hash, the size, the bands and the histogram.
 
     Null and wordless texts have the empty set and fingerprint zero; repeated rows each get a row; an empty table gives none; other columns are ignored."""
 
@@ -64,11 +89,11 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
             every = [simhash.shingle_hashes(t, shingle) for t in b.column(2).to_pylist()]
             fps = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in every]
-            cols = [pa.array(fps), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "row", "fp", "key", "n", "bands"])
+            cols = [pa.array(fps), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64())), pa.array([histogram(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "row", "fp", "key", "n", "bands", "counts"])
 
     src = docs.select(F.col(doc_id).alias("doc_id"), row_hash(text).alias("row"), F.col(text).alias("text"))
-    return materialize(src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row long, fp long, key long, n int, bands array<long>"), "sets")
+    return materialize(src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row long, fp long, key long, n int, bands array<long>, counts binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> DataFrame:
@@ -96,50 +121,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str,
 
 
 def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b) pairs of set keys, written, whose components are those of all pairs of similarity ``similarity`` or more that meet.
+    """(a, b) pairs of set keys of similarity ``similarity`` or more, written, whose components are the groups.
 
     ``sets``: the sketch of ``docs``; ``near``: links of its fingerprints, which are tried first."""
     place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")
-    each = materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(place).alias("p"), F.min("fp").alias("fp")), "keys")
+    each = materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("counts").alias("counts"), F.min(place).alias("p"), F.min("fp").alias("fp")), "keys")
     holder = each.select("key", "p.doc_id", "p.row")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     verified = lambda pairs: _verified(pairs, docs, holder, doc_id, text, similarity, shingle)
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
 
     of_fp = each.groupBy("fp").agg(F.min("key").alias("key"))
     across = near.join(of_fp.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
     within = each.select("fp", F.col("key").alias("y")).join(of_fp.select("fp", F.col("key").alias("x")), "fp").filter("x <> y")
     found = verified(across.select(*pair("x", "y")).union(within.select(*pair("x", "y"))).distinct())
 
-    near_by = Window.partitionBy("h").orderBy("n", "key")
-    rows = each.select(F.explode("bands").alias("h"), "key", "n")
-    shared = rows.withColumn("last", F.lag("key").over(near_by)).withColumn("next", F.lead("key").over(near_by)).filter("last is not null or next is not null")
-    shared = materialize(shared.select("h", "key", "n"), "shared")
-
-    def mixed(edges: DataFrame) -> DataFrame:
-        """(h, key, n, label) of the buckets that hold more than one group, written."""
-        label = components(edges).select(F.col("node").alias("key"), "root")
-        rows = materialize(shared.join(label, "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("label")), "labels")
-        several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-        out = materialize(rows.join(several, "h", "left_semi"), "buckets")
-        discard(rows)
-        return out
-
-    met = mixed(found)
-    before = [F.lag(c).over(near_by).alias(f"{c}_before") for c in ("key", "n", "label")]
-    next_to = met.select("key", "n", "label", *before).filter("label <> label_before").filter(fits("n", "n_before"))
-    tried = materialize(next_to.select(*pair("key", "key_before")).distinct(), "tried")
-    found = materialize(found.union(verified(tried)), "similar")
-    discard(met)
-
-    met = mixed(found)
-    x, y = (met.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "label")]) for s in "xy")
-    apart = (F.col("label_x") != F.col("label_y")) & (F.col("key_x") < F.col("key_y")) & fits("n_x", "n_y")
-    rest = x.join(y, "h").filter(apart).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    out = found if rest.isEmpty() else materialize(found.union(verified(rest)), "similar")
-    discard(met, tried, rest, each, shared)
-    return out
+    label = components(found).select(F.col("node").alias("key"), "root")
+    rows = each.join(label, "key", "left").select("key", "n", F.coalesce("root", "key").alias("label"), F.posexplode("bands").alias("at", "h"))
+    several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    narrow = materialize(rows.join(several, "h", "left_semi"), "buckets")
+    beside = [F.get("bands", (F.col("at") + k) % BANDS).alias(f"o{k}") for k in ORDERS]
+    met = narrow.join(each.select("key", "bands"), "key").select("h", "key", "n", "label", *beside)
+    tried = None
+    for k in ORDERS:
+        by = Window.partitionBy("h").orderBy(f"o{k}", "n", "key")
+        before = [F.lag(c).over(by).alias(f"{c}_before") for c in ("key", "n", "label")]
+        one = met.select("key", "n", "label", *before).filter("label <> label_before").filter(F.least("n", "n_before") >= F.greatest("n", "n_before") * similarity - 1e-9)
+        tried = one.select(*pair("key", "key_before")) if tried is None else tried.union(one.select(*pair("key", "key_before")))
+    tried = materialize(tried.distinct(), "tried")
+    side = lambda k: each.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+
+    def can(it):
+        for b in it:
+            keep = [may_be_similar(n, m, x, y, similarity) for n, m, x, y in zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = tried.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(can, "a long, b long")
+    more = verified(materialize(likely, "likely"))
+    discard(narrow, tried)
+    return materialize(found.union(more), "similar")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

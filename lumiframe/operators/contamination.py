@@ -38,7 +38,7 @@ class CellWindow:
         self.sizes = np.concatenate((sizes, np.ones(pixels)))
         self.unit = self.rois / sizes
         self.spots = solvers.SpotBasis(solvers.gaussian_blob(o["spot_radius"]), self.shape)
-        self.step = 1.0
+        self.step = 0.0
 
     def solve(self, frame: np.ndarray) -> dict[str, float]:
         """Least squares on the profiles alone against the fit with spots; the cheaper one is the cell's activity."""

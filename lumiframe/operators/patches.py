@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import itertools
 from collections.abc import Sequence
 
@@ -62,8 +64,9 @@ def tiles(height: int, width: int, tile: int, halo: int) -> list[dict]:
     return out
 
 
-def split_ranges(size: int, n: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """(core start, core end, read start, read end) of up to n near-equal parts; parts that would be empty are left out."""
+def split_ranges(size: int, n: int, overlap: float) -> list[tuple[int, int, int, int]]:
+    """(core start, core end, read start, read end) of up to n near-equal parts, read with that share of a core more on either side; parts that would be empty are left out."""
     core = -(-size // n)
+    overlap = math.ceil(overlap * core)
     cuts = [(k * core, min((k + 1) * core, size)) for k in range(n)]
     return [(a, b, max(0, a - overlap), min(size, b + overlap)) for a, b in cuts if b > a]

@@ -85,7 +85,7 @@ def affine_patches(movie: DataFrame, parts: int = 4, overlap: float = 0.1, itera
     n = movie.agg(F.max("t") + 1).first()[0]
     moved, shifts, template, start = rigid(movie, **{**options, "first": n})
     h, w = template.shape
-    cores = [(a, b) for a in split_ranges(h, parts, int(overlap * h / parts)) for b in split_ranges(w, parts, int(overlap * w / parts))]
+    cores = [(a, b) for a in split_ranges(h, parts, overlap) for b in split_ranges(w, parts, overlap)]
 
     def move(frame: np.ndarray):
         out = np.empty_like(frame)

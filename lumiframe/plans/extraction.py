@@ -233,22 +233,22 @@ for criterion in contamination.CRITERIA:
 
 # online detection
 def _pairs(s, d):
-    q = emb(s, d).filter("y < 12").select((F.floor(F.col("y") / 3) * 10 + F.floor(F.col("x") / 4)).cast("int").alias("roi"), "y", "x").distinct()
+    q = emb(s, d).select((F.floor(F.col("y") / 3) * 10 + F.floor(F.col("x") / 4)).cast("int").alias("roi"), "y", "x").distinct()
     return q.union(q.filter("(y + x) % 2 = 0").withColumn("roi", F.col("roi") + 1000)).union(q.filter("y % 3 = 0").withColumn("roi", F.col("roi") + 2000))
 
 
-PAIRS = f"{EMB}, q as (select distinct cast(y//3 as int)*10+cast(x//4 as int) roi, y, x from mv where y < 12), rg as (select roi, y, x from q union all select roi+1000, y, x from q where (y+x)%2 = 0 union all select roi+2000, y, x from q where y%3 = 0)"
+PAIRS = f"{EMB}, q as (select distinct cast(y//3 as int)*10+cast(x//4 as int) roi, y, x from mv), rg as (select roi, y, x from q union all select roi+1000, y, x from q where (y+x)%2 = 0 union all select roi+2000, y, x from q where y%3 = 0)"
 
 
-@query("z19_merge_candidates", f"with {PAIRS}, sz as (select roi, count(*) n, 2*(max(y)-min(y)+1+max(x)-min(x)+1) e from rg group by roi), j as (select a.roi a, b.roi b, count(*) common from rg a join rg b on a.y=b.y and a.x=b.x and a.roi < b.roi group by 1, 2) select a, b, common from j join sz p on p.roi=a join sz q on q.roi=b where p.n-common <= p.e/2 or q.n-common <= q.e/2 or common >= 0.2*least(p.n, q.n)")
+@query("z19_merge_candidates", f"with {PAIRS}, sz as (select roi, count(*) n, 2*(max(y)-min(y)+1+max(x)-min(x)+1) e from rg group by roi), j as (select a.roi a, b.roi b, count(*) common from rg a join rg b on a.y=b.y and a.x=b.x and a.roi < b.roi group by 1, 2) select a, b, common from j join sz p on p.roi=a join sz q on q.roi=b where p.n-common <= p.e/2 or q.n-common <= q.e/2 or common >= 0.75*least(p.n, q.n)")
 def _(s, d):
     return online.merge_candidates(_pairs(s, d))
 
 
-@query("z22_containment_ratios", f"with {PAIRS}, pf as (select roi, y, x, 1.0+x*0.1 w from rg), st as (select roi, sum(w) s from pf group by roi), j as (select a.roi a, b.roi b, sum(a.w) sa, sum(b.w) sb from pf a join pf b on a.y=b.y and a.x=b.x and a.roi < b.roi group by 1, 2) select a, b, round(sa/p.s, 6) alpha, round(sb/q.s, 6) beta from j join st p on p.roi=a join st q on q.roi=b")
+@query("z22_containment_ratios", f"with {PAIRS}, pf as (select roi, y, x, 1.0+x*0.1 w from rg), own as (select roi, sum(w*w) e from pf group by roi), j as (select a.roi a, b.roi b, sum(a.w*b.w) ab, sum(a.w*a.w) aa, sum(b.w*b.w) bb from pf a join pf b on a.y=b.y and a.x=b.x and a.roi < b.roi group by 1, 2) select a, b, round((ab/p.e) / (ab/aa), 6) rho_a, round((ab/q.e) / (ab/bb), 6) rho_b from j join own p on p.roi=a join own q on q.roi=b")
 def _(s, d):
     pf = _pairs(s, d).withColumn("w", 1.0 + F.col("x") * 0.1)
-    return online.containment_ratios(pf).select("a", "b", r6("alpha").alias("alpha"), r6("beta").alias("beta"))
+    return online.containment_ratios(pf).select("a", "b", r6("rho_a").alias("rho_a"), r6("rho_b").alias("rho_b"))
 
 
 @query("f22_extract_online")
@@ -346,11 +346,11 @@ def _(s, d):
     return denoise.assess(m, denoise.gaussian(m, 0, 1.0)).select(*[r6(c, 5).alias(c) for c in ("fraction", "correlation_before", "correlation_after")], "failures")
 
 
-@query("s14_encode_frames", f"with {EMB} select y, x, t, round(cast(cast(v as float) as double), 5) + 0.0 v from mv where t < 4")
+@query("s14_encode_frames", f"with {EMB} select y, x, t, round(cast(cast(v as float) as double), 5) + 0.0 v from mv")
 def _(s, d):
     from lumiframe.sources import readers
 
-    return image(readers.decode_frames(readers.encode_frames(emb(s, d).filter("t < 4"))), digits=5)
+    return image(readers.decode_frames(readers.encode_frames(emb(s, d))), digits=5)
 
 
 @query("v7_region_status", "with r as (select k roi, case when k % 3 = 0 then 'rejected' else 'accepted' end status from range(0, 20) g(k)) select count(*) filter (where status = 'accepted')::bigint rois_committed, count(*) filter (where status <> 'accepted')::bigint rois_deleted from r")

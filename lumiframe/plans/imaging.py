@@ -344,9 +344,9 @@ def _(s, d):
 QUERIES["q12_blur_movie"], ORACLES["q12_blur_movie"] = QUERIES["q1_gaussian_space"], ORACLES["q1_gaussian_space"]
 
 
-@query("q13_blur_nearest", f"with {EMB}, g1 as ({_gauss_sql('y', 'x t', 1.0, 'nearest').format(src='mv')}), g as ({_gauss_sql('x', 'y t', 1.0, 'nearest').format(src='g1')}) select y, x, t, round(v, 6) + 0.0 v from g where y between 3 and 9 and x between 4 and 12")
+@query("q13_blur_nearest", f"with {EMB}, g1 as ({_gauss_sql('y', 'x t', 1.0, 'nearest').format(src='mv')}), g as ({_gauss_sql('x', 'y t', 1.0, 'nearest').format(src='g1')}) select y, x, t, round(v, 6) + 0.0 v from g")
 def _(s, d):
-    return image(denoise.gaussian(emb(s, d), 1.0, 0, border="nearest").filter("y between 3 and 9 and x between 4 and 12"))
+    return image(denoise.gaussian(emb(s, d), 1.0, 0, border="nearest"))
 
 
 @query("q2_median_space", f"with {EMB}, h as (select max(y) hy from mv), w as (select a.y, a.x, a.t, b.v from mv a cross join h cross join (values (-1),(0),(1)) p(dy) cross join (values (-1),(0),(1)) q(dx) join mv b on b.t=a.t and b.y=least(greatest(a.y+dy, 0), hy) and b.x=least(greatest(a.x+dx, 0), 24)) select y, x, t, round(list_sort(list(v))[5], 6) + 0.0 v from w group by y, x, t")
@@ -581,13 +581,13 @@ def _(s, d):
     return image(transients.trailing_mean(emb(s, d)))
 
 
-@query("x6_merge_groups", f"""with recursive {EMB}, q as (select cast(y//3 as int)*10+cast(x//4 as int) roi, y, x from (select distinct y, x from mv) where y < 18), rg as (select roi, y, x from q union select roi+1000, y, x from q where (y+x)%2 = 0 union select roi+2000, y, x from q where y%3 = 0),
+@query("x6_merge_groups", f"""with recursive {EMB}, q as (select cast(y//3 as int)*10+cast(x//4 as int) roi, y, x from (select distinct y, x from mv)), rg as (select roi, y, x from q union select roi+1000, y, x from q where (y+x)%2 = 0 union select roi+2000, y, x from q where y%3 = 0),
 tq as (select roi, t, avg(v) v from rg join mv using (y, x) group by roi, t), pr as (select distinct a.roi a, b.roi b from rg a join rg b on a.y=b.y and a.x=b.x and a.roi < b.roi),
 ed as (select a, b from pr join tq p on p.roi=a join tq q on q.roi=b and q.t=p.t group by a, b having corr(p.v, q.v) >= 0.6), e2 as (select a, b from ed union select b, a from ed), re as (select distinct roi a, roi b from rg union select re.a, e2.b from re join e2 on re.b=e2.a)
 select cast(a as int) roi, cast(min(b) as int) "group" from re group by a""")
 def _(s, d):
     m = emb(s, d)
-    q = m.filter("y < 18").select(((F.floor(F.col("y") / 3) * 10 + F.floor(F.col("x") / 4)).cast("int")).alias("roi"), "y", "x").distinct()
+    q = m.select(((F.floor(F.col("y") / 3) * 10 + F.floor(F.col("x") / 4)).cast("int")).alias("roi"), "y", "x").distinct()
     rg = q.union(q.filter("(y + x) % 2 = 0").withColumn("roi", F.col("roi") + 1000)).union(q.filter("y % 3 = 0").withColumn("roi", F.col("roi") + 2000))
     return transients.merge_groups(rg, masks.region_traces(m, rg), 0.6)
 

@@ -7,6 +7,7 @@ process: it is one pickled value with sparse profiles.
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +27,16 @@ from lumiframe.operators.contamination import CellWindow
 
 @dataclass(frozen=True)
 class Detection:
+    """``least_mean``: the least mean brightness of a spot; under zero, so many times its local noise. ``sections``: the grid of the noise map. ``grow``: spots are
+    widened by a square of that reach before they are told apart. ``most_extent``: spots that are longer in either direction are left out for good."""
+
     cutoff: float = 4.0
     blur: float = 1.0
     least_pixels: int = 50
     least_mean: float = -1.0
+    grow: int = 0
+    most_extent: int | None = None
+    sections: tuple[int, int] = (1, 1)
 
 
 @dataclass(frozen=True)
@@ -36,8 +44,8 @@ class Promotion:
     after: int = 5
     gap: int = 1
     distance: float = 5.0
-    overlap: float = 0.2
-    containment: float = 0.2
+    overlap: float = 0.75
+    containment: float = 0.75
 
 
 @dataclass(frozen=True)
@@ -69,6 +77,7 @@ class State:
     profiles: list[np.ndarray] = field(default_factory=list)
     tracks: list[Track] = field(default_factory=list)
     rejected: np.ndarray | None = None
+    too_large: list = field(default_factory=list)
     buffer: list[np.ndarray] = field(default_factory=list)
     times: list[int] = field(default_factory=list)
     _windows: dict = field(default_factory=dict, repr=False)
@@ -101,18 +110,46 @@ class State:
         """Bright, large enough, connected spots of the blurred residual, outside rejected places."""
         d = self.detection
         smooth = kernels.blur(residual, d.blur)
-        noise = max(float(np.median(smooth) - smooth.min()), 100 * np.finfo(float).eps * max(1.0, float(np.abs(smooth).max())))
+        noise = noise_map(smooth, d.sections)
         on = smooth - np.median(smooth) > d.cutoff * noise
         if self.rejected is not None:
             on &= ~self.rejected
+        if d.grow:
+            on = sliding_window_view(np.pad(on, d.grow), (2 * d.grow + 1, 2 * d.grow + 1)).any((2, 3))
         lab, n = kernels.label(on, corners=False)
         out = []
         for k in range(1, n + 1):
             at = np.argwhere(lab == k)
-            if len(at) >= d.least_pixels and residual[tuple(at.T)].mean() > d.least_mean:
+            if len(at) < d.least_pixels:
+                continue
+            lo, hi = at.min(0), at.max(0)
+            if d.most_extent is not None and (hi - lo).max() >= d.most_extent:
+                self.too_large.append((lo, hi))
+                continue
+            spot = tuple(at.T)
+            if residual[spot].mean() >= (d.least_mean if d.least_mean >= 0 else -d.least_mean * noise[spot].mean()):
                 out.append((tuple(at.mean(0)), set(map(tuple, at))))
         return out
 
+    def _reject(self, at) -> None:
+        if self.rejected is None:
+            self.rejected = np.zeros(self.shape, bool)
+        self.rejected[at] = True
+
+    def _merged(self, found: list) -> list:
+        """Spots of one frame that are one candidate by ``one_candidate``, put together until none is left."""
+        out: list = []
+        for _, px in found:
+            own = set(px)
+            while True:
+                same = [k for k, q in enumerate(out) if one_candidate(own, q, self.promotion.overlap)]
+                if not same:
+                    break
+                for k in reversed(same):
+                    own |= out.pop(k)
+            out.append(own)
+        return [(tuple(np.array(sorted(px)).mean(0)), px) for px in out]
+
     def _match(self, found: list, residual: np.ndarray, t: int) -> None:
         """Nearest pairs of tracks and spots first, one to one; tracks unseen for too long end."""
         p = self.promotion
@@ -129,8 +166,13 @@ class State:
             tr.crops.append(np.maximum(residual, 0))
         self.tracks = [tr for tr in self.tracks if t - tr.last <= p.gap]
         for j, (c, px) in enumerate(found):
-            if j not in used_f:
+            if j in used_f:
+                continue
+            old = next((tr for tr in self.tracks if one_candidate(px, tr.pixels, p.overlap)), None)
+            if old is None:
                 self.tracks.append(Track(c, px, t, 1, [np.maximum(residual, 0)]))
+            else:  # a part of a candidate that is known already
+                old.pixels |= px
 
     def _without_tracks(self, residual: np.ndarray) -> np.ndarray:
         shapes = []
@@ -150,15 +192,10 @@ class State:
             profile = np.zeros(self.shape)
             profile[at] = np.mean([c[at] for c in tr.crops], axis=0)
             if profile.max() <= 0:
-                self.rejected = np.zeros(self.shape, bool) if self.rejected is None else self.rejected
-                self.rejected[at] = True
+                self._reject(at)
                 continue
             profile /= profile.max()
-            target = next((k for k, q in enumerate(self.profiles) if min(containment(profile, q)) >= self.promotion.containment), None)
-            if target is not None:  # an old cell seen anew: the larger of both, once again of maximum one
-                self.profiles[target] = np.maximum(self.profiles[target], profile)
-                self._windows = {}
-            else:
+            if all(min(containment(profile, q)) < self.promotion.containment for q in self.profiles):  # else a known cell seen anew, which stays as it is
                 new.append(self._add(profile))
         return new
 
@@ -176,7 +213,8 @@ class State:
         self.times.pop(0)
         activity = self._fit(now)
         residual = now - sum((a * p for a, p in zip(activity, self.profiles, strict=True)), np.zeros(self.shape))
-        self._match(self._detect(residual), residual, at)
+        self.too_large = []
+        self._match(self._merged(self._detect(residual)), residual, at)
         if len(self.tracks) > 1 or self.tracks and self.tracks[0].seen > 1:
             # what the candidates explain together is taken away; what is bright still is a candidate of its own
             rest = self._without_tracks(residual)
@@ -184,6 +222,8 @@ class State:
             for c, px in self._detect(rest):
                 if not px & known:
                     self.tracks.append(Track(c, px, at, 1, [np.maximum(rest, 0)]))
+        for lo, hi in self.too_large:  # from the next frame on
+            self._reject((slice(lo[0], hi[0] + 1), slice(lo[1], hi[1] + 1)))
         rows = [(at, k, a, False) for k, a in enumerate(activity)]
         for k in self._promote():
             box, w = self._window(k)
@@ -192,21 +232,48 @@ class State:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Shares of either profile's weight that lie on the other."""
-    return (float(a[b > 0].sum() / a.sum()) if a.sum() else 0.0), (float(b[a > 0].sum() / b.sum()) if b.sum() else 0.0)
+    """Shares of either profile's energy (sum of squares) that lie on the other: how nearly a fit by the whole profile is one by its common part."""
+    ea, eb = float((a**2).sum()), float((b**2).sum())
+    return (float((a[b > 0] ** 2).sum()) / ea if ea else 0.0), (float((b[a > 0] ** 2).sum()) / eb if eb else 0.0)
+
+
+def one_candidate(p: set, q: set, k: float = 0.75) -> bool:
+    """Whether two sets of pixels are one candidate: they overlap, and either reaches out of the other by at most half the edge of its bounds, or the overlap is k of the smaller."""
+    common = len(p & q)
+    if not common:
+        return False
+    edge = lambda z: 2 * sum(max(c) - min(c) + 1 for c in zip(*z, strict=True))
+    return len(p) - common <= edge(p) / 2 or len(q) - common <= edge(q) / 2 or common >= k * min(len(p), len(q))
+
+
+def noise_map(image: np.ndarray, sections: tuple[int, int] = (1, 1)) -> np.ndarray:
+    """The noise level (median minus minimum, see ``noise_level``) of each section of a grid, linear between the sections' centres and beyond the outer ones."""
+    least = 100 * np.finfo(float).eps * max(1.0, float(np.abs(image).max()))
+    cuts = [np.linspace(0, n, k + 1).astype(int) for n, k in zip(image.shape, sections, strict=True)]
+    out = np.array([[max(float(np.median(z := image[a:b, c:d]) - z.min()), least) for c, d in itertools.pairwise(cuts[1])] for a, b in itertools.pairwise(cuts[0])])
+    for axis, cut in enumerate(cuts):
+        mid = (cut[:-1] + cut[1:]) / 2
+        if len(mid) == 1:
+            out = np.repeat(out, image.shape[axis], axis)
+            continue
+        at = np.arange(image.shape[axis])
+        left = np.clip(np.searchsorted(mid, at, "right") - 1, 0, len(mid) - 2)
+        share = ((at - mid[left]) / (mid[left + 1] - mid[left])).reshape((-1, 1) if axis == 0 else (1, -1))
+        out = np.take(out, left, axis) * (1 - share) + np.take(out, left + 1, axis) * share
+    return out
 
 
 def containment_ratios(profiles: DataFrame) -> DataFrame:
-    """(a, b, alpha, beta) of all overlapping pairs of profiles (roi, y, x, w): sums over an equi-join on pixels."""
-    total = profiles.groupBy("roi").agg(F.sum("w").alias("s"))
-    p, q = profiles.filter("w > 0"), profiles.filter("w > 0")
-    j = p.select(F.col("roi").alias("a"), "y", "x", F.col("w").alias("wa")).join(q.select(F.col("roi").alias("b"), "y", "x", F.col("w").alias("wb")), ["y", "x"]).filter("a < b")
-    s = j.groupBy("a", "b").agg(F.sum("wa").alias("sa"), F.sum("wb").alias("sb"))
+    """(a, b, rho_a, rho_b) of all overlapping pairs of profiles (roi, y, x, w): sums of squares over an equi-join on pixels."""
+    on = profiles.filter("w > 0")
+    total = on.groupBy("roi").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    j = on.select(F.col("roi").alias("a"), "y", "x", F.col("w").alias("wa")).join(on.select(F.col("roi").alias("b"), "y", "x", F.col("w").alias("wb")), ["y", "x"]).filter("a < b")
+    s = j.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wa")).alias("sa"), F.sum(F.col("wb") * F.col("wb")).alias("sb"))
     ta, tb = total.select(F.col("roi").alias("a"), F.col("s").alias("ta")), total.select(F.col("roi").alias("b"), F.col("s").alias("tb"))
-    return s.join(ta, "a").join(tb, "b").select("a", "b", F.try_divide("sa", "ta").alias("alpha"), F.try_divide("sb", "tb").alias("beta"))
+    return s.join(ta, "a").join(tb, "b").select("a", "b", F.try_divide("sa", "ta").alias("rho_a"), F.try_divide("sb", "tb").alias("rho_b"))
 
 
-def merge_candidates(regions: DataFrame, k: float = 0.2) -> DataFrame:
+def merge_candidates(regions: DataFrame, k: float = 0.75) -> DataFrame:
     """(a, b, common) of pairs that should merge: they overlap, and either lies nearly within the other's bounds' reach or the overlap is at least k of the smaller."""
     size = regions.groupBy("roi").agg(F.count(F.lit(1)).alias("n"), (2 * (F.max("y") - F.min("y") + 1 + F.max("x") - F.min("x") + 1)).alias("edge"))
     j = regions.select(F.col("roi").alias("a"), "y", "x").join(regions.select(F.col("roi").alias("b"), "y", "x"), ["y", "x"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))

@@ -138,6 +138,46 @@ def test_online_detector_finds_an_onset_and_replays():
     assert not online.track_array(0.05 * rng.normal(size=(30, 30, 40)), **OPTIONS)[0].profiles
 
 
+def test_containment_is_a_share_of_energy():
+    a, b = np.array([[1.0, 2.0, 0.0]]), np.array([[0.0, 2.0, 1.0]])
+    assert online.containment(a, b) == (0.8, 0.8)
+    rng_ = np.random.default_rng(4)
+    for _ in range(20):  # against the two fits it stands for
+        a, b = (np.maximum(rng_.normal(size=(6, 6)), 0) for _ in range(2))
+        part = np.where((a > 0) & (b > 0), a, 0)
+        whole, common = (a * b).sum() / (a * a).sum(), (part * b).sum() / (part * part).sum()
+        assert np.isclose(online.containment(a, b)[0], whole / common)
+
+
+def test_noise_map_is_linear_between_sections():
+    rng_ = np.random.default_rng(5)
+    image = rng_.normal(size=(20, 30))
+    assert np.allclose(online.noise_map(image), np.median(image) - image.min())
+    got = online.noise_map(image, (2, 3))
+    level = lambda z: np.median(z) - z.min()
+    c = np.array([[level(image[10 * i : 10 * i + 10, 10 * j : 10 * j + 10]) for j in range(3)] for i in range(2)])
+    assert np.allclose([got[5, 5], got[15, 25], got[10, 5], got[5, 10]], [c[0, 0], c[1, 2], (c[0, 0] + c[1, 0]) / 2, (c[0, 0] + c[0, 1]) / 2])
+    assert np.isclose(got[0, 5], c[0, 0] - 0.5 * (c[1, 0] - c[0, 0]))  # goes on beyond the outer centres
+
+
+def test_detection_leaves_out_what_is_dim_or_too_large():
+    y, x = np.mgrid[:40, :40]
+    frame = np.random.default_rng(1).normal(scale=0.05, size=(40, 40))
+    frame[5:9, 5:9] += 2
+    frame[15:17, 2:38] += 2
+    state = online.State((40, 40), online.Detection(cutoff=3, blur=0, least_pixels=9, most_extent=12))
+    state.too_large = []
+    assert [tuple(np.round(c)) for c, _ in state._detect(frame)] == [(6, 6)] or len(state._detect(frame)) == 1
+    assert state.too_large
+    wide = online.State((40, 40), online.Detection(cutoff=3, blur=0, least_pixels=9, most_extent=12, grow=1))
+    assert len(wide._detect(frame)[0][1]) == 36
+    assert not online.State((40, 40), online.Detection(cutoff=3, blur=0, least_pixels=9, least_mean=-1000.0))._detect(frame)
+    assert len(state._merged([((0, 0), {(1, 1), (1, 2), (1, 3)}), ((0, 0), {(1, 3), (1, 4)}), ((0, 0), {(9, 9)})])) == 2
+    m = np.repeat(frame[..., None], 12, axis=2)
+    done, _ = online.track_array(m, detection=online.Detection(cutoff=3, blur=0, least_pixels=9, most_extent=12), promotion=online.Promotion(after=4))
+    assert len(done.profiles) == 1 and done.rejected[15:17, 2:38].all() and not done.rejected[:12].any()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     m = _onset()
     _, want = online.track_array(m, **OPTIONS)

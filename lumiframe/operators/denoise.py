@@ -226,3 +226,9 @@ def assess(before: DataFrame, after: DataFrame, skip: int = 0, keys: Keys = PLAN
     c = projections.local_correlation(after, keys).agg(F.avg("v").alias("correlation_after"))
     d = stats.autocorrelation_failures(residual(before, after, keys), skip, keys)
     return a.crossJoin(b).crossJoin(c).crossJoin(d)
+
+
+def temporal_margin(method: str, temporal_sigma: float = 0.0, time_window: int = 1) -> int:
+    """Frames to read on either side of a range so that filtering the range gives what filtering the whole movie gives there: the reach of a
+    Gaussian (four sigma) or of a median window; other methods don't look along time, or need all of it."""
+    return {"gaussian": math.ceil(4 * max(temporal_sigma, 0)), "median": time_window // 2}.get(method, 0)

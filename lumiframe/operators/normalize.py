@@ -22,6 +22,11 @@ def robust_std(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return both.groupBy(*keys).agg((F.percentile(F.abs(F.col("v") - F.col("__m")), F.lit(0.5)) / MAD_TO_STD).alias("v"))
 
 
+def robust_std_of_known(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``robust_std`` of the values that are numbers; groups without any have no row."""
+    return robust_std(df.filter(F.col("v").isNotNull() & ~F.isnan("v")), keys)
+
+
 def _baseline(movie: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
     if kind == "robuststd":
         return robust_std(movie, keys)
@@ -77,6 +82,6 @@ def histogram(df: DataFrame, bins: int = 20) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", (F.col("a") + F.col("bin") * width).alias("lo"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def value_marks(df: DataFrame) -> DataFrame:
-    """Mean, median and half-sample mode of all values of a trace."""
-    return df.agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), half_sample_mode(F.collect_list("v")).alias("mode"))
+def value_marks(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, median and half-sample mode of each trace's values; without keys all values are one trace."""
+    return df.groupBy(*keys).agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), half_sample_mode(F.collect_list("v")).alias("mode"))

@@ -197,7 +197,8 @@ def _(s, d):
     return contamination.cell_windows(rp.filter("roi = 1 and y between 4 and 9").withColumn("w", F.lit(1.0)), h, 25, 3)
 
 
-@query("z1_spot")
+@query("z1_spot", """with g as (select y, x, exp(-(pow(x-3, 2) + pow(y-3, 2)) / (2*1.2*1.2)) e from range(0, 7) a(y), range(0, 7) b(x)), k as (select y, x, case when e < 0.01 then 0.0 else e end e from g)
+select y::int y, x::int x, round(e / sqrt((select sum(e*e) from k)), 6) w from k""")
 def _(s, d):
     from lumiframe.functions.solvers import gaussian_blob
 

@@ -80,6 +80,11 @@ for tag, source, src in (("emb", emb, EMB), ("evt", movie.event_movie, EVT)):
     QUERIES[f"p7_local_correlation_{tag}"] = lambda s, d, source=source: image(projections.local_correlation(source(s, d)))
     ORACLES[f"p7_local_correlation_{tag}"] = f"with {src}, {LOCAL} select y, x, round(coalesce(case when isnan(corr(own, nb)) then 0.0 else corr(own, nb) end, 0.0), 6) + 0.0 v from nb group by y, x"
 
+WELCH = """z as (select y, x, t, (v - avg(v) over (partition by y, x)) * (0.5-0.5*cos(2*pi()*t/64)) w from mv),
+fq as (select y, x, k, (pow(sum(w*cos(2*pi()*k*t/64)), 2) + pow(sum(w*sin(2*pi()*k*t/64)), 2)) / 24.0 * case when k < 32 then 2 else 1 end p from z, range(16, 33) g(k) group by y, x, k),
+ns as (select y, x, exp(avg(ln(p/2 + 1e-10)) / 2) s from fq group by y, x)"""
+ORACLES["p9_noise_projection"] = f"with {EMB}, {WELCH} select y, x, round(s, 6) + 0.0 v from ns"
+ORACLES["p10_peak_to_noise"] = f"with {EMB}, {WELCH} select y, x, round((max(v) - quantile_cont(v, 0.5)) / greatest(any_value(s), 1e-6), 6) + 0.0 v from mv join ns using (y, x) group by y, x"
 QUERIES["p9_noise_projection"] = lambda s, d: image(projections.noise_std(emb(s, d)))
 QUERIES["p10_peak_to_noise"] = lambda s, d: image(projections.peak_to_noise(emb(s, d)))
 for how, fn in (("max", "max"), ("mean", "avg")):
@@ -142,9 +147,12 @@ def _(s, d):
     return normalize.histogram(movie.event_traces(s, d), 20).select("bin", r6("lo").alias("lo"), "n")
 
 
-@query("n8_value_marks")
+_MODE, _PICK = HSM.format(src=TRACES, keys="id", table="tr").rsplit("\nselect", 1)
+
+
+@query("n8_value_marks", f"{_MODE}, md as (select{_PICK}) select id, round(avg(tr.v), 6) + 0.0 mean, round(quantile_cont(tr.v, 0.5), 6) + 0.0 median, any_value(md.v) mode from tr join md using (id) group by id")
 def _(s, d):
-    return normalize.value_marks(movie.event_traces(s, d).filter("id = 'click'")).select(*[r6(c).alias(c) for c in ("mean", "median", "mode")])
+    return normalize.value_marks(movie.event_traces(s, d), ("id",)).select("id", *[r6(c).alias(c) for c in ("mean", "median", "mode")])
 
 
 # masks
@@ -300,7 +308,13 @@ def _(s, d):
     return emb(s, d).select("y", "x", "t", r6(loss).alias("loss"), r6(grad).alias("grad"))
 
 
-@query("t4_exponential_guess")
+@query("t4_exponential_guess", f"""with {TRACES}, vp as (select id, t, v + 1.0 v from tr), sg as (select id, s, t - s u, v from vp, range(0, 465, 128) g(s) where t between s and s + 255),
+z as (select id, s, u, (v - avg(v) over (partition by id, s)) * (0.5-0.5*cos(2*pi()*u/256)) w from sg),
+fq as (select id, s, k, (pow(sum(w*cos(2*pi()*k*u/256)), 2) + pow(sum(w*sin(2*pi()*k*u/256)), 2)) / 96.0 * case when k < 128 then 2 else 1 end p from z, range(64, 129) g(k) group by id, s, k),
+fm as (select id, k, avg(p) p from fq group by id, k), ns as (select id, exp(avg(ln(p/2 + 1e-10)) / 2) sg from fm group by id),
+le as (select id, greatest(3*any_value(sg), greatest(max(v), 1.0)*1e-6) l, max(t) last from vp join ns using (id) group by id), us as (select id, t, v, l, last, count(*) filter (where v > l) over (partition by id) n from vp join le using (id)),
+rg as (select id, regr_slope(ln(greatest(v, l)), t) b, regr_intercept(ln(greatest(v, l)), t) a, any_value(l) l, any_value(last) last from us where n < 2 or v > l group by id)
+select id, round(greatest(exp(a), l), 4) + 0.0 a, round(case when b < 0 then -1/b else greatest(last, 1.0) end, 2) + 0.0 b from rg""")
 def _(s, d):
     return detrend.exponential_guess(movie.event_traces(s, d).withColumn("v", F.col("v") + 1.0), ("id",)).select("id", r6("a", 4).alias("a"), r6("b", 2).alias("b"))
 
@@ -418,17 +432,29 @@ def _(s, d):
     return stats.column_correlations(v, m.select(F.col("t").alias("i"), (F.col("y") * 25 + F.col("x")).alias("j"), F.col("v").alias("m"))).select("j", r6("r").alias("r"))
 
 
-@query("l10_separated_pixels")
+def _greedy(image: str, n: int, distance: str, order: str = "desc", name: str = "") -> str:
+    """Pixels of ``image`` by value, each at least ``distance`` from all chosen before."""
+    return f"""so{name} as (select list({{'y': y, 'x': x, 'v': v}} order by v {order}, y, x) l, {distance} d from {image}),
+pk{name} as (select 1 n, [l[1]] c, l, d from so{name} union all select n + 1, list_append(c, list_filter(l, lambda p: len(list_filter(c, lambda q: pow(p.y-q.y, 2) + pow(p.x-q.x, 2) < d*d)) = 0)[1]), l, d from pk{name} where n < {n}),
+ch{name} as (select cast(i - 1 as int) rank, c[i].y y, c[i].x x, c[i].v v from pk{name}, range(1, {n + 1}) g(i) where n = {n} and c[i] is not null)"""
+
+
+LCORR = f"{LOCAL}, lc as (select y, x, coalesce(case when isnan(corr(own, nb)) then 0.0 else corr(own, nb) end, 0.0) v from nb group by y, x), ex as (select greatest(max(y), max(x)) + 1 e from lc)"
+
+
+@query("l10_separated_pixels", f"with recursive {EMB}, {MEAN}, {_greedy('im', 12, '4.0')} select rank, y, x from ch")
 def _(s, d):
     return stats.separated_pixels(mean_image(s, d), 12, 4.0).select("rank", "y", "x")
 
 
-@query("l12_seed_candidates")
+@query("l12_seed_candidates", f"with recursive {EMB}, {LCORR}, {_greedy('lc', 10, '(select 0.05*e from ex)')} select rank, y, x from ch where v >= 0.3")
 def _(s, d):
     return stats.seed_candidates(projections.local_correlation(emb(s, d)), 10).select("rank", "y", "x")
 
 
-@query("l11_qc_samples")
+@query("l11_qc_samples", f"""with recursive {EMB}, {LCORR}, {_greedy('lc', 2, '(select 0.2*e from ex)', 'desc', '_h')}, {_greedy('lc', 2, '(select 0.2*e from ex)', 'asc', '_l')},
+g as ({_gauss_sql('t', 'y x', 1.0).format(src='mv')}), sp as (select 'high' kind, rank, y, x from ch_h union all select 'low', rank, y, x from ch_l)
+select kind, rank, y, x, t, round(mv.v, 6) + 0.0 before, round(g.v, 6) + 0.0 after from sp join mv using (y, x) join g using (y, x, t)""")
 def _(s, d):
     m = emb(s, d)
     return stats.qc_samples(m, denoise.gaussian(m, 0, 1.0)).select("kind", "rank", "y", "x", "t", r6("before").alias("before"), r6("after").alias("after"))
@@ -593,18 +619,23 @@ def _(s, d):
 
 
 # patches
-@query("x4_patch_starts")
+@query("x4_patch_starts", """with c as (select * from (values (100, 30, 5), (61, 20, 4), (20, 30, 5), (512, 80, 20)) v(n, e, o)),
+r as (select n, e, o, greatest(1, e-o) st, case when n <= e then [0::bigint] else range(0, n-e+1, greatest(1, e-o)) end b, case when n <= e then 0 else (n-e) % greatest(1, e-o) end rest from c),
+f as (select n, e, o, case when rest = 0 then b when rest < st/2.0 and rest <= o and len(b) > 1 then list_append(b[1:len(b)-1], (n-e)::bigint) else list_append(b, (n-e)::bigint) end b from r)
+select n size, e extent, o overlap, (i-1)::int k, b[i]::int start from f, range(1, 50) g(i) where i <= len(b)""")
 def _(s, d):
     rows = [(n, e, o, k, b) for n, e, o in ((100, 30, 5), (61, 20, 4), (20, 30, 5), (512, 80, 20)) for k, b in enumerate(patches.starts(n, e, o))]
     return s.createDataFrame(rows, "size int, extent int, overlap int, k int, start int")
 
 
-@query("x5_patches")
+@query("x5_patches", """select (i*3+j)::int patch, (6*i)::int y0, (6*i+8)::int y1, b::int x0, (b+10)::int x1
+from range(0, 3) g(i), (values (0, 0), (1, 7), (2, 15)) h(j, b)""")
 def _(s, d):
     return patches.patch_table(s, (20, 25), (8, 10), (2, 3))
 
 
-@query("z10_tiles")
+@query("z10_tiles", """with c as (select r//8*4 + q//8 tile, r y0, least(r+8, 20)-1 y1, q x0, least(q+8, 25)-1 x1 from range(0, 20, 8) g(r), range(0, 25, 8) h(q))
+select tile::int tile, y0::int y0, y1::int y1, x0::int x0, x1::int x1, greatest(y0-3, 0)::int hy0, least(y1+3, 19)::int hy1, greatest(x0-3, 0)::int hx0, least(x1+3, 24)::int hx1 from c""")
 def _(s, d):
     return s.createDataFrame([(t["tile"], *t["core"], *t["read"]) for t in patches.tiles(20, 25, 8, 3)], "tile int, y0 int, y1 int, x0 int, x1 int, hy0 int, hy1 int, hx0 int, hx1 int")
 
@@ -655,7 +686,11 @@ def _(s, d):
     return image(render.project(movie.embedding_volume(s, d).groupBy("l", "w", "d").agg(F.max("v").alias("v")), "composite"), ("w", "d"))
 
 
-@query("v4_overlay")
+def _channel(n: int) -> str:
+    return f"round(1 - greatest(0.0, least(({n}+roi*0.6)%6, 4-(({n}+roi*0.6)%6), 1.0)), 6) + 0.0"
+
+
+@query("v4_overlay", f"with {ROI} select y, x, {_channel(5)} r, {_channel(3)} g, {_channel(1)} b, case roi%3 when 0 then 1.0 when 1 then 0.5 else 0.08 end a from rp where roi < 10")
 def _(s, d):
     st = s.createDataFrame([(k, k, ("accepted", "candidate", "rejected")[k % 3]) for k in range(10)], "roi int, pos int, status string")
     return render.overlay(movie.embedding_labels(s, d), st).select("y", "x", *[r6(c).alias(c) for c in "rgba"])

@@ -50,11 +50,16 @@ def welch(x, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def noise_std(trace, band: tuple[float, float] = (0.25, 0.5)) -> float:
     """Root of the geometric mean of half the density in the band."""
-    f, p = welch(trace, min(len(trace), 256))
+    return float(noise_stds(np.asarray(trace, float), band))
+
+
+def noise_stds(traces: np.ndarray, band: tuple[float, float] = (0.25, 0.5)) -> np.ndarray:
+    """``noise_std`` along the last axis."""
+    f, p = welch(traces, min(traces.shape[-1], 256))
     use = (f >= band[0]) & (f <= band[1])
     if not use.any():
         use = f >= band[0]
-    return float(np.exp(np.log(p[use] / 2 + 1e-10).mean() / 2))
+    return np.exp(np.log(p[..., use] / 2 + 1e-10).mean(-1) / 2)
 
 
 def peak_to_noise(trace) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,12 +91,22 @@ def local_correlation(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
     return neighbour_mean(movie, keys).groupBy(*keys).agg(or_zero(correlation("own", "nb")).alias("v"))
 
 
+def _by_length(traces: pd.Series, kernel) -> pd.Series:
+    """``kernel`` of each trace, applied to the matrix of all traces of a length."""
+    out = np.zeros(len(traces))
+    sizes = traces.map(len).to_numpy()
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        out[at] = kernel(np.stack(traces.iloc[at].to_list()).astype(float)) if n else np.nan
+    return pd.Series(out)
+
+
 def noise_std(movie: DataFrame, keys: Keys = PLANE, band: tuple[float, float] = (0.25, 0.5)) -> DataFrame:
     """Noise level of each pixel from the high-frequency part of its Welch spectrum."""
 
     @F.pandas_udf("double")
     def of(traces: pd.Series) -> pd.Series:
-        return traces.map(lambda x: kernels.noise_std(x, band))
+        return _by_length(traces, lambda x: kernels.noise_stds(x, band))
 
     return to_trace(movie, keys).select(*keys, of("trace").alias("v"))
 
@@ -105,7 +116,7 @@ def peak_to_noise(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
 
     @F.pandas_udf("double")
     def of(traces: pd.Series) -> pd.Series:
-        return traces.map(kernels.peak_to_noise)
+        return _by_length(traces, lambda x: (x.max(-1) - np.median(x, -1)) / np.maximum(kernels.noise_stds(x), 1e-6))
 
     return to_trace(movie, keys).select(*keys, of("trace").alias("v"))
 

@@ -12,6 +12,7 @@ from lumiframe.functions import kernels
 from lumiframe.functions.columns import correlation
 from lumiframe.operators import contamination, factor, masks, movie, projections, register, rois, transients
 from lumiframe.plans.imaging import EMB, MEAN, ROI, emb, emb_traces, image, r6
+from lumiframe.plans import imaging
 from lumiframe.streaming import online
 
 QUERIES: dict = {}
@@ -339,7 +340,7 @@ def _(s, d):
     return transients.neighbour_cells(movie.embedding_labels(s, d).select("roi").distinct())
 
 
-@query("q10_assess")
+@query("q10_assess", f"with {EMB}, g as ({imaging._gauss_sql('t', 'y x', 1.0).format(src='mv')}), rs as (select mv.y, mv.x, mv.t, mv.v-g.v v from mv join g on g.y=mv.y and g.x=mv.x and g.t=mv.t), {imaging._lcorr()}, {imaging._lcorr('g', '2')}, {imaging._failures('rs')} select round((select sum(v*v) from rs)/(select sum(v*v) from mv), 5) fraction, round((select avg(v) from lc), 5) correlation_before, round((select avg(v) from lc2), 5) correlation_after, (select n from fa) failures")
 def _(s, d):
     from lumiframe.operators import denoise
 

@@ -439,6 +439,19 @@ pk{name} as (select 1 n, [l[1]] c, l, d from so{name} union all select n + 1, li
 ch{name} as (select cast(i - 1 as int) rank, c[i].y y, c[i].x x, c[i].v v from pk{name}, range(1, {n + 1}) g(i) where n = {n} and c[i] is not null)"""
 
 
+def _lcorr(src: str = "mv", tag: str = "") -> str:
+    """lc: the local correlation of ``src``; ex: its extent."""
+    return LCORR.replace(" mv ", f" {src} ").replace("nb as (select a.y", f"nb{tag} as (select a.y").replace("from nb group", f"from nb{tag} group").replace("lc as", f"lc{tag} as").replace("from lc)", f"from lc{tag})").replace("ex as", f"ex{tag} as")
+
+
+#: 95 % of the chi-square distribution with 18 degrees of freedom.
+LJUNG_LIMIT = 28.869299430392623
+
+
+def _failures(src: str) -> str:
+    return LJUNG.replace("from mv)", f"from {src})", 1) + f", lb as (select y, x, 64*66*sum(power(g/e, 2)/(64-k)) q from cv join dn using (y, x) group by y, x), fa as (select count(*) filter (where q >= {LJUNG_LIMIT}) n from lb)"
+
+
 LCORR = f"{LOCAL}, lc as (select y, x, coalesce(case when isnan(corr(own, nb)) then 0.0 else corr(own, nb) end, 0.0) v from nb group by y, x), ex as (select greatest(max(y), max(x)) + 1 e from lc)"
 
 
@@ -696,5 +709,8 @@ def _(s, d):
     return render.overlay(movie.embedding_labels(s, d), st).select("y", "x", *[r6(c).alias(c) for c in "rgba"])
 
 
+ORACLES["q9_autocorrelation_failures"] = f"with {EMB}, g as ({_gauss_sql('t', 'y x', 2.0).format(src='mv')}), rs as (select mv.y, mv.x, mv.t, mv.v-g.v v from mv join g on g.y=mv.y and g.x=mv.x and g.t=mv.t), {_failures('rs')} select n failures from fa"
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return image(projections.local_correlation(emb(s, d))).orderBy(F.desc("v"), "y", "x").limit(10)

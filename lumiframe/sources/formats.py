@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import struct
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -110,6 +113,48 @@ def write_fits(a: np.ndarray) -> bytes:
     return pad(head, b" ") + pad(data, b"\0")
 
 
+# MAT 5 sample types, and the array classes that hold numbers.
+MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+MAT_CLASSES = {6: "f8", 7: "f4", 8: "i1", 9: "u1", 10: "i2", 11: "u2", 12: "i4", 13: "u4", 14: "i8", 15: "u8"}
+MAT_MATRIX, MAT_COMPRESSED, MAT_COMPLEX = 14, 15, 0x800
+
+
+def _mat_elements(raw: bytes, end: str, padded: bool) -> Iterator[tuple[int, bytes]]:
+    """(type, data) of the elements that follow each other in ``raw``; short ones hold both in eight bytes."""
+    at = 0
+    while at + 8 <= len(raw):
+        kind, size = struct.unpack_from(end + "II", raw, at)
+        if kind >> 16:
+            yield kind & 0xFFFF, raw[at + 4 : at + 4 + (kind >> 16)]
+            at += 8
+        else:
+            yield kind, raw[at + 8 : at + 8 + size]
+            at += 8 + size + (-size % 8 if padded and kind != MAT_COMPRESSED else 0)
+
+
+def read_mat(raw: bytes) -> dict[str, np.ndarray]:
+    """The real numeric arrays of a MAT 5 file, by name; compressed ones too. Cells, structures, text, sparse and complex arrays are passed over."""
+    if raw[:8] == b"\x89HDF\r\n\x1a\n" or b"MATLAB 7.3" in raw[:128]:
+        raise ModuleNotFoundError("MAT 7.3 files need h5py, which isn't installed")
+    end = {b"IM": "<", b"MI": ">"}.get(raw[126:128])
+    if end is None:
+        raise ValueError("not a MAT 5 file")
+    out = {}
+    for kind, data in _mat_elements(raw[128:], end, True):
+        if kind == MAT_COMPRESSED:
+            kind, data = next(_mat_elements(zlib.decompress(data), end, False))
+        if kind != MAT_MATRIX:
+            continue
+        parts = list(itertools.islice(_mat_elements(data, end, True), 4))
+        flags = struct.unpack_from(end + "I", parts[0][1])[0]
+        if flags & 0xFF not in MAT_CLASSES or flags & MAT_COMPLEX or len(parts) < 4:
+            continue
+        shape = np.frombuffer(parts[1][1], end + "i4")
+        values = np.frombuffer(parts[3][1], end + MAT_TYPES[parts[3][0]]).astype(MAT_CLASSES[flags & 0xFF])
+        out[parts[2][1].decode("latin1")] = values.reshape(shape, order="F")
+    return out
+
+
 def largest_variable(variables: dict[str, np.ndarray]) -> np.ndarray:
     """Of a file of several arrays, that with the most elements; names with a leading ``__`` or ``#`` don't count."""
     own = {k: v for k, v in variables.items() if not k.startswith(("__", "#"))}

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lumiframe.sources import formats
 
 LONG, VOLUME = "y int, x int, t int, v double", "l int, w int, d int, t int, v double"
-SUFFIXES = (".npy", ".tif", ".tiff", ".fits", ".fit")
-MISSING = {".h5": "h5py", ".hdf5": "h5py", ".mat": "scipy"}
+SUFFIXES = (".npy", ".tif", ".tiff", ".fits", ".fit", ".mat")
+MISSING = {".h5": "h5py", ".hdf5": "h5py"}
 
 
 def _rows(a: np.ndarray, names: list[str], chunk: int = 1 << 18, **fixed: int) -> Iterator[pd.DataFrame]:
@@ -34,7 +34,7 @@ def _decode(files: DataFrame, decode, names: list[str], schema: str) -> DataFram
 
 
 def read_movie(spark: SparkSession, path: str) -> DataFrame:
-    """A movie by the kind of its file: ``.npy`` (rows, columns, frames), ``.tif``/``.tiff`` (frames, rows, columns), ``.fits``; a path without a suffix is a folder of TIFF files, one frame each."""
+    """A movie by the kind of its file: ``.npy`` (rows, columns, frames), ``.tif``/``.tiff`` (frames, rows, columns), ``.fits``, ``.mat`` (version 5, the largest array: rows, columns, frames); a path without a suffix is a folder of TIFF files, one frame each."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     suffix = "." + name.rsplit(".", 1)[-1] if "." in name else ""
     if suffix in MISSING:
@@ -48,6 +48,8 @@ def read_movie(spark: SparkSession, path: str) -> DataFrame:
         return _decode(files, _plane(formats.read_npy), ["y", "x", "t"], LONG)
     if suffix in (".tif", ".tiff"):
         return _decode(files, formats.read_tiff, ["t", "y", "x"], LONG)
+    if suffix == ".mat":
+        return _decode(files, _plane(lambda raw: formats.largest_variable(formats.read_mat(raw))), ["y", "x", "t"], LONG)
     return _decode(files, _plane(formats.read_fits), ["y", "x", "t"], LONG)
 
 

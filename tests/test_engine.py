@@ -138,6 +138,52 @@ def test_online_detector_finds_an_onset_and_replays():
     assert not online.track_array(0.05 * rng.normal(size=(30, 30, 40)), **OPTIONS)[0].profiles
 
 
+def _mat(arrays, compress, end="<"):
+    """A MAT 5 file, element by element."""
+    import struct
+    import zlib
+
+    def element(kind, data):
+        return struct.pack(end + "II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack(end + "H", 0x0100) + (b"IM" if end == "<" else b"MI")
+    for name, a in arrays.items():
+        cls, kind = {"float64": (6, 9), "uint16": (11, 4), "uint8": (9, 2)}[a.dtype.name]
+        short = struct.pack(end + "I", len(name) << 16 | 1) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode())
+        body = element(6, struct.pack(end + "II", cls, 0)) + element(5, np.array(a.shape, end + "i4").tobytes()) + short + element(kind, a.astype(a.dtype.newbyteorder(end)).tobytes(order="F"))
+        whole = struct.pack(end + "II", 14, len(body)) + body
+        if compress:
+            z = zlib.compress(whole)
+            whole = struct.pack(end + "II", 15, len(z)) + z
+        out += whole
+    return out
+
+
+@pytest.mark.parametrize(("compress", "end"), [(False, "<"), (True, "<"), (False, ">")])
+def test_mat_files(spark, tmp_path, compress, end):
+    a = rng.integers(0, 4000, (4, 5, 6)).astype(np.uint16)
+    arrays = {"dt": np.array([[0.1]]), "movie": a, "rate": np.arange(6.0).reshape(2, 3)}
+    raw = _mat(arrays, compress, end)
+    got = formats.read_mat(raw)
+    assert set(got) == set(arrays) and all(np.array_equal(got[k], v) and got[k].dtype == v.dtype for k, v in arrays.items())
+    (tmp_path / "m.mat").write_bytes(raw)
+    assert np.array_equal(movie.to_array(readers.read_movie(spark, str(tmp_path / "m.mat"))), a)
+    with pytest.raises(ValueError):
+        formats.read_mat(b"x" * 200)
+    with pytest.raises(ModuleNotFoundError):
+        formats.read_mat(b"\x89HDF\r\n\x1a\n")
+
+
+def test_nan_ignoring_deviation_and_temporal_margin(spark):
+    from lumiframe.operators import denoise, normalize
+
+    v = rng.normal(size=101)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(float("nan"),), (None,)], "v double")
+    want = np.median(np.abs(v - np.median(v))) / normalize.MAD_TO_STD
+    assert abs(normalize.robust_std_of_known(df).first()[0] - want) < 1e-9
+    assert [denoise.temporal_margin("gaussian", 1.3), denoise.temporal_margin("gaussian"), denoise.temporal_margin("median", time_window=5), denoise.temporal_margin("wavelet_time")] == [6, 0, 2, 0]
+
+
 def test_containment_is_a_share_of_energy():
     a, b = np.array([[1.0, 2.0, 0.0]]), np.array([[0.0, 2.0, 1.0]])
     assert online.containment(a, b) == (0.8, 0.8)

@@ -3,11 +3,11 @@
 Ball hashing within 4 bits (``simhash.links``) meets the closest texts, large groups of copies above all; each of its links is verified. It misses
 most pairs of similarity 0.8 to 0.92, which differ in 5 to 13 bits, so min-hash bands complete it: a document is the set of its
 shingles (five words, hashed to 64 bits), and two sets of similarity s agree on a band of ``ROWS`` minima with probability s ** ROWS. All ``BANDS`` bands
-miss a pair of similarity 0.8 with probability 3e-6, of 0.9 with 1e-11; sets that share a passage only hardly ever meet. Every
+miss a pair of similarity 0.8 with probability 3e-6, and fewer than two with 5e-5; sets that share a passage only hardly ever meet. Every
 pair that is linked is verified on the exact sets.
 
 Equal sets are one node. Only buckets (documents that agree on a band) of more than one group so far matter. A bucket is sorted by each of a few
-other bands, so that documents which agree on two bands stand together, and neighbours of different groups are tried, unless their sizes or
+other bands, so that documents which agree on two bands stand together, and those that do, ``REACH`` places apart at most and of different groups, are tried, unless their sizes or
 the histograms of their shingles rule them out (an upper bound of what they share, so it loses nothing). So the work is in
 proportion to the documents and their bands, whatever the size of a group: no bucket's pairs are all made. A pair is
 missed only where, in each bucket that it shares, documents that belong to neither's group stand between the two in all those orders.
@@ -31,6 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 #: How far from a bucket's band the bands are that it is sorted by.
 ORDERS = (1, 2, 3, 5, 7, 9, 11, 12)
+#: How many places apart two documents may stand in an order to be tried.
+REACH = 2
 _RANDOM = np.random.default_rng(20_241).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _XOR, _MULTIPLY = _RANDOM[0] * np.uint64(2), _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
@@ -144,9 +146,11 @@ def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_
     tried = None
     for k in ORDERS:
         by = Window.partitionBy("h").orderBy(f"o{k}", "n", "key")
-        before = [F.lag(c).over(by).alias(f"{c}_before") for c in ("key", "n", "label")]
-        one = met.select("key", "n", "label", *before).filter("label <> label_before").filter(F.least("n", "n_before") >= F.greatest("n", "n_before") * similarity - 1e-9)
-        tried = one.select(*pair("key", "key_before")) if tried is None else tried.union(one.select(*pair("key", "key_before")))
+        for far in range(1, REACH + 1):
+            before = [F.lag(c, far).over(by).alias(f"{c}_before") for c in ("key", "n", "label", f"o{k}")]
+            one = met.select("key", "n", "label", f"o{k}", *before).filter(f"label <> label_before and o{k} = o{k}_before")
+            one = one.filter(F.least("n", "n_before") >= F.greatest("n", "n_before") * similarity - 1e-9).select(*pair("key", "key_before"))
+            tried = one if tried is None else tried.union(one)
     tried = materialize(tried.distinct(), "tried")
     side = lambda k: each.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
 

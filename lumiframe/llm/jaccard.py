@@ -143,14 +143,15 @@ def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_
     narrow = materialize(rows.join(several, "h", "left_semi"), "buckets")
     beside = [F.get("bands", (F.col("at") + k) % BANDS).alias(f"o{k}") for k in ORDERS]
     met = narrow.join(each.select("key", "bands"), "key").select("h", "key", "n", "label", *beside)
-    tried = None
-    for k in ORDERS:
+    others = []
+    for k in ORDERS:  # all windows share one exchange by bucket; only the sorting differs
         by = Window.partitionBy("h").orderBy(f"o{k}", "n", "key")
         for far in range(1, REACH + 1):
-            before = [F.lag(c, far).over(by).alias(f"{c}_before") for c in ("key", "n", "label", f"o{k}")]
-            one = met.select("key", "n", "label", f"o{k}", *before).filter(f"label <> label_before and o{k} = o{k}_before")
-            one = one.filter(F.least("n", "n_before") >= F.greatest("n", "n_before") * similarity - 1e-9).select(*pair("key", "key_before"))
-            tried = one if tried is None else tried.union(one)
+            before = f"b{k}_{far}"
+            met = met.withColumn(before, F.lag(F.struct("key", "n", "label", F.col(f"o{k}").alias("o")), far).over(by))
+            near_size = F.least("n", f"{before}.n") >= F.greatest("n", f"{before}.n") * similarity - 1e-9
+            others.append(F.when((F.col("label") != F.col(f"{before}.label")) & (F.col(f"o{k}") == F.col(f"{before}.o")) & near_size, F.col(f"{before}.key")))
+    tried = met.select("key", F.explode(F.array_compact(F.array_distinct(F.array(*others)))).alias("other")).select(*pair("key", "other"))
     tried = materialize(tried.distinct(), "tried")
     side = lambda k: each.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
 

@@ -247,3 +247,31 @@ def test_stage_finds_every_pair_of_similarity_08(spark):
     edges = [(5, "q r s t u v"), (2, "q r s t u v"), (2, "q r s t u v"), (9, None), (8, ""), (None, "q r s t u v"), (None, "x y z"), (None, "x y z")]
     got = stages.drop_near_duplicates(spark, spark.createDataFrame(edges, DOCS), SF)
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "x y z"), (2, "q r s t u v"), (8, "")]
+
+
+def test_crowded_documents_are_compared_with_all_in_blocks(spark, monkeypatch):
+    """Documents around one text, none of them a group's: every pair of similarity 0.8 is found, whatever the size of a block, and few others."""
+    from lumiframe.llm import jaccard
+
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        w = base[:]
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"x{k}_{rng.random()}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"{k}y{j}" for j in range(30)) for k in range(3)] + ["one two"]
+    rows = [(k, t, len(jaccard.shingles(t)), k // 2) for k, t in enumerate(texts)]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if i // 2 != j // 2 and _jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(want) > 100
+    df = spark.createDataFrame(rows, "key long, __text string, n int, label long")
+    for block in (512, 8):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = {(r.a, r.b) for r in jaccard._crowded(df.select("key", "__text"), df.select("key", "n", "label"), 0.8, 5).collect()}
+        assert want <= got and all(i // 2 != j // 2 and j < 60 for i, j in got)
+        assert all(_jaccard(texts[i], texts[j]) > 0.6 for i, j in got)
+    assert jaccard._crowded(df.limit(0).select("key", "__text"), df.limit(0).select("key", "n", "label"), 0.8, 5).isEmpty()
+    assert jaccard.histogram(np.zeros(300, np.uint64)) == b"" and len(jaccard.histogram(np.arange(255, dtype=np.uint64))) == jaccard.CELLS
+    bare = [(1, 300, 0, b""), (2, 300, 1, bytes(jaccard.CELLS)), (3, 100, 2, b"")]
+    assert list(jaccard._likely(bare, bare, 0.8)) == [(1, 2)]

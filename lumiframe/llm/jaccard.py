@@ -3,7 +3,7 @@
 Ball hashing within 4 bits (``simhash.links``) meets the closest texts, large groups of copies above all; each of its links is verified. It misses
 most pairs of similarity 0.8 to 0.92, which differ in 5 to 13 bits, so min-hash bands complete it: a document is the set of its
 shingles (five words, hashed to 64 bits), and two sets of similarity s agree on a band of ``ROWS`` minima with probability s ** ROWS. All ``BANDS`` bands
-miss a pair of similarity 0.8 with probability 3e-6, and fewer than two with 5e-5; sets that share a passage only hardly ever meet. Every
+miss a pair of similarity 0.8 with probability 3e-6; sets that share a passage only hardly ever meet. Every
 pair that is linked is verified on the exact sets.
 
 Equal sets are one node. In buckets (documents that agree on a band) of more than one group so far, each document is first compared with

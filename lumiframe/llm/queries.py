@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import ann, decontaminate, html_extract, language_id, packing, secret_scan, simhash, substring_dedup, tokens, toxicity
+from lumiframe.llm import ann, conversation, decontaminate, html_extract, language_id, packing, secret_scan, simhash, substring_dedup, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_conversation_repair": conversation.op11_conversation_repair,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ann": ann.oracle_sql(),
         "op8_substring_dedup": substring_dedup.oracle_sql(),
         "op10_secret_scan": secret_scan.oracle_sql(),
+        "op11_conversation_repair": conversation.oracle_sql(),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiframe.llm import ann, conversation, decontaminate, html_extract, language_id, packing, secret_scan, simhash, spelling, substring_dedup, tokens, toxicity
+from lumiframe.llm import ann, conversation, decontaminate, forest, html_extract, language_id, packing, secret_scan, simhash, spelling, substring_dedup, tokens, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op11_conversation_repair": conversation.op11_conversation_repair,
+        "op12_minhash_near_dedup": forest.op12_minhash_near_dedup,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": substring_dedup.oracle_sql(),
         "op10_secret_scan": secret_scan.oracle_sql(),
         "op11_conversation_repair": conversation.oracle_sql(),
+        "op12_minhash_near_dedup": forest.oracle_sql(),
         "op13_spelling_variants": spelling.oracle_sql(),
     }

@@ -1,255 +1,47 @@
-"""Near-duplicates by SimHash, completed to pairs of Jaccard similarity 0.8 of word shingles.
+"""Near-duplicates by SimHash, completed to all pairs of Jaccard similarity 0.8 of word shingles.
 
-Ball hashing within 4 bits (``simhash.links``) meets the closest texts, large groups of copies above all; each of its links is verified. It misses
-most pairs of similarity 0.8 to 0.92, which differ in 5 to 13 bits, so min-hash bands complete it: a document is the set of its
-shingles (five words, hashed to 64 bits), and two sets of similarity s agree on a band of ``ROWS`` minima with probability s ** ROWS. All ``BANDS`` bands
-miss a pair of similarity 0.8 with probability 3e-6; sets that share a passage only hardly ever meet. Every
-pair that is linked is verified on the exact sets.
-
-Equal sets are one node. In buckets (documents that agree on a band) of more than one group so far, each document is first compared with
-the two that lead most of its buckets, which joins most of the large groups. A pair that is still to be found stands together in some bucket of more than one group; the documents of such buckets are crowded. Among these the search is exact: of two similar sets the
-rarest ``1 - similarity`` of each, in one order of all shingles, share a shingle, so documents that share one there are compared. They are
-compared where they meet, in blocks of at most ``BLOCK`` documents against another, by group, size and histogram (an upper bound of what two sets
-share, so it loses nothing); only pairs that pass are written. So comparisons, not rows, grow with the square of the
-crowded documents that share a rare shingle, and no bucket, shingle or document has a cap on partners.
+Ball hashing within 4 bits (``simhash.links``) meets the closest texts, large groups of copies above all. It misses most pairs of similarity 0.8 to 0.92,
+which differ in 5 to 13 bits, so the orders of min-hashes (``forest.links``) complete it. Every link of either kind is confirmed on the
+exact sets of shingles, five words each. Equal sets are one node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiframe.llm import simhash
-from lumiframe.llm.common import discard, materialize, partitions, text_batches
-from lumiframe.llm.components import components
-from lumiframe.llm.groups import name_groups, one_of_each, row_hash
-
-SIMILARITY = 0.8
-SHINGLE = 5
-#: Bands of so many minima each.
-BANDS, ROWS = 24, 4
-#: Cells of a histogram, a byte each.
-CELLS = 256
-#: Documents of a shingle in a block; more are dealt to several, each pair of which is one group of rows.
-BLOCK = 512
-_RANDOM = np.random.default_rng(20_241).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-_XOR, _MULTIPLY = _RANDOM[0] * np.uint64(2), _RANDOM[1] * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted set of a text's shingles, as ``simhash.shingle_hashes`` has them."""
-    return np.unique(simhash.shingle_hashes(text, shingle))
-
-
-def set_key(h: np.ndarray) -> int:
-    from xxhash import xxh64_intdigest
-
-    return int(np.uint64(xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
-
-
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of a set's minima; none for the empty set."""
-    from xxhash import xxh64_intdigest
-
-    if not len(h):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 2048):
-        np.minimum(least, ((h[k : k + 2048, None] ^ _XOR) * _MULTIPLY).min(0), out=least)
-    return np.array([xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
-def histogram(h: np.ndarray) -> bytes:
-    """How many of a set's shingles have each value of their lowest bits; empty where a byte can't hold a count."""
-    n = np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
-
-
-def _likely(rows: list, of: list, similarity: float) -> Iterator[tuple[int, int]]:
-    """The pairs of keys, one of each list of (key, n, label, counts), that may be similar: of two groups, of like sizes, and with histograms
-    that meet enough. One and the same list is taken against itself."""
-    cells = lambda x: np.frombuffer(b"".join(r[3] or bytes(CELLS) for r in x), np.uint8).reshape(len(x), CELLS)
-    key, n, label = (np.array([r[k] for r in of], np.int64) for k in range(3))
-    counts, bare = cells(of), np.array([not r[3] for r in of])
-    for k, (x, m, group, c) in enumerate(rows):
-        other = (label != group) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
-        if rows is of:
-            other[: k + 1] = False
-        at = np.flatnonzero(other)
-        if c and len(at):
-            met = np.minimum(counts[at], np.frombuffer(c, np.uint8)).sum(1, dtype=np.int64)
-            at = at[bare[at] | (met >= similarity * (n[at] + m - met) - 1e-9)]
-        yield from ((min(x, y), max(x, y)) for y in key[at].tolist())
-
-
-def _compared(similarity: float):
-    """Streams rows (t, x, y, own, key, n, label, counts), sorted by t, x, y: the likely pairs of each block against the other, each once a task."""
-
-    def out(pairs: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sides, pairs = None, ([], []), set()
-
-        def compare() -> None:
-            pairs.update(_likely(sides[0], sides[0] if cell[1] == cell[2] else sides[1], similarity))
-
-        for b in it:
-            for t, x, y, own, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if cell != (t, x, y):
-                    if cell:
-                        compare()
-                    cell, sides = (t, x, y), ([], [])
-                    if len(pairs) > 1 << 16:
-                        yield out(pairs)
-                        pairs.clear()
-                sides[own != x].append(row)
-        if cell:
-            compare()
-        yield out(pairs)
-
-    return run
-
-
-def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, fp, key, n, bands) of every row, written: a hash of its text, its fingerprint, and of its set of shingles a hash, the size and the bands.
+from lumiframe.llm import forest, simhash
+from lumiframe.llm.common import discard, materialize
+from lumiframe.llm.groups import name_groups, one_of_each
 
-    Null and wordless texts have the empty set and fingerprint zero; repeated rows each get a row; an empty table gives none; other columns are ignored."""
+PERCENT, SHINGLE = 80, 5
 
-    def run(it):
-        for b in text_batches(it, "text"):
-            every = [simhash.shingle_hashes(t, shingle) for t in b.column(2).to_pylist()]
-            fps = np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64)
-            sets = [np.unique(h) for h in every]
-            cols = [pa.array(fps), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["doc_id", "row", "fp", "key", "n", "bands"])
 
-    src = docs.select(F.col(doc_id).alias("doc_id"), row_hash(text).alias("row"), F.col(text).alias("text"))
-    return materialize(src.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, row long, fp long, key long, n int, bands array<long>"), "sets")
-
-
-def _texts(keys: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, __text) of the given keys, written. ``holder``: (key, doc_id, row) of one row for each key, whose text is looked up."""
-    keys = keys.join(holder, "key")
-    src = docs.select(F.col(doc_id).alias("__id"), row_hash(text).alias("__row"), F.col(text).alias("__text"))
-    texts = src.join(keys, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__row") == F.col("row"))).select("key", "__text")
-    return materialize(texts.groupBy("key").agg(F.first("__text").alias("__text")), "texts")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar, written. ``holder`` as in ``_texts``."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, holder, doc_id, text)
-    side = lambda k: texts.select(F.col("key").alias(k), F.col("__text").alias(f"t{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-
-    def run(it):
-        for b in text_batches(it, "ta"):
-            known: dict[int, np.ndarray] = {}
-            keep = []
-            for ka, kb, ta, tb in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = (known[k] if k in known else known.setdefault(k, shingles(t, shingle)) for k, t in ((ka, ta), (kb, tb)))
-                met = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(met >= similarity * (len(x) + len(y) - met) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    out = materialize(both.mapInArrow(run, "a long, b long"), "similar")
-    discard(texts)
-    return out
-
-
-def _crowded(texts: DataFrame, sizes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b) pairs of the keys of ``texts`` that share one of their rarest shingles and may be similar, written. ``sizes``: (key, n, label)."""
-
-    def run(it):
-        for b in text_batches(it, "__text"):
-            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
-            cols = [pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([histogram(h) for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["key", "h", "counts"])
-
-    crowd = materialize(texts.select("key", "__text").mapInArrow(run, "key long, h array<long>, counts binary"), "crowd")
-    each = crowd.select("key", F.explode("h").alias("t"))
-    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # a shingle of one document only comes before all others, and can be left out once it is counted
-    shared = each.join(often, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s")).join(sizes, "key")
-    rarest = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("s"))
-    first = materialize(shared.select("key", "n", "label", F.explode(F.slice("s", F.lit(1), F.greatest(rarest, F.lit(0)).cast("int"))).alias("s")).select("key", "n", "label", "s.t"), "rarest")
-    meet = first.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = first.join(meet, "t").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    dealt = dealt.join(crowd.select("key", "counts"), "key").select("t", "x", "y", "own", "key", "n", "label", "counts")
-    met = dealt.repartition(partitions(texts.sparkSession), "t", "x", "y").sortWithinPartitions("t", "x", "y").mapInArrow(_compared(similarity), "a long, b long")
-    out = materialize(met.distinct(), "likely")
-    discard(crowd, first)
+def suggested(sets: DataFrame) -> DataFrame:
+    """(a, b) pairs of set keys, written, whose fingerprints SimHash links or that have one fingerprint: each fingerprint's least key stands for it."""
+    near = simhash.links(sets.filter("n > 0").select("fp").distinct())
+    of_fp = sets.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key"))
+    side = lambda f, k: of_fp.select(F.col("fp").alias(f), F.col("key").alias(k))
+    across = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    within = sets.filter("n > 0").select("fp", F.col("key").alias("y")).distinct().join(side("fp", "x"), "fp").filter("x <> y").select("x", "y")
+    out = materialize(across.union(within).select(F.col("x").alias("a"), F.col("y").alias("b")), "suggested")
+    discard(near)
     return out
 
 
-def _labelled(each: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, n, bands, label) of each key, written: label is the root of its group so far, or itself."""
-    label = components(found).select(F.col("node").alias("key"), "root")
-    return materialize(each.join(label, "key", "left").select("key", "n", "bands", F.coalesce("root", "key").alias("label")), "labels")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, row, key, root, first) of each row, see ``groups.name_groups``: key is its set's hash, root the least key of its component.
 
-
-def _of_several(buckets: DataFrame) -> DataFrame:
-    """The rows (key, label, h) whose bucket h has more than one group, written."""
-    several = buckets.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    return materialize(buckets.join(several, "h", "left_semi"), "buckets")
-
-
-def _leaders(buckets: DataFrame) -> DataFrame:
-    """(key, leader): each document with the two that lead most of its buckets, if they are of other groups. A bucket's leader is the member that most others meet.
-
-    It only spares the exact search the large groups, whose members it mostly joins."""
-    met = buckets.join(buckets.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "h").groupBy("key").agg(F.sum("size").alias("met"))
-    lead = buckets.join(met, "key").groupBy("h").agg(F.max(F.struct("met", "key", "label")).alias("lead"))
-    led = buckets.join(lead, "h").filter("label <> lead.label").groupBy("key", F.col("lead.key").alias("leader")).agg(F.count(F.lit(1)).alias("times"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("times", "leader")), asc=False), 1, 2)  # of a list of at most BANDS
-    return led.groupBy("key").agg(best.alias("best")).select("key", F.explode("best.leader").alias("leader"))
-
-
-def links(sets: DataFrame, near: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b) pairs of set keys of similarity ``similarity`` or more, written, whose components are the groups.
-
-    ``sets``: the sketch of ``docs``; ``near``: links of its fingerprints, which are tried first."""
-    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")
-    each = materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(place).alias("p"), F.min("fp").alias("fp")), "keys")
-    holder = each.select("key", "p.doc_id", "p.row")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    of_fp = each.groupBy("fp").agg(F.min("key").alias("key"))
-    across = near.join(of_fp.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
-    within = each.select("fp", F.col("key").alias("y")).join(of_fp.select("fp", F.col("key").alias("x")), "fp").filter("x <> y")
-    verified = lambda pairs: _verified(pairs, docs, holder, doc_id, text, similarity, shingle)
-    found = verified(across.select(*pair("x", "y")).union(within.select(*pair("x", "y"))).distinct())
-    rows = _labelled(each, found)
-    buckets = _of_several(rows.select("key", "label", F.explode("bands").alias("h")))
-    led = verified(materialize(_leaders(buckets).select(*pair("key", "leader")).distinct(), "led"))
-
-    found = materialize(found.union(led), "similar")
-    rows = _labelled(each, found)
-    buckets = _of_several(buckets.select("key", "h").join(rows.select("key", "label"), "key").select("key", "label", "h"))
-    crowd = materialize(buckets.select("key").distinct(), "crowd")
-    texts = _texts(crowd, docs, holder, doc_id, text)
-    likely = _crowded(texts, rows.join(crowd, "key", "left_semi").select("key", "n", "label"), similarity, shingle)
-    more = verified(likely)
-    discard(rows, buckets, crowd, texts, likely)
-    return materialize(found.union(more), "similar")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, key, root, first) of each row, see ``groups.name_groups``: key is its set's hash, root the least key of its component."""
-    sets = sketch(docs, doc_id, text, shingle)
-    near = simhash.links(sets.select("fp").distinct())
-    edges = links(sets, near, docs, doc_id, text, similarity, shingle)
-    discard(near)
+    Null and wordless texts have one set, the empty one; repeated rows each get a row; an empty table gives none."""
+    sets = forest.sketch(docs, doc_id, text, shingle)
+    first = suggested(sets)
+    edges = forest.links(sets, docs, first, doc_id, text, percent, shingle)
+    discard(first)
     return name_groups(sets.select("doc_id", "row", "key"), edges, "key")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id; of different texts under that id the one with the least
     set key, then the least text hash. Rows without an id stand for a component only if it has no other; of rows equal in id and text one
     stays. Null and wordless texts are one component. Columns are untouched; an empty table stays empty."""
-    return one_of_each(docs, near_duplicates(docs, doc_id, text, similarity, shingle), "key", doc_id, text)
+    return one_of_each(docs, near_duplicates(docs, doc_id, text, percent, shingle), "key", doc_id, text)

@@ -20,7 +20,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup on 5-word shingles: of each component of Jaccard similarity 0.8 or more the document with the least doc_id stays.
 
-    SimHash links by ball hashing first and is completed to all pairs. Texts without words are one component; documents without an id stay only if no copy has one."""
+    SimHash links by ball hashing first; orders of min-hashes complete it, each link confirmed. Texts without words are one component; documents without an id stay only if no copy has one."""
     return jaccard.deduplicate(docs)
 
 

@@ -197,21 +197,21 @@ def test_automaton_finds_the_first_document():
                 first.setdefault(g, d)
 
 
-def test_bands_meet_as_often_as_they_should():
-    """A band agrees with probability s ** ROWS; copies always do, and strangers never."""
-    from lumiframe.llm import jaccard
+def test_regions_meet_as_often_as_they_should():
+    """Sets meet in a tree's region with probability s ** LEVELS; copies always do, and strangers never."""
+    from lumiframe.llm import forest
 
     rng = np.random.default_rng(3)
+    of = lambda h: np.array(forest.regions(forest.signature(np.unique(h))))
     hit = 0
     for _ in range(300):
         a = rng.integers(0, 1 << 63, 60, np.uint64)
         b = np.concatenate((a[6:], rng.integers(0, 1 << 63, 6, np.uint64)))
-        x, y = jaccard.bands(np.unique(a)), jaccard.bands(np.unique(b))
-        assert (x == y).any() and (x == jaccard.bands(np.unique(a[::-1]))).all()
+        x, y = of(a), of(b)
+        assert (x == y).any() and (x == of(a[::-1])).all()
         hit += (x == y).sum()
-        assert not (x == jaccard.bands(np.unique(rng.integers(0, 1 << 63, 60, np.uint64)))).any()
-    assert abs(hit / (300 * jaccard.BANDS) - (54 / 66) ** jaccard.ROWS) < 0.03
-    assert len(jaccard.bands(np.zeros(0, np.uint64))) == 0
+        assert not (x == of(rng.integers(0, 1 << 63, 60, np.uint64))).any()
+    assert abs(hit / (300 * forest.TREES) - (54 / 66) ** forest.LEVELS) < 0.03
 
 
 def _jaccard(a, b):
@@ -249,9 +249,9 @@ def test_stage_finds_every_pair_of_similarity_08(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "x y z"), (2, "q r s t u v"), (8, "")]
 
 
-def test_crowded_documents_are_compared_with_all_in_blocks(spark, monkeypatch):
-    """Documents around one text, none of them a group's: every pair of similarity 0.8 is found, whatever the size of a block, and few others."""
-    from lumiframe.llm import jaccard
+def test_crowded_documents_are_compared_with_all_in_blocks():
+    """Documents around one text, some of them linked already: what compare adds joins every pair of similarity 0.8, and no other."""
+    from lumiframe.llm import forest
 
     rng = random.Random(4)
     base = [f"b{k}" for k in range(120)]
@@ -262,16 +262,10 @@ def test_crowded_documents_are_compared_with_all_in_blocks(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"x{k}_{rng.random()}"
         texts.append(" ".join(w))
     texts += [" ".join(f"{k}y{j}" for j in range(30)) for k in range(3)] + ["one two"]
-    rows = [(k, t, len(jaccard.shingles(t)), k // 2) for k, t in enumerate(texts)]
-    want = {(i, j) for j in range(len(texts)) for i in range(j) if i // 2 != j // 2 and _jaccard(texts[i], texts[j]) >= 0.8}
-    assert len(want) > 100
-    df = spark.createDataFrame(rows, "key long, __text string, n int, label long")
-    for block in (512, 8):
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        got = {(r.a, r.b) for r in jaccard._crowded(df.select("key", "__text"), df.select("key", "n", "label"), 0.8, 5).collect()}
-        assert want <= got and all(i // 2 != j // 2 and j < 60 for i, j in got)
-        assert all(_jaccard(texts[i], texts[j]) > 0.6 for i, j in got)
-    assert jaccard._crowded(df.limit(0).select("key", "__text"), df.limit(0).select("key", "n", "label"), 0.8, 5).isEmpty()
-    assert jaccard.histogram(np.zeros(300, np.uint64)) == b"" and len(jaccard.histogram(np.arange(255, dtype=np.uint64))) == jaccard.CELLS
-    bare = [(1, 300, 0, b""), (2, 300, 1, bytes(jaccard.CELLS)), (3, 100, 2, b"")]
-    assert list(jaccard._likely(bare, bare, 0.8)) == [(1, 2)]
+    sets = [forest.shingles(t, 5) for t in texts]
+    known = [(k, k - 1) for k in range(1, len(texts), 2)]
+    keys, label = np.arange(len(texts)), np.array([k // 2 for k in range(len(texts))])
+    want = [(i, j) for j in range(len(texts)) for i in range(j) if _jaccard(texts[i], texts[j]) >= 0.8]
+    got = forest.compare(keys, sets, label, np.zeros(len(texts), int))
+    assert len(want) > 100 and all((min(p), max(p)) in set(want) and p[0] // 2 != p[1] // 2 for p in got)
+    assert _roots(len(texts), got + known) == _roots(len(texts), want + known)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,15 @@ def join_hot(rows: DataFrame, named: DataFrame, key: str, total: int, n: str = "
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+#: Bytes of a table that may be sent to every executor.
+LIGHT = 32 << 20
+
+
+def light(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` (written), marked for broadcast if its rows' ``size``, in bytes, come to at most ``LIGHT``; a heavier one is joined by shuffles."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= LIGHT else df
+
+
 def held_out(key: str = "doc_id"):
     """True where crc32 of the id as text leaves 2 when divided by 4; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))

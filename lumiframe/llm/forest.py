@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiframe.llm import simhash
-from lumiframe.llm.common import discard, materialize, partitions, spread, table, text_batches
+from lumiframe.llm.common import discard, light, materialize, partitions, spread, table, text_batches
 from lumiframe.llm.components import components
 from lumiframe.llm.groups import name_groups, row_hash
 
@@ -173,7 +173,8 @@ def sets_of(keys: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, te
         for b in text_batches(it, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).view(np.int64).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["key", "h"])
 
-    keys = keys.join(holder, "key").select("key", F.col("doc_id").alias("k_id"), F.col("row").alias("k_row"))
+    keys = materialize(keys.join(holder, "key").select("key", F.col("doc_id").alias("k_id"), F.col("row").alias("k_row")), "holders")
+    keys = light(keys, F.coalesce(F.length(F.col("k_id").cast("string")), F.lit(0)) + 56)
     src = docs.select(F.col(f"`{doc_id}`").alias("id"), row_hash(f"`{text}`").alias("row"), F.col(f"`{text}`").alias("text"))
     found = src.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("row") == F.col("k_row"))).select("key", "text")
     return materialize(found.mapInArrow(run, "key long, h binary").groupBy("key").agg(F.first("h").alias("h")), "sets")

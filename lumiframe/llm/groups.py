@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import discard, fresh, join_hot, materialize
+from lumiframe.llm.common import discard, fresh, join_hot, light, materialize
 from lumiframe.llm.components import components
 
 #: Copies of a group's row, so that the nodes of one very large group meet it in several tasks.
@@ -47,7 +47,8 @@ def one_of_each(docs: DataFrame, named: DataFrame, node: str, doc_id: str, text:
     pick = [fresh(docs, "__gone_id"), fresh(docs, "__gone_row")]
     at = lambda df: df.select(F.col("doc_id").alias(pick[0]), F.col("row").alias(pick[1]))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(pick[0])) & (row_hash(f"`{text}`") == F.col(pick[1]))
-    kept = docs.join(materialize(at(named.filter(~F.col("stays"))).distinct(), "gone"), same, "left_anti")
+    gone = materialize(at(named.filter(~F.col("stays"))).distinct(), "gone")
+    kept = docs.join(light(gone, F.coalesce(F.length(F.col(pick[0]).cast("string")), F.lit(0)) + 48), same, "left_anti")
     again = materialize(at(named.filter("stays").groupBy("doc_id", "row").count().filter("count > 1")), "again")
     discard(named)
     if again.isEmpty():

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import exists, fresh, materialize, new_path, table
+from lumiframe.llm.common import exists, fresh, light, materialize, new_path, table
 
 MARK = "\ue000"
 STAND_IN = "\ue001"
@@ -172,11 +172,12 @@ def findings(versions: DataFrame, path: str | None = None, text: str = "text", r
 def to_paths(versions: DataFrame, findings: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """``versions`` with a column ``spans`` (another name where that is taken, see ``fresh``): each version gets the findings of its blob.
 
-    ``findings`` has one row a blob and is best a written table: both sides of the join then are plain shuffles, of which the adaptive planner
-    splits what a hot blob's versions fill. Null texts are the empty blob; repeated rows each get a row; empty tables give none."""
+    ``findings`` has one row a blob and is best a written table. Blobs with findings are sent to the versions while they are light (``common.light``); else both
+    sides of the join are plain shuffles, of which the adaptive planner splits what a hot blob's versions fill. Null texts are the empty blob; repeated rows each get a row; empty tables give none."""
     spans, blob, found = fresh(versions, spans), fresh(versions, "__blob"), fresh(versions, "__found")
     v = versions.withColumn(blob, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
     f = findings.select(F.col("blob_id").alias("__blob_of_findings"), F.col("spans").alias(found)).filter(F.size(found) > 0)
+    f = light(f, F.size(found) * 32 + 128)
     none = F.array().cast(SPAN)
     return v.join(f, F.col(blob) == F.col("__blob_of_findings"), "left").select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce(found, none).alias(spans))
 

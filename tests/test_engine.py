@@ -133,11 +133,69 @@ def test_online_detector_finds_an_onset_and_replays():
     m = _onset()
     state, rows = online.track_array(m, **OPTIONS)
     assert len(state.profiles) == 1 and [r for r in rows if r[3]][0][0] >= 10
-    assert np.unravel_index(state.profiles[0].argmax(), (30, 30)) in [(a, b) for a in (14, 15, 16) for b in (14, 15, 16)]
+    assert np.unravel_index(state.profiles[0].dense((30, 30)).argmax(), (30, 30)) in [(a, b) for a in (14, 15, 16) for b in (14, 15, 16)]
     assert state.step(5, m[..., 5]) == [] and state.last == 39
     assert not online.track_array(0.05 * rng.normal(size=(30, 30, 40)), **OPTIONS)[0].profiles
 
 
+def _spot(y, x, r=3.0, shape=(40, 40)):
+    a, b = np.mgrid[: shape[0], : shape[1]]
+    z = np.exp(-((a - y) ** 2 + (b - x) ** 2) / (2 * r * r))
+    return np.where(z > 0.05, z, 0)
+
+
+def test_a_cell_of_two_is_split_when_one_is_seen_alone():
+    """Two cells that flash together are one at first; when one of them is active alone, the known cell keeps the other."""
+    noise = np.random.default_rng(2).normal(scale=0.02, size=(40, 40, 40))
+    a, b = _spot(18, 13), _spot(18, 23)
+    m = noise + (a + b)[..., None] * (np.arange(40) < 14) * 3
+    options = {"detection": online.Detection(cutoff=3, least_pixels=10), "promotion": online.Promotion(after=4)}
+    both, _ = online.track_array(m, **options)
+    assert len(both.profiles) == 1
+    state = online.State((40, 40), **options)
+    state._put(online.Patch.of(a + b))
+    state.tracks = [online.Track((18, 13), set(map(tuple, np.argwhere(a > 0))), 0, 4, [online.Patch.of(a)], 1)]
+    assert state._promote() == [1]
+    left = state.profiles[0].dense((40, 40))
+    assert np.unravel_index(left.argmax(), left.shape) == (18, 23) and left.max() == 1
+    assert np.corrcoef(left.ravel(), b.ravel())[0, 1] > 0.95
+    state.profiles, state.tracks = [online.Patch.of(a)], [online.Track((18, 18), set(map(tuple, np.argwhere(a + b > 0))), 0, 4, [online.Patch.of(a + b)], 2)]
+    assert state._promote() == [1]  # the other way round: what is new of the candidate
+    assert np.corrcoef(state.profiles[1].dense((40, 40)).ravel(), b.ravel())[0, 1] > 0.95
+    dim = online.split(online.Patch.of(a * 0.3), online.Patch.of(a + b), online.Promotion(), online.Detection())
+    assert dim is None  # a faint part of one cell is no cell of its own
+    assert online.split(online.Patch.of(a), online.Patch.of(b), online.Promotion(), online.Detection()) is None
+
+
+def test_a_flash_is_undone():
+    """A bright frame and dim matches after it: by place alone they make a cell; by the candidate's own shape they don't."""
+    noise = np.random.default_rng(3).normal(scale=0.02, size=(40, 40, 12))
+    m = noise + _spot(20, 20)[..., None] * np.array([5.0 if t == 3 else 0.4 if 3 < t < 8 else 0 for t in range(12)])
+    run = lambda k: online.track_array(m, detection=online.Detection(cutoff=3, least_pixels=10), promotion=online.Promotion(after=3, least_fit=k), fit=online.Fit(lookahead=1))[0]
+    assert len(run(0).profiles) == 1 and not run(20).profiles
+
+
+def test_confirmation_by_spots():
+    """A bright spot is confirmed by the fit of small spots, unless their penalty leaves no weight."""
+    frame = np.random.default_rng(3).normal(scale=0.01, size=(40, 40)) + _spot(12, 12) * 2
+    plain = online.State((40, 40), online.Detection(cutoff=3, least_pixels=10))
+    strict = online.State((40, 40), online.Detection(cutoff=3, least_pixels=10, confirm=True))
+    veto = online.State((40, 40), online.Detection(cutoff=3, least_pixels=10, confirm=True), fit=online.Fit(options=(("lambda_spot", 1e9),)))
+    assert len(plain._detect(frame)) == len(strict._detect(frame)) == 1 and not veto._detect(frame)
+
+
+def test_state_grows_with_the_pixels_of_cells():
+    """Twenty cells of a 256 x 256 field are a few kilobytes each, not a field each."""
+    import pickle
+
+    state = online.State((256, 256), online.Detection(cutoff=3, least_pixels=10), online.Promotion(after=4))
+    for k in range(20):
+        state._put(online.Patch.of(_spot(20 + 10 * k, 30 + 9 * k, shape=(256, 256))))
+    entries = online.Tracker((256, 256), state.detection, state.promotion, state.fit)._entries(state)
+    assert len(entries["cells"]) == 20 and sum(map(len, entries["cells"].values())) < 20 * 8 * 20 * 20
+    assert pickle.loads(entries["cells"][3]).dense((256, 256))[50, 57] == 1
+
+
 def _mat(arrays, compress, end="<"):
     """A MAT 5 file, element by element."""
     import struct

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -127,12 +128,17 @@ def merge(spaces: np.ndarray, traces: np.ndarray, least: float = 0.8) -> tuple[n
     return np.array([s for s, _ in out]).reshape(-1, *spaces.shape[1:]), np.array([c for _, c in out]).reshape(-1, traces.shape[1]), sets
 
 
-def extract(movie: np.ndarray, n: int = 20, sigma: float = 2, radius: float = 5, reach: float = 10, n_background: int = 1, least: float = 0.8, rounds: int = 2, seeds=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(footprints, traces, spikes) of one movie (h, w, t): start, background, then rounds of space, time and merging (the last one without)."""
+def extract(movie: np.ndarray, n: int = 20, sigma: float = 2, radius: float = 5, reach: float = 10, n_background: int = 1, least: float = 0.8, rounds: int = 2, seeds=None, corrected: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(footprints, traces, spikes) of one movie (h, w, t): start, background, then rounds of space, time and merging (the last one without).
+
+    ``corrected``: gives the movie that a round works on from the footprints and traces it begins with."""
     movie = np.asarray(movie, float)
     spaces, traces, rest = greedy(movie, n, sigma, radius) if seeds is None else seeds
     if not len(spaces):
         return spaces, traces, np.zeros_like(traces)
+    if corrected:
+        movie = corrected(spaces, traces)
+        rest = movie - np.einsum("kyx,kt->yxt", spaces, traces, optimize=True)
     back_space, back = background(rest, n_background)
     spikes = np.zeros_like(traces)
     for k in range(rounds):
@@ -145,6 +151,8 @@ def extract(movie: np.ndarray, n: int = 20, sigma: float = 2, radius: float = 5,
         traces, spikes, _, back = update_time(movie, spaces, traces, back_space, back)
         if k < rounds - 1:
             spaces, traces, _ = merge(spaces, traces, least)
+            if corrected:
+                movie = corrected(spaces, traces)
     return spaces, traces, spikes
 
 
@@ -196,21 +204,43 @@ def block_mean(movie: DataFrame, ratio: int) -> DataFrame:
     return movie.groupBy(at("y"), at("x"), "t").agg((F.sum("v") / (ratio * ratio)).alias("v"))
 
 
-def ring_background(movie: np.ndarray, inner: float, outer: float, ratio: int = 4, neurons: np.ndarray | None = None) -> np.ndarray:
-    """Background of a patch: the ring model on block means, brought back by bilinear interpolation, plus each pixel's mean."""
-    from lumiframe.functions.registration import bilinear_matrix
+@dataclass(frozen=True)
+class RingModel:
+    """Ring weights of a movie's block means, fitted once; ``predict`` applies them to any later residual of the same shape."""
+
+    weights: np.ndarray
+    offsets: tuple[tuple[int, int], ...]
+    ratio: int
+
+    @classmethod
+    def fit(cls, rest: np.ndarray, neurons: np.ndarray | None, inner: float, outer: float, ratio: int = 4, most_frames: int = 500, ridge: float = 1e-2) -> RingModel:
+        """``rest``: a movie without its cells; ``neurons``: pixels of cells, which take no part in any ring. Radii are in pixels of the movie."""
+        small = _blocks(rest, ratio)
+        on = None if neurons is None else _blocks(neurons[..., None].astype(float), ratio)[..., 0] > 0
+        return cls(ring_weights(small, inner / ratio, outer / ratio, on, most_frames, ridge), tuple(ring_offsets(inner / ratio, outer / ratio)), ratio)
+
+    def predict(self, rest: np.ndarray) -> np.ndarray:
+        """Background of every pixel and frame: weighted ring samples of the block means, brought back by bilinear interpolation."""
+        from lumiframe.functions.registration import bilinear_matrix
+
+        small = _blocks(rest, self.ratio)
+        guess = np.zeros_like(small)
+        for k, (a, b) in enumerate(self.offsets):
+            guess += self.weights[..., k, None] * np.nan_to_num(_shifted(small, a, b))
+        return np.einsum("yi,xj,ijt->yxt", bilinear_matrix(rest.shape[0], small.shape[0]), bilinear_matrix(rest.shape[1], small.shape[1]), guess, optimize=True)
+
 
+def _blocks(movie: np.ndarray, ratio: int) -> np.ndarray:
+    """Means over ratio x ratio blocks; what a block lacks at the edge counts as zero."""
     h, w, t = movie.shape
+    whole = np.pad(movie, [(0, -h % ratio), (0, -w % ratio), (0, 0)])
+    return whole.reshape(whole.shape[0] // ratio, ratio, -1, ratio, t).mean((1, 3))
+
+
+def ring_background(movie: np.ndarray, inner: float, outer: float, ratio: int = 4, neurons: np.ndarray | None = None) -> np.ndarray:
+    """The ring model of a movie around its means, fitted and applied at once, plus each pixel's mean."""
     mean = movie.mean(-1, keepdims=True)
-    pad = [(0, -h % ratio), (0, -w % ratio), (0, 0)]
-    small = np.pad(movie - mean, pad).reshape((h + pad[0][1]) // ratio, ratio, -1, ratio, t).mean((1, 3))
-    on = None if neurons is None else np.pad(neurons, pad[:2]).reshape(small.shape[0], ratio, -1, ratio).any((1, 3))
-    weights = ring_weights(small, max(1.0, inner / ratio), max(2.0, outer / ratio), on)
-    guess = np.zeros_like(small)
-    for k, (a, b) in enumerate(ring_offsets(max(1.0, inner / ratio), max(2.0, outer / ratio))):
-        guess += weights[..., k, None] * np.nan_to_num(_shifted(small, a, b))
-    up = np.einsum("yi,xj,ijt->yxt", bilinear_matrix(h, small.shape[0]), bilinear_matrix(w, small.shape[1]), guess, optimize=True)
-    return mean + up
+    return mean + RingModel.fit(movie - mean, neurons, inner, outer, ratio).predict(movie - mean)
 
 
 def seeds_by_correlation(movie: np.ndarray, n: int, sigma: float = 2, radius: float = 5, least_corr: float = 0.8, least_peak: float = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,11 +272,23 @@ def seeds_by_correlation(movie: np.ndarray, n: int, sigma: float = 2, radius: fl
     return np.array(spaces).reshape(-1, h, w), np.array(traces).reshape(-1, t), rest
 
 
-def extract_one_photon(movie: np.ndarray, n: int = 20, radius: float = 5, inner: float = 9, outer: float = 11, ratio: int = 4, rounds: int = 2, **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``extract``, on the movie without its ring-model background."""
+def extract_one_photon(movie: np.ndarray, n: int = 20, radius: float = 5, inner: float = 20, outer: float = 25, ratio: int = 4, rounds: int = 2, most_frames: int = 500, sigma: float = 2, reach: float = 10, n_background: int = 1, least: float = 0.8, refit: bool = False, **seeding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``extract``, with a ring-model background. Seeds come from the movie as it is; the model is fitted on what they leave, without their pixels,
+    and applied again, each round, to what the components of that round leave.
+
+    ``refit``: it is also fitted anew each round. A seed's trace holds the background under it, so the first fit misses that; a round's deconvolved traces don't."""
     movie = np.asarray(movie, float)
-    clean = movie - ring_background(movie, inner, outer, ratio)
-    return extract(clean, n, radius=radius, rounds=rounds, seeds=seeds_by_correlation(clean, n, radius=radius, **options))
+    seeds = seeds_by_correlation(movie, n, sigma, radius, **seeding)
+    if not len(seeds[0]):
+        return seeds[0], seeds[1], np.zeros_like(seeds[1])
+    fit = lambda rest, spaces: RingModel.fit(rest, spaces.sum(0) > 0, inner, outer, ratio, most_frames)
+    model = fit(seeds[2], seeds[0])
+
+    def without(spaces: np.ndarray, traces: np.ndarray) -> np.ndarray:
+        rest = movie - np.einsum("kyx,kt->yxt", spaces, traces, optimize=True)
+        return movie - (fit(rest, spaces) if refit else model).predict(rest)
+
+    return extract(movie, n, radius=radius, reach=reach, n_background=n_background, least=least, rounds=rounds, seeds=seeds, corrected=without)
 
 
 # Spark
@@ -255,8 +297,9 @@ RESULT = "roi long, y int, x int, w double"
 
 
 def extract_patches(movie: DataFrame, shape: Sequence[int], patch: Sequence[int] = (80, 80), overlap: int = 20, least: float = 0.8, method: str = "two_photon", **options) -> tuple[DataFrame, DataFrame]:
-    """(footprints (roi, y, x, w), traces (roi, t, v)): every patch is factorised in its own group; components of neighbouring patches that
-    overlap and correlate are merged; traces are measured on the whole movie.
+    """(footprints (roi, y, x, w), traces (roi, t, v)): every patch is factorised in its own group; the masks of its components are put back into the field. Those
+    of neighbouring patches that overlap and correlate are one component, whose w is the sum of their masks, so a pixel counts for each patch
+    that found it; traces are means over that on the whole movie.
 
     A group is one patch: its size is a parameter, not the field's."""
     axes = {k: (starts(n, p, overlap), p) for k, n, p in zip(("y", "x"), shape, patch, strict=True)}
@@ -268,7 +311,7 @@ def extract_patches(movie: DataFrame, shape: Sequence[int], patch: Sequence[int]
         cube[p["y"] - y0, p["x"] - x0, p["t"]] = p["v"]
         spaces, _, _ = run(cube, **options)
         base = int(p["patch"].iloc[0]) * 100_000
-        rows = [(base + k, int(y) + y0, int(x) + x0, float(s[y, x])) for k, s in enumerate(spaces) for y, x in np.argwhere(s > 0)]
+        rows = [(base + k, int(y) + y0, int(x) + x0, 1.0) for k, s in enumerate(spaces) for y, x in np.argwhere(s > 0)]
         return pd.DataFrame(rows, columns=["roi", "y", "x", "w"])
 
     from lumiframe.operators.graph import _checkpoint
@@ -276,7 +319,7 @@ def extract_patches(movie: DataFrame, shape: Sequence[int], patch: Sequence[int]
     found = _checkpoint(assign(movie, axes).groupBy("patch").applyInPandas(one, RESULT))
     traces = masks.region_traces(movie, found)
     groups = transients.merge_groups(found, traces, least)
-    merged = found.join(groups, "roi").groupBy(F.col("group").alias("roi"), "y", "x").agg(F.max("w").alias("w"))
+    merged = found.join(groups, "roi").groupBy(F.col("group").alias("roi"), "y", "x").agg(F.sum("w").alias("w"))
     return merged, masks.region_traces(movie, merged)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lumiframe-checkpoints"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "lumiframe-checkpoints"))
     return df.checkpoint()
 
 

@@ -253,6 +253,18 @@ def _(s, d):
     return online.containment_ratios(pf).select("a", "b", r6("rho_a").alias("rho_a"), r6("rho_b").alias("rho_b"))
 
 
+@query("z23_split_profiles", f"""with {PAIRS}, pf as (select roi, y, x, 1.0+x*0.1 w from rg), own as (select roi, sum(w*w) e from pf group by roi),
+    j as (select a.roi a, b.roi b, sum(a.w*a.w) aa, sum(b.w*b.w) bb from pf a join pf b on a.y=b.y and a.x=b.x and a.roi < b.roi group by 1, 2),
+    r as (select a, b, aa/p.e ra, bb/q.e rb from j join own p on p.roi=a join own q on q.roi=b),
+    s as (select case when ra > rb then a else b end i, case when ra > rb then b else a end o from r where greatest(ra, rb) >= 0.75 and least(ra, rb) < 0.75 and least(ra, rb) <= 0.75*greatest(ra, rb)),
+    k as (select s.i, s.o, sum(pi.w*po.w)/sum(pi.w*pi.w) scale from s join pf pi on pi.roi=s.i join pf po on po.roi=s.o and po.y=pi.y and po.x=pi.x group by 1, 2),
+    rest as (select k.i, k.o, scale, po.y, po.x, greatest(po.w - scale*coalesce(pi.w, 0), 0) w from k join pf po on po.roi=k.o left join pf pi on pi.roi=k.i and pi.y=po.y and pi.x=po.x where scale > 0 and scale < 2)
+    select i "inner", o "outer", round(scale, 6) scale, y, x, round(w, 6) w from (select *, max(w) over (partition by i, o) peak from rest) where w > 0.01*peak""")
+def _(s, d):
+    pf = _pairs(s, d).withColumn("w", 1.0 + F.col("x") * 0.1)
+    return online.split_profiles(pf).select("inner", "outer", r6("scale").alias("scale"), "y", "x", r6("w").alias("w"))
+
+
 @query("f22_extract_online")
 def _(s, d):
     det = online.Detection(cutoff=3.0, least_pixels=6)

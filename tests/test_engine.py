@@ -359,6 +359,23 @@ def test_pipeline_end_to_end(spark):
     assert found.filter("t0 > t1").count() == 0
 
 
+def test_a_cell_across_patches_is_one_mask(spark):
+    """Two patches find one cell each; the merged mask counts a pixel once for each of them."""
+    from lumiframe.operators import factor
+
+    y, x = np.mgrid[:30, :40]
+    trace = np.clip(np.random.default_rng(3).normal(size=80), 0, None)
+    m = 0.02 * np.random.default_rng(4).normal(size=(30, 40, 80)) + np.exp(-((y - 15) ** 2 + (x - 20) ** 2) / 12)[..., None] * 3 * trace
+    fp, tr = factor.extract_patches(movie.from_array(spark, m), (30, 40), (30, 26), 12, n=1)
+    rows = fp.collect()
+    assert len({r.roi for r in rows}) == 1 and {r.w for r in rows} == {1.0, 2.0}
+    assert all(14 <= r.x <= 25 for r in rows if r.w == 2)
+    centre = np.average([(r.y, r.x) for r in rows], axis=0, weights=[r.w for r in rows])
+    assert np.hypot(*(centre - (15, 20))) < 2
+    got = np.array([r.v for r in tr.orderBy("t").collect()])
+    assert np.corrcoef(got, trace)[0, 1] > 0.95
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 

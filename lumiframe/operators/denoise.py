@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
+from lumiframe.operators import stencil
 from lumiframe.operators.movie import PLANE, from_trace, to_trace
 from lumiframe.operators.patches import assign, starts
 
@@ -50,14 +51,16 @@ def gaussian(movie: DataFrame, spatial_sigma: float = 1.0, temporal_sigma: float
 
 
 def median(movie: DataFrame, space: int = 3, time: int = 1, shape: Sequence[int] | None = None, keys: Keys = PLANE) -> DataFrame:
-    """Box median, borders repeated: each sample is sent to the windows it stands in, once for each place it takes there, and the
-    element of rank n // 2 is taken. ``shape`` (keys..., t) saves finding the extents."""
+    """Box median, borders repeated; the element of rank n // 2. A window in space alone is a stencil over tiles with a halo; one that reaches over frames sends each sample to
+    the windows it stands in, once for each place it takes there. ``shape`` (keys..., t) saves finding the extents."""
     axes = [*keys, "t"]
     if shape is None:
         got = movie.agg(*[(F.max(a) + 1).alias(a) for a in axes]).first()
         shape = [got[a] for a in axes]
-    sizes = [space] * len(keys) + [time]
-    out = movie
+    sizes, out = [space] * len(keys) + [time], movie
+    if time <= 1 < space:
+        small = tuple(int(n) for n in shape[:-1])
+        return stencil.apply(movie, keys, space // 2, lambda: stencil.BoxMedian(space, small), ", ".join((*axes, "v")))
     for a, n, w in zip(axes, shape, sizes, strict=True):
         if w <= 1:
             continue

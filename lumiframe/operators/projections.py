@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
 from lumiframe.functions.columns import correlation, or_zero
+from lumiframe.operators import stencil
 from lumiframe.operators.movie import PLANE, VOLUME, to_trace
 
 Keys = Sequence[str]
@@ -87,7 +88,12 @@ def neighbour_mean(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
 
 
 def local_correlation(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
-    """Correlation of each pixel with the mean of its neighbours, zero where either doesn't vary."""
+    """Correlation of each pixel with the mean of its neighbours, zero where either doesn't vary. The movie and the edges of its tiles are exchanged once."""
+    return stencil.apply(movie, keys, 1, stencil.NeighbourCorrelation, ", ".join((*keys, "v")))
+
+
+def local_correlation_by_expression(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
+    """The same without Python, each sample sent to all of its neighbours; as a check."""
     return neighbour_mean(movie, keys).groupBy(*keys).agg(or_zero(correlation("own", "nb")).alias("v"))
 
 

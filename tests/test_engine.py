@@ -397,3 +397,39 @@ def test_oracles(spark, name):
     rows = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
     key = lambda df: rows(df.apply(lambda c: c.astype(float) if c.dtype.kind in "iuf" else c))
     assert key(a) == key(b)
+
+
+@pytest.mark.parametrize("edge", [3, 5, 16])
+def test_stencils_however_tiled(spark, edge, monkeypatch):
+    """Tiles of any size, several blocks of frames and missing samples, against the plain expressions and against numpy; a volume too."""
+    from lumiframe.operators import stencil
+
+    monkeypatch.setitem(stencil.EDGE, 2, edge)
+    monkeypatch.setattr(stencil, "BLOCK", 400)
+    r = np.random.default_rng(edge)
+    m = r.normal(size=(11, 9, 17))
+    m[3, 4] = 2.0
+    df = movie.from_array(spark, m).filter("not (y = 5 and x in (2, 3) and t > 4) and not (y = 8 and x = 8)")
+    plain = {(q.y, q.x): q.v for q in projections.local_correlation_by_expression(df).collect()}
+    got = {(q.y, q.x): q.v for q in projections.local_correlation(df).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-9 for k in plain)
+    for space in (2, 3, 5):
+        lo = space // 2
+        padded = np.pad(m, [(lo, space - 1 - lo)] * 2 + [(0, 0)], mode="edge")
+        want = np.sort(np.stack([padded[i : i + 11, j : j + 9] for i in range(space) for j in range(space)]), 0)[space * space // 2]
+        assert np.array_equal(movie.to_array(denoise.median(movie.from_array(spark, m), space, 1)), want)
+
+
+def test_stencil_of_a_volume(spark):
+    v = np.random.default_rng(2).normal(size=(4, 5, 6, 12))
+    df = movie.from_array(spark, v, movie.VOLUME)
+    plain, got = projections.local_correlation_by_expression(df, movie.VOLUME), projections.local_correlation(df, movie.VOLUME)
+    assert np.allclose(movie.to_array(got, movie.VOLUME), movie.to_array(plain, movie.VOLUME))
+
+
+def test_halos_are_a_small_part_of_the_exchange(spark):
+    """Of a field of 64 x 64 at most 1.3 samples are sent for each."""
+    from lumiframe.operators import stencil
+
+    df = spark.range(64 * 64 * 2).selectExpr("cast(id div 2 div 64 as int) y", "cast(id div 2 % 64 as int) x", "cast(id % 2 as int) t", "1.0D v")
+    assert stencil.tiled(df, ("y", "x"), 1).count() <= 1.3 * df.count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.functions.kernels import MAD_TO_STD
+from lumiframe.operators import order
 from lumiframe.operators.movie import PLANE
 from lumiframe.operators.projections import half_sample_mode
 
@@ -15,10 +16,19 @@ CENTRES = ("median", "mean", "min", "mode")
 SCALES = ("median", "mean", "max", "robuststd")
 
 
+def _one(df: DataFrame, v: float | None) -> DataFrame:
+    return df.sparkSession.createDataFrame([(v,)], "v double")
+
+
 def robust_std(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., v): median absolute deviation over its normal-law factor. Two aggregates; the medians come back by a join on the keys, or as a single row."""
+    """(keys..., v): median absolute deviation over its normal-law factor. Two aggregates, joined on the keys; without keys both medians
+    are searched for when this is called (``order.quantile``)."""
+    if not keys:
+        mid = order.quantile(df)
+        off = None if mid is None else order.quantile(df.select(F.abs(F.col("v") - mid).alias("v")))
+        return _one(df, None if off is None else off / MAD_TO_STD)
     mid = df.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("__m"))
-    both = df.join(mid, list(keys)) if keys else df.crossJoin(F.broadcast(mid))
+    both = df.join(mid, list(keys))
     return both.groupBy(*keys).agg((F.percentile(F.abs(F.col("v") - F.col("__m")), F.lit(0.5)) / MAD_TO_STD).alias("v"))
 
 
@@ -30,6 +40,8 @@ def robust_std_of_known(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _baseline(movie: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
     if kind == "robuststd":
         return robust_std(movie, keys)
+    if not keys and kind in ("median", "mode"):
+        return _one(movie, order.quantile(movie) if kind == "median" else order.half_sample_mode(movie))
     if kind == "mode":
         return movie.groupBy(*keys).agg(F.collect_list("v").alias("a")).select(*keys, half_sample_mode(F.col("a")).alias("v"))
     value: Column = {"median": F.percentile("v", F.lit(0.5)), "mean": F.avg("v"), "min": F.min("v"), "max": F.max("v")}[kind]
@@ -83,5 +95,9 @@ def histogram(df: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def value_marks(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean, median and half-sample mode of each trace's values; without keys all values are one trace."""
+    """Mean, median and half-sample mode of each trace's values; without keys all values are one trace, whose
+    median and mode are searched for when this is called."""
+    if not keys:
+        m = df.agg(F.avg("v").alias("mean"))
+        return m.select("mean", F.lit(order.quantile(df)).cast("double").alias("median"), F.lit(order.half_sample_mode(df)).cast("double").alias("mode"))
     return df.groupBy(*keys).agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), half_sample_mode(F.collect_list("v")).alias("mode"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiframe.operators import denoise, detrend, masks, movie, normalize, patches, projections, render, stats, transients
+from lumiframe.operators import denoise, detrend, masks, movie, normalize, order, patches, projections, render, stats, transients
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +96,8 @@ ORACLES["p12_binned_max"] = f"with {EMB}, b as (select y, x, t//50 b, avg(v) m f
 
 @query("b3_global_median", f"with {EMB} select round({Q50}, 6) v, round(var_pop(v), 6) var from mv")
 def _(s, d):
-    return emb(s, d).agg(r6(F.percentile("v", F.lit(0.5))).alias("v"), r6(F.var_pop("v")).alias("var"))
+    m = emb(s, d)
+    return m.agg(r6(F.lit(order.quantile(m))).alias("v"), r6(F.var_pop("v")).alias("var"))
 
 
 # normalisation
@@ -118,6 +119,29 @@ def _(s, d):
     return normalize._baseline(emb(s, d), "mode", ("x",)).select("x", r6().alias("v"))
 
 
+_ALL = f"""with recursive {EMB}, rk as (select v, row_number() over (order by v) - 1 i from mv),
+hs as (select cast(0 as bigint) b, count(*) n from rk union all
+  select arg_min(p.i, struct_pack(w := q.v-p.v, i := p.i)), (n+1)//2 from hs join rk p on p.i >= b and p.i < b+n-(n+1)//2 join rk q on q.i = p.i+(n+1)//2-1 where n > 3 group by n),
+fin as (select list(v order by v) s from rk, (select * from hs where n <= 3) where i >= b and i < b+n),
+md as (select round(case when len(s)=1 then s[1] when len(s)=2 then (s[1]+s[2])/2 when s[2]-s[1] < s[3]-s[2] then (s[1]+s[2])/2 when s[2]-s[1] > s[3]-s[2] then (s[2]+s[3])/2 else s[2] end, 6) + 0.0 v from fin)"""
+
+
+@query("n2_mode_baseline_all", f"{_ALL} select v from md")
+def _(s, d):
+    return normalize._baseline(emb(s, d), "mode", ()).select(r6().alias("v"))
+
+
+@query("n8_value_marks_all", f"{_ALL} select round(avg(mv.v), 6) + 0.0 mean, round(quantile_cont(mv.v, 0.5), 6) + 0.0 median, any_value(md.v) mode from mv, md")
+def _(s, d):
+    return normalize.value_marks(emb(s, d)).select(*[r6(c).alias(c) for c in ("mean", "median", "mode")])
+
+
+@query("n3_baselines_all", f"with {EMB}, c as (select {Q50} c from mv) select round(c, 6) + 0.0 c, round((select quantile_cont(abs(v-c), 0.5)/{MAD} from mv, c), 6) s from c")
+def _(s, d):
+    c, sc = normalize.baselines(emb(s, d), "median", "robuststd")
+    return c.crossJoin(sc).select(r6("c").alias("c"), r6("s").alias("s"))
+
+
 def _norm_sql(c: str, s: str, pc: bool, ps: bool) -> str:
     agg = {"mean": "avg(v)", "median": Q50, "min": "min(v)", "max": "max(v)"}
     part = lambda k, own, n: f"{n} as (select {'y, x, ' if own else ''}{agg[k]} b from mv{' group by y, x' if own else ''})"

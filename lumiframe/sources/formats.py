@@ -135,7 +135,7 @@ def _mat_elements(raw: bytes, end: str, padded: bool) -> Iterator[tuple[int, byt
 def read_mat(raw: bytes) -> dict[str, np.ndarray]:
     """The real numeric arrays of a MAT 5 file, by name; compressed ones too. Cells, structures, text, sparse and complex arrays are passed over."""
     if raw[:8] == b"\x89HDF\r\n\x1a\n" or b"MATLAB 7.3" in raw[:128]:
-        raise ModuleNotFoundError("MAT 7.3 files need h5py, which isn't installed")
+        raise ValueError("MAT 7.3 files are read by their path, one at a time (sources.hdf5)")
     end = {b"IM": "<", b"MI": ">"}.get(raw[126:128])
     if end is None:
         raise ValueError("not a MAT 5 file")

@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumiframe.sources import formats
+from lumiframe.sources import formats, hdf5
 
 LONG, VOLUME = "y int, x int, t int, v double", "l int, w int, d int, t int, v double"
-SUFFIXES = (".npy", ".tif", ".tiff", ".fits", ".fit", ".mat")
-MISSING = {".h5": "h5py", ".hdf5": "h5py"}
+SUFFIXES = (".npy", ".tif", ".tiff", ".fits", ".fit", ".mat", ".h5", ".hdf5")
 
 
 def _rows(a: np.ndarray, names: list[str], chunk: int = 1 << 18, **fixed: int) -> Iterator[pd.DataFrame]:
@@ -34,15 +33,15 @@ def _decode(files: DataFrame, decode, names: list[str], schema: str) -> DataFram
 
 
 def read_movie(spark: SparkSession, path: str) -> DataFrame:
-    """A movie by the kind of its file: ``.npy`` (rows, columns, frames), ``.tif``/``.tiff`` (frames, rows, columns), ``.fits``, ``.mat`` (version 5, the largest array: rows, columns, frames); a path without a suffix is a folder of TIFF files, one frame each."""
+    """A movie by the kind of its file: ``.npy`` (rows, columns, frames), ``.tif``/``.tiff`` (frames, rows, columns), ``.fits``, ``.h5``/``.hdf5`` and ``.mat`` (versions 5 and 7.3; the largest array: rows, columns, frames); a path without a suffix is a folder of TIFF files, one frame each."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     suffix = "." + name.rsplit(".", 1)[-1] if "." in name else ""
-    if suffix in MISSING:
-        raise ModuleNotFoundError(f"{suffix} files need {MISSING[suffix]}, which isn't installed")
     if not suffix:
         return read_tiff_folder(spark, path)
     if suffix not in SUFFIXES:
         raise ValueError(f"unknown kind of movie file: {suffix}")
+    if suffix in (".h5", ".hdf5") or suffix == ".mat" and hdf5.is_hdf5(path):
+        return hdf5.read_movie(spark, path, ["y", "x", "t"], matlab=suffix == ".mat")
     files = spark.read.format("binaryFile").load(path)
     if suffix == ".npy":
         return _decode(files, _plane(formats.read_npy), ["y", "x", "t"], LONG)

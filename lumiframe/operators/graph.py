@@ -6,17 +6,23 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, made known to Spark as its checkpoint folder."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not re.match(r"local(\[[^\]]*\])?$", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "lumiframe-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 STEP = "pos int, stage string, label string, params string, metrics string"
 REGION = "roi int, source_method string, status string, params string"
+OUTPUT = ("regions", "pixels", "transients", "artifacts")
 
 
 @dataclass
@@ -30,13 +31,15 @@ class Session:
     mask: DataFrame | None = None
     regions: DataFrame | None = None
     pixels: DataFrame | None = None
+    transients: DataFrame | None = None
+    artifacts: DataFrame | None = None
     steps: list[Step] = field(default_factory=list)
     modality: set[str] = field(default_factory=set)
     data_path: str = ""
 
     def load(self, movie: DataFrame, path: str = "") -> Session:
         self.original = self.active = movie
-        self.mask = self.regions = self.pixels = None
+        self.mask = self.regions = self.pixels = self.transients = self.artifacts = None
         self.steps, self.data_path = [Step("load", "Load", {"path": path})], path
         return self
 
@@ -57,8 +60,16 @@ class Session:
         self.steps.append(Step("source_extraction", label, params or {}, {"rois_committed": counts[1] or 0, "rois_deleted": counts[0] - (counts[1] or 0)}))
         return self
 
+    def commit_validation(self, transients: DataFrame, artifacts: DataFrame) -> Session:
+        """Transients (roi, trans, t0, t1, class) and flags (roi, artifact) of the accepted regions; those of other numbers are left out,
+        regions without a flag are no artifacts."""
+        own = self.regions.select("roi").distinct()
+        self.transients = transients.join(own, "roi", "left_semi")
+        self.artifacts = own.join(artifacts.select("roi", "artifact"), "roi", "left").select("roi", F.coalesce("artifact", F.lit(False)).alias("artifact"))
+        return self
+
     def clear_regions(self) -> Session:
-        self.regions = self.pixels = None
+        self.regions = self.pixels = self.transients = self.artifacts = None
         self.steps = [s for s in self.steps if s.stage != "source_extraction"]
         return self
 
@@ -70,23 +81,24 @@ class Session:
         return self.spark.createDataFrame([(k, s.stage, s.label, json.dumps(s.params, sort_keys=True), json.dumps(s.metrics, sort_keys=True)) for k, s in enumerate(self.steps)], STEP)
 
     def save(self, path: str) -> None:
-        """The recipe (steps, path) and the output (regions, pixels) as Parquet. Metrics belong to a step's position, so equal labels don't overwrite each other."""
+        """The recipe (steps, path) and the output (regions, pixels, transients, artifact flags) as Parquet. Metrics belong to a step's position, so equal labels don't overwrite each other."""
         path, output = sibling_paths(path)
         self.step_table().withColumn("data_path", F.lit(self.data_path)).coalesce(1).write.mode("overwrite").parquet(f"{path}/steps")
-        for name, df in (("regions", self.regions), ("pixels", self.pixels)):
+        for name in OUTPUT:
+            df = getattr(self, name)
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{output}/{name}")
 
     @staticmethod
     def restore(spark: SparkSession, path: str, read=None) -> Session:
-        """Steps, and regions if there is an output beside the recipe; the movie is read by ``read(path)``. Parameters of every stage come back."""
+        """Steps, and regions with their validation if there is an output beside the recipe; the movie is read by ``read(path)``. Parameters of every stage come back."""
         path, output = sibling_paths(path)
         rows = spark.read.parquet(f"{path}/steps").orderBy("pos").collect()
         s = Session(spark, data_path=rows[0]["data_path"] if rows else "")
         if read and s.data_path:
             s.original = s.active = read(s.data_path)
         s.steps = [Step(r["stage"], r["label"], json.loads(r["params"]), json.loads(r["metrics"])) for r in rows]
-        for name in ("regions", "pixels"):
+        for name in OUTPUT:
             if _exists(spark, f"{output}/{name}"):
                 setattr(s, name, spark.read.parquet(f"{output}/{name}"))
         return s

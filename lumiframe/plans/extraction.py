@@ -137,9 +137,12 @@ def _(s, d):
 RINGS = "(values {}) o(dy, dx)".format(", ".join(f"({a},{b})" for a, b in factor.ring_offsets(1.5, 3)))
 
 
-@query("f11_ring_offsets", f"select dy, dx from {RINGS}")
+@query("f11_ring_offsets", f"with {EMB}, {MEAN} select a.y, a.x, count(*) n, round(avg(b.v), 6) + 0.0 mean from im a cross join {RINGS} join im b on b.y=a.y+dy and b.x=a.x+dx group by a.y, a.x")
 def _(s, d):
-    return s.createDataFrame(factor.ring_offsets(1.5, 3), "dy int, dx int")
+    im = projections.mean(emb(s, d))
+    ring = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a, b in factor.ring_offsets(1.5, 3)])
+    at = im.select("y", "x", F.explode(ring).alias("o")).select(F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("y") + F.col("o.y")).alias("y"), (F.col("x") + F.col("o.x")).alias("x"))
+    return at.join(im, ["y", "x"]).groupBy(F.col("ay").alias("y"), F.col("ax").alias("x")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"))
 
 
 @query("f13_ring_predict", f"with {EMB} select a.y, a.x, b.t, round(sum((1.0+dy*0.1-dx*0.05)*b.v), 5) + 0.0 v from (select distinct y, x from mv) a cross join {RINGS} join mv b on b.y=a.y+dy and b.x=a.x+dx group by a.y, a.x, b.t")
@@ -198,13 +201,16 @@ def _(s, d):
     return contamination.cell_windows(rp.filter("roi = 1 and y between 4 and 9").withColumn("w", F.lit(1.0)), h, 25, 3)
 
 
-@query("z1_spot", """with g as (select y, x, exp(-(pow(x-3, 2) + pow(y-3, 2)) / (2*1.2*1.2)) e from range(0, 7) a(y), range(0, 7) b(x)), k as (select y, x, case when e < 0.01 then 0.0 else e end e from g)
-select y::int y, x::int x, round(e / sqrt((select sum(e*e) from k)), 6) w from k""")
+@query("z1_spot", f"""with {EMB}, {MEAN}, g as (select y dy, x dx, exp(-(pow(x-3, 2) + pow(y-3, 2)) / (2*1.2*1.2)) e from range(0, 7) a(y), range(0, 7) b(x)), k as (select dy, dx, e / sqrt(sum(e*e) over ()) w from g where e >= 0.01)
+select a.y, a.x, round(sum(w*b.v), 6) + 0.0 v from im a cross join k join im b on b.y=a.y+dy-3 and b.x=a.x+dx-3 group by a.y, a.x""")
 def _(s, d):
     from lumiframe.functions.solvers import gaussian_blob
 
-    g = gaussian_blob(1.2)
-    return s.createDataFrame([(int(y), int(x), round(float(g[y, x]), 6)) for y, x in np.ndindex(g.shape)], "y int, x int, w double")
+    im, g = projections.mean(emb(s, d)), gaussian_blob(1.2)
+    half = g.shape[0] // 2
+    spot = F.array(*[F.struct(F.lit(int(a) - half).alias("dy"), F.lit(int(b) - half).alias("dx"), F.lit(float(g[a, b])).alias("w")) for a, b in np.ndindex(g.shape) if g[a, b] > 0])
+    weights = im.select("y", "x", F.explode(spot).alias("o")).select("y", "x", "o.dy", "o.dx", "o.w")
+    return image(factor.ring_predict(im.withColumn("t", F.lit(0)), weights).drop("t"))
 
 
 @query("z6_time_courses")
@@ -271,12 +277,41 @@ def _(s, d):
     return online.extract_online(synthetic(s, t=80), (30, 30), detection=det, promotion=online.Promotion(after=3)).select("roi", "y", "x", r6("w", 3).alias("w"))
 
 
-@query("s19_match_regions", "select cast(k as int) roi, case when k % 2 = 0 then 'm' || k end source_method from range(0, 10) g(k)")
+@query("s19_match_regions", f"with {ROI} select roi, case when roi % 2 = 0 then 'm' || roi end source_method, count(*) n from rp group by roi")
 def _(s, d):
     from lumiframe.pipeline import match_regions
 
-    base = s.range(10).select(F.col("id").cast("int").alias("roi"))
-    return match_regions(base, base.filter("roi % 2 = 0").withColumn("source_method", F.concat(F.lit("m"), F.col("roi").cast("string"))))
+    base = movie.embedding_labels(s, d).groupBy("roi").agg(F.count(F.lit(1)).alias("n"))
+    saved = base.filter("roi % 2 = 0").select("roi", F.concat(F.lit("m"), F.col("roi").cast("string")).alias("source_method"))
+    return match_regions(base, saved).select("roi", "source_method", "n")
+
+
+def _session(s, d):
+    """A session over the embedding movie with its labels as regions, every third rejected, and their transients."""
+    from lumiframe.pipeline import Session
+
+    m, px = emb(s, d), movie.embedding_labels(s, d)
+    status = F.when(F.col("roi") % 3 == 0, "rejected").otherwise("accepted")
+    regions = px.select("roi").distinct().select("roi", F.lit("labels").alias("source_method"), status.alias("status"), F.lit("{}").alias("params"))
+    return Session(s).load(m, d).commit_regions(regions, px, "Labels", {"width": 25})
+
+
+@query("s17_session_output", f"""with {imaging.RUNS}, pn as (select roi, count(*) pixels from rp group by roi), tn as (select roi, count(*) n, count(*) filter (where trans % 2 = 0) n_true, sum(t1-t0+1)::bigint frames from fd group by roi)
+select roi, roi % 4 = 2 artifact, pixels, coalesce(n, 0) transients, coalesce(n_true, 0) n_true, coalesce(frames, 0)::bigint frames, 'load,source_extraction' stages from pn left join tn using (roi) where roi % 3 <> 0""")
+def _(s, d):
+    import uuid
+
+    from lumiframe.operators.graph import shared_folder
+    from lumiframe.pipeline import Session
+
+    found = imaging._runs(s, d).withColumn("class", F.when(F.col("trans") % 2 == 0, 1.0))
+    where = f"{shared_folder(s)}/session-{uuid.uuid4().hex}"
+    _session(s, d).commit_validation(found, imaging._artifacts(s, d)).save(where)
+    back = Session.restore(s, where)
+    own = back.pixels.groupBy("roi").agg(F.count(F.lit(1)).alias("pixels"))
+    times = back.transients.groupBy("roi").agg(F.count(F.lit(1)).alias("transients"), F.count(F.when(F.col("class") == 1, 1)).alias("n_true"), F.sum(F.col("t1") - F.col("t0") + 1).alias("frames"))
+    joined = back.regions.join(back.artifacts, "roi").join(own, "roi").join(times, "roi", "left").na.fill(0, ["transients", "n_true", "frames"])
+    return joined.select("roi", "artifact", "pixels", "transients", "n_true", "frames", F.lit(",".join(x.stage for x in back.steps)).alias("stages"))
 
 
 # dictionaries
@@ -367,8 +402,8 @@ def _(s, d):
     return image(readers.decode_frames(readers.encode_frames(emb(s, d))), digits=5)
 
 
-@query("v7_region_status", "with r as (select k roi, case when k % 3 = 0 then 'rejected' else 'accepted' end status from range(0, 20) g(k)) select count(*) filter (where status = 'accepted')::bigint rois_committed, count(*) filter (where status <> 'accepted')::bigint rois_deleted from r")
+@query("v7_region_status", f"with {ROI}, r as (select distinct roi from rp) select (select count(*) from r where roi % 3 <> 0) rois_committed, (select count(*) from r where roi % 3 = 0) rois_deleted, (select count(*) from rp where roi % 3 <> 0) pixels")
 def _(s, d):
-    r = s.range(20).select(F.col("id").alias("roi"), F.when(F.col("id") % 3 == 0, "rejected").otherwise("accepted").alias("status"))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
-    return r.agg(n(F.col("status") == "accepted").alias("rois_committed"), n(F.col("status") != "accepted").alias("rois_deleted"))
+    done = _session(s, d)
+    told = done.steps[-1].metrics
+    return done.pixels.agg(F.count(F.lit(1)).alias("pixels")).select(F.lit(told["rois_committed"]).cast("bigint").alias("rois_committed"), F.lit(told["rois_deleted"]).cast("bigint").alias("rois_deleted"), "pixels")

@@ -5,7 +5,7 @@ EMB: ``embeddings`` as a movie of 25 columns; EVT: ``events`` by user and six ho
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumiframe.operators import denoise, detrend, masks, movie, normalize, order, patches, projections, render, stats, transients
@@ -574,29 +574,42 @@ def _(s, d):
     return transients.classify_by_correlation(_corrs(s, d), 0.1234567).select("roi", "trans", F.col("class").cast("double").alias("class"))
 
 
-OLD = "od as (select roi, t0+(case when trans%2=0 then 0 else 3 end) s, t1+(case when trans%2=0 then 0 else 4 end) e, case when (trans+roi)%3=0 then null when (trans+roi)%3=1 then 1.0::double else -1.0::double end c from fd)"
+RUNS = f"{EMB_TR}, fl as (select roi, t, t-row_number() over (partition by roi order by t) g from tq where v > 0), fd as (select roi, row_number() over (partition by roi order by min(t))-1 trans, min(t) t0, max(t) t1 from fl group by roi, g)"
+OLD = "od as (select roi, t0+(case when trans%2=0 then 0 else 1 end) s, t1+(case when trans%2=0 then 0 else 2 end) e, case when (trans+roi)%3=0 then null when (trans+roi)%3=1 then 1.0::double else -1.0::double end c from fd)"
 
 
-def _old(s):
+def _runs(s, d):
+    """The runs of each region's trace above zero, as transients."""
+    r = transients.runs(emb_traces(s, d).withColumn("flag", F.col("v") > 0), ("roi",))
+    return r.select("roi", (F.row_number().over(Window.partitionBy("roi").orderBy("t0")) - 1).cast("bigint").alias("trans"), "t0", "t1")
+
+
+def _old(s, d):
     odd = F.col("trans") % 2 == 1
     m = (F.col("trans") + F.col("roi")) % 3
-    return _blocks(s).select("roi", (F.col("t0") + F.when(odd, 3).otherwise(0)).alias("t0"), (F.col("t1") + F.when(odd, 4).otherwise(0)).alias("t1"), F.when(m == 1, 1.0).when(m == 2, -1.0).alias("class"))
+    return _runs(s, d).select("roi", (F.col("t0") + F.when(odd, 1).otherwise(0)).alias("t0"), (F.col("t1") + F.when(odd, 2).otherwise(0)).alias("t1"), F.when(m == 1, 1.0).when(m == 2, -1.0).alias("class"))
+
+
+def _artifacts(s, d):
+    return movie.embedding_labels(s, d).select("roi", (F.col("roi") % 4 == 2).alias("artifact")).distinct()
 
 
-@query("d10_carry_over", f"with {BLOCKS}, {OLD}, j as (select fd.roi, trans, max(cast(s=t0 and e=t1 as int)) same, max(case when s=t0 and e=t1 then c end) sc, min(c) a, max(c) b, count(c) n, count(s) k from fd left join od on od.roi=fd.roi and s<=t1 and e>=t0 group by 1,2) select roi, trans, case when same=1 then sc when a=b and n=k then a end class from j")
+ARTIFACTS = "ar as (select distinct roi, roi % 4 = 2 artifact from rp)"
+
+
+@query("d10_carry_over", f"with {RUNS}, {OLD}, j as (select fd.roi, trans, max(cast(s=t0 and e=t1 as int)) same, max(case when s=t0 and e=t1 then c end) sc, min(c) a, max(c) b, count(c) n, count(s) k from fd left join od on od.roi=fd.roi and s<=t1 and e>=t0 group by 1,2) select roi, trans, case when same=1 then sc when a=b and n=k then a end class from j")
 def _(s, d):
-    return transients.carry_over(_blocks(s), _old(s)).select("roi", "trans", "class")
+    return transients.carry_over(_runs(s, d), _old(s, d)).select("roi", "trans", "class")
 
 
-@query("d14_class_cycle", f"with {BLOCKS}, {OLD} select roi, s, case when c is null then 'false' when c=-1 then 'true' when c=1 then 'mixed' else 'unclassified' end nxt from od")
+@query("d14_class_cycle", f"with {RUNS}, {OLD} select roi, s, case when c is null then 'false' when c=-1 then 'true' when c=1 then 'mixed' else 'unclassified' end nxt from od")
 def _(s, d):
-    return _old(s).select("roi", F.col("t0").alias("s"), transients.class_name(transients.next_class(F.col("class"))).alias("nxt"))
+    return _old(s, d).select("roi", F.col("t0").alias("s"), transients.class_name(transients.next_class(F.col("class"))).alias("nxt"))
 
 
-@query("d15_counts", f"with {BLOCKS}, {OLD}, g as (select * from od where roi <> 2) select sum(case when c=1 then 1 else 0 end)::bigint n_true, sum(case when c=-1 then 1 else 0 end)::bigint n_false, sum(case when c is null then 1 else 0 end)::bigint n_unclassified, sum(case when c=0 then 1 else 0 end)::bigint n_mixed, 1::bigint artifact_cells, 4::bigint good_cells from g")
+@query("d15_counts", f"with {RUNS}, {OLD}, {ARTIFACTS}, g as (select * from od join ar using (roi) where not artifact), c as (select count(*) filter (where artifact) a, count(*) filter (where not artifact) b from ar) select count(*) filter (where c=1) n_true, count(*) filter (where c=-1) n_false, count(*) filter (where c is null) n_unclassified, count(*) filter (where c=0) n_mixed, any_value(a) artifact_cells, any_value(b) good_cells from g, (select a, b from c)")
 def _(s, d):
-    art = s.range(5).select(F.col("id").cast("int").alias("roi"), (F.col("id") == 2).alias("artifact"))
-    return transients.counts(_old(s), art)
+    return transients.counts(_old(s, d), _artifacts(s, d))
 
 
 @query("d17_runs", f"with {EMB}, f as (select y, x, t from mv where v > 0.05), g as (select y, x, t, t-row_number() over (partition by y, x order by t) g from f) select y, x, min(t) t0, max(t) t1, count(*)::bigint n from g group by y, x, g")
@@ -604,10 +617,9 @@ def _(s, d):
     return transients.runs(emb(s, d).withColumn("flag", F.col("v") > 0.05), ("y", "x"))
 
 
-@query("d18_unclassified_cells", f"with {BLOCKS}, {OLD}, o2 as (select roi, case when roi in (1, 3) then null else c end c from od) select roi from o2 where roi <> 3 group by roi having count(c) = 0")
+@query("d18_unclassified_cells", f"with {RUNS}, {OLD}, {ARTIFACTS}, o2 as (select roi, case when roi % 2 = 0 then null else c end c from od) select roi from o2 join ar using (roi) where not artifact group by roi having count(c) = 0")
 def _(s, d):
-    art = s.range(5).select(F.col("id").cast("int").alias("roi"), (F.col("id") == 3).alias("artifact"))
-    return transients.unclassified_cells(_old(s).withColumn("class", F.when(~F.col("roi").isin(1, 3), F.col("class"))), art)
+    return transients.unclassified_cells(_old(s, d).withColumn("class", F.when(F.col("roi") % 2 == 1, F.col("class"))), _artifacts(s, d))
 
 
 @query("d19_pixel_lookup", f"with {ROI}, {SMALL}, nr as (select distinct rs.y+a y, rs.x+b x, roi from rs, range(-1,2) p(a), range(-1,2) q(b)) select nr.y::int y, nr.x::int x, string_agg(roi::varchar, ',' order by roi) rois from nr semi join rp g on g.y=nr.y and g.x=nr.x group by 1,2")
@@ -627,11 +639,11 @@ def _(s, d):
     return image(transients.backdrop(fp))
 
 
-@query("z7_merge_blocks", "with b as (select cast(k%7 as int) roi, cast((k*37)%200 as int) t0, cast((k*37)%200+(k*13)%9 as int) t1 from range(0,140) r(k)), o as (select *, max(t1) over (partition by roi order by t0, t1 rows between unbounded preceding and 1 preceding) m from b), g as (select *, sum(case when m is null or t0 > m+1 then 1 else 0 end) over (partition by roi order by t0, t1 rows unbounded preceding) g from o) select roi, min(t0) t0, max(t1) t1 from g group by roi, g")
+@query("z7_merge_blocks", """with b as (select user_id roi, h t0, h + (h*13 + user_id) % 9 t1 from (select user_id, cast(floor((epoch_us(ts)/1e6-1704067200)/3600) as int) h from events)),
+o as (select *, max(t1) over (partition by roi order by t0, t1 rows between unbounded preceding and 1 preceding) m from b), g as (select *, sum(case when m is null or t0 > m+1 then 1 else 0 end) over (partition by roi order by t0, t1 rows unbounded preceding) g from o) select roi, min(t0) t0, max(t1) t1 from g group by roi, g""")
 def _(s, d):
-    k = F.col("id")
-    b = s.range(140).select((k % 7).cast("int").alias("roi"), ((k * 37) % 200).cast("int").alias("t0"), ((k * 37) % 200 + (k * 13) % 9).cast("int").alias("t1"))
-    return transients.merge_blocks(b)
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("roi"), movie.frame_of("ts", 3600).alias("t0"))
+    return transients.merge_blocks(e.withColumn("t1", F.col("t0") + (F.col("t0") * 13 + F.col("roi")) % 9))
 
 
 @query("z14_lookahead_mean", f"with {EMB}, m as (select y, x, t, avg(v) over w m, count(v) over w n from mv window w as (partition by y, x order by t rows between current row and 2 following)) select y, x, t, round(m, 6) + 0.0 v from m where n = 3")
@@ -656,25 +668,50 @@ def _(s, d):
 
 
 # patches
-@query("x4_patch_starts", """with c as (select * from (values (100, 30, 5), (61, 20, 4), (20, 30, 5), (512, 80, 20)) v(n, e, o)),
-r as (select n, e, o, greatest(1, e-o) st, case when n <= e then [0::bigint] else range(0, n-e+1, greatest(1, e-o)) end b, case when n <= e then 0 else (n-e) % greatest(1, e-o) end rest from c),
-f as (select n, e, o, case when rest = 0 then b when rest < st/2.0 and rest <= o and len(b) > 1 then list_append(b[1:len(b)-1], (n-e)::bigint) else list_append(b, (n-e)::bigint) end b from r)
-select n size, e extent, o overlap, (i-1)::int k, b[i]::int start from f, range(1, 50) g(i) where i <= len(b)""")
+def _starts_sql(name: str, n: str, e: int, o: int) -> str:
+    """Table ``name`` (k, s): where patches of extent e begin on an axis of n cells; beyond a last regular patch one more where moving it would leave a gap."""
+    st = max(1, e - o)
+    return f"""{name}_r as (select n, case when n <= {e} then [0::bigint] else range(0, n-{e}+1, {st}) end b, case when n <= {e} then 0 else (n-{e}) % {st} end rest from (select {n} n)),
+{name}_b as (select case when rest = 0 then b when rest < {st / 2} and rest <= {o} and len(b) > 1 then list_append(b[1:len(b)-1], (n-{e})::bigint) else list_append(b, (n-{e})::bigint) end b from {name}_r),
+{name} as (select generate_subscripts(b, 1)-1 k, unnest(b) s from {name}_b)"""
+
+
+HEIGHT = "(select max(y)+1 from mv)"
+PATCHES = f"{EMB}, {_starts_sql('py', HEIGHT, 8, 2)}, {_starts_sql('px', '25', 10, 3)}"
+
+
+def _height(m: DataFrame) -> int:
+    return m.agg(F.max("y") + 1).first()[0]
+
+
+@query("x4_patch_starts", f"with {PATCHES} select 'y' axis, k::int k, s::int start, (select count(*) from mv where y >= s and y < s+8) n from py union all select 'x', k::int, s::int, (select count(*) from mv where x >= s and x < s+10) from px")
 def _(s, d):
-    rows = [(n, e, o, k, b) for n, e, o in ((100, 30, 5), (61, 20, 4), (20, 30, 5), (512, 80, 20)) for k, b in enumerate(patches.starts(n, e, o))]
-    return s.createDataFrame(rows, "size int, extent int, overlap int, k int, start int")
+    m, out = emb(s, d), []
+    for axis, begin, extent in (("y", patches.starts(_height(m), 8, 2), 8), ("x", patches.starts(25, 10, 3), 10)):
+        at = F.array(*[F.lit(b) for b in begin])
+        got = patches.assign(m, {axis: (begin, extent)}).groupBy("patch").agg(F.count(F.lit(1)).alias("n"))
+        out.append(got.select(F.lit(axis).alias("axis"), F.col("patch").alias("k"), F.element_at(at, F.col("patch") + 1).alias("start"), "n"))
+    return out[0].unionByName(out[1])
 
 
-@query("x5_patches", """select (i*3+j)::int patch, (6*i)::int y0, (6*i+8)::int y1, b::int x0, (b+10)::int x1
-from range(0, 3) g(i), (values (0, 0), (1, 7), (2, 15)) h(j, b)""")
+@query("x5_patches", f"with {PATCHES}, c as (select (py.k*(select count(*) from px)+px.k)::int patch, py.s::int y0, least(py.s+8, {HEIGHT})::int y1, px.s::int x0, (px.s+10)::int x1 from py, px) select patch, y0, y1, x0, x1, count(*) n, round(sum(v), 5) + 0.0 total from c join mv on y >= y0 and y < y1 and x >= x0 and x < x1 group by all")
 def _(s, d):
-    return patches.patch_table(s, (20, 25), (8, 10), (2, 3))
+    m = emb(s, d)
+    h = _height(m)
+    held = patches.assign(m, {"y": (patches.starts(h, 8, 2), 8), "x": (patches.starts(25, 10, 3), 10)})
+    sums = held.groupBy("patch").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("v"), 5).alias("total"))
+    return patches.patch_table(s, (h, 25), (8, 10), (2, 3)).join(sums, "patch")
 
 
-@query("z10_tiles", """with c as (select r//8*4 + q//8 tile, r y0, least(r+8, 20)-1 y1, q x0, least(q+8, 25)-1 x1 from range(0, 20, 8) g(r), range(0, 25, 8) h(q))
-select tile::int tile, y0::int y0, y1::int y1, x0::int x0, x1::int x1, greatest(y0-3, 0)::int hy0, least(y1+3, 19)::int hy1, greatest(x0-3, 0)::int hx0, least(x1+3, 24)::int hx1 from c""")
+@query("z10_tiles", f"""with {EMB}, {MEAN}, h as (select max(y)+1 h from im), c as (select r//8*4 + q//8 tile, r y0, least(r+8, h)-1 y1, q x0, least(q+8, 25)-1 x1, h from h, unnest(range(0, h, 8)) g(r), range(0, 25, 8) z(q)),
+e as (select tile::int tile, y0::int y0, y1::int y1, x0::int x0, x1::int x1, greatest(y0-3, 0)::int hy0, least(y1+3, h-1)::int hy1, greatest(x0-3, 0)::int hx0, least(x1+3, 24)::int hx1 from c)
+select e.*, round(sum(v) filter (where y between y0 and y1 and x between x0 and x1), 6) + 0.0 own, round(sum(v), 6) + 0.0 total from e join im on y between hy0 and hy1 and x between hx0 and hx1 group by all""")
 def _(s, d):
-    return s.createDataFrame([(t["tile"], *t["core"], *t["read"]) for t in patches.tiles(20, 25, 8, 3)], "tile int, y0 int, y1 int, x0 int, x1 int, hy0 int, hy1 int, hx0 int, hx1 int")
+    im = mean_image(s, d)
+    every = s.createDataFrame([(t["tile"], *t["core"], *t["read"]) for t in patches.tiles(_height(im), 25, 8, 3)], "tile int, y0 int, y1 int, x0 int, x1 int, hy0 int, hy1 int, hx0 int, hx1 int")
+    cells = every.select("*", F.explode(F.sequence("hy0", "hy1")).alias("y")).select("*", F.explode(F.sequence("hx0", "hx1")).alias("x"))
+    own = F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
+    return cells.join(im, ["y", "x"]).groupBy(*every.columns).agg(r6(F.sum(F.when(own, F.col("v"))), 6).alias("own"), r6(F.sum("v"), 6).alias("total"))
 
 
 @query("s10_interleaved_slices", f"with {VOL}, f as (select l*10+w s, d, t, v from vo), n as (select max(s)+1 n from f) select cast(s//10 as int) t2, cast(s%10 as int) depth, d, t, round(v, 6) + 0.0 v from f")

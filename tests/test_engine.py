@@ -433,3 +433,15 @@ def test_halos_are_a_small_part_of_the_exchange(spark):
 
     df = spark.range(64 * 64 * 2).selectExpr("cast(id div 2 div 64 as int) y", "cast(id div 2 % 64 as int) x", "cast(id % 2 as int) t", "1.0D v")
     assert stencil.tiled(df, ("y", "x"), 1).count() <= 1.3 * df.count()
+
+
+def test_validation_is_saved_and_restored(spark, tmp_path):
+    regions = spark.createDataFrame([(0, "m", "accepted", "{}"), (1, "m", "rejected", "{}"), (2, "m", "accepted", "{}")], pipeline.REGION)
+    pixels = spark.createDataFrame([(r, 0, r) for r in range(3)], "roi int, y int, x int")
+    found = spark.createDataFrame([(0, 0, 3, 9, 1.0), (0, 1, 12, 14, None), (1, 0, 1, 2, -1.0), (9, 0, 1, 2, 1.0)], "roi int, trans int, t0 int, t1 int, class double")
+    s = pipeline.Session(spark).load(movie.from_array(spark, np.zeros((2, 3, 4))), "p").commit_regions(regions, pixels, "Cells")
+    s.commit_validation(found, spark.createDataFrame([(0, True), (1, True)], "roi int, artifact boolean")).save(f"{tmp_path}/run")
+    back = pipeline.Session.restore(spark, f"{tmp_path}/run")
+    assert sorted(map(tuple, back.transients.select("roi", "trans", "t0", "t1", "class").collect()), key=str) == [(0, 0, 3, 9, 1.0), (0, 1, 12, 14, None)]
+    assert sorted(map(tuple, back.artifacts.collect())) == [(0, True), (2, False)]
+    assert pipeline.Session(spark).load(back.pixels).transients is None and back.clear_regions().artifacts is None

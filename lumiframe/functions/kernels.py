@@ -33,6 +33,20 @@ def half_sample_mode(values) -> float:
     return float(s.mean())
 
 
+def half_sample_modes(rows: np.ndarray) -> np.ndarray:
+    """``half_sample_mode`` of every row of a matrix of finite values, all rows halved at once."""
+    s = np.sort(rows, axis=1)
+    while s.shape[1] > 3:
+        n = s.shape[1]
+        half = -(-n // 2)
+        first = (s[:, half - 1 : -1] - s[:, : n - half]).argmin(1)
+        s = np.take_along_axis(s, first[:, None] + np.arange(half), 1)
+    if s.shape[1] == 3:
+        left, right = np.diff(s).T
+        return np.where(left < right, s[:, :2].mean(1), np.where(right < left, s[:, 1:].mean(1), s[:, 1]))
+    return s.mean(1)
+
+
 # spectra and noise
 
 

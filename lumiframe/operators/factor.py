@@ -167,6 +167,8 @@ def ring_offsets(inner: float, outer: float) -> list[tuple[int, int]]:
 def _shifted(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
     out = np.full(image.shape, np.nan)
     h, w = image.shape[:2]
+    if abs(dy) >= h or abs(dx) >= w:
+        return out
     out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = image[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
     return out
 

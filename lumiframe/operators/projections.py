@@ -59,11 +59,18 @@ def half_sample_mode(values: Column) -> Column:
 
 
 def mode(movie: DataFrame, keys: Keys = PLANE) -> DataFrame:
-    """Half-sample mode of each pixel, one Arrow batch of traces at a time."""
+    """Half-sample mode of each pixel; the traces of an Arrow batch that are of one length and finite are halved together."""
 
     @F.pandas_udf("double")
     def of(traces: pd.Series) -> pd.Series:
-        return traces.map(kernels.half_sample_mode)
+        out, sizes = np.full(len(traces), np.nan), traces.map(len).to_numpy()
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            rows = np.stack([np.asarray(traces.iloc[k], float) for k in at])
+            whole = np.isfinite(rows).all(1)
+            out[at[whole]] = kernels.half_sample_modes(rows[whole])
+            out[at[~whole]] = [kernels.half_sample_mode(r) for r in rows[~whole]]
+        return pd.Series(out)
 
     return to_trace(movie, keys).select(*keys, of("trace").alias("v"))
 

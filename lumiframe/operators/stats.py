@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -103,31 +104,55 @@ def ar1_coefficients(traces: DataFrame, by: str = "id") -> DataFrame:
     return d.groupBy(by).agg(F.when(e > 0, F.least(F.greatest(F.sum(F.col("z") * F.col("prev")) / e, F.lit(0.0)), F.lit(0.998))).otherwise(0.0).alias("g"))
 
 
-def separated_pixels(image: DataFrame, n: int, distance: float, descending: bool = True, keys: Keys = PLANE) -> DataFrame:
-    """(rank, keys..., v): the n best pixels, none within ``distance`` of a better one; ties by position.
+def separated_pixels(image: DataFrame, n: int, distance: float, descending: bool = True, keys: Keys = PLANE, block: int = 4096) -> DataFrame:
+    """(rank, keys..., v): the n best pixels, none within ``distance`` of a better one; ties by position, pixels without a value take no part.
+
+    The best ``block`` pixels that are near no chosen one come from every task's own best, and are chosen from in order; then those that
+    follow. So the driver holds a block and the chosen, each pass chooses one pixel at least, and the first pass is mostly the only one."""
+    from lumiframe.operators.graph import _checkpoint
+
+    rest, size = image.filter("v is not null").select(*keys, F.col("v").cast("double").alias("v")), max(distance, 1.0)
+    chosen: list = []
+    cells: dict[tuple, list] = {}
+    around = list(itertools.product((-1, 0, 1), repeat=len(keys)))
+    cell = lambda at: tuple(int(np.floor(a / size)) for a in at)
+    more = n > 0
+    while more:
+        best = rest.orderBy(F.desc("v") if descending else F.asc("v"), *keys).limit(block).collect()
+        for r in best:
+            at = tuple(r[k] for k in keys)
+            home = cell(at)
+            near = (b for o in around for b in cells.get(tuple(c + d for c, d in zip(home, o, strict=True)), ()))
+            if len(chosen) < n and all(sum((a - b) ** 2 for a, b in zip(at, q, strict=True)) >= distance * distance for q in near):
+                chosen.append((*at, r["v"]))
+                cells.setdefault(home, []).append(at)
+        more = len(chosen) < n and len(best) == block
+        if more:
+            rest = _checkpoint(_after(rest, best[-1], descending, keys).join(F.broadcast(_surroundings(image.sparkSession, chosen, size, keys, around)), [F.floor(F.col(k) / size) == F.col(f"__c{k}") for k in keys] + [_squares(keys) < distance * distance], "left_anti"))
+    kinds = ", ".join(f"{k} int" for k in keys)
+    return image.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(chosen)], f"rank int, {kinds}, v double")
 
-    Greedy choice is sequential, but a pixel beaten by a neighbour within the distance only loses to one that is itself chosen, so each
-    pass over the sorted pixels streams through one task that keeps no more than the n chosen."""
 
-    def pick(it):
-        taken: list = []
-        for p in it:
-            if len(taken) >= n:
-                continue
-            at = p[list(keys)].to_numpy(float)
-            keep = []
-            for k, x in enumerate(at):
-                if len(taken) >= n:
-                    break
-                if all(((x - y) ** 2).sum() >= distance * distance for y in taken):
-                    taken.append(x)
-                    keep.append((len(taken) - 1, k))
-            if keep:
-                yield p.iloc[[k for _, k in keep]].assign(rank=np.array([r for r, _ in keep], "int32"))[["rank", *keys, "v"]]
-
-    order = F.desc("v") if descending else F.asc("v")
-    kinds = ", ".join(f"{k} int" for k in keys)
-    return image.coalesce(1).sortWithinPartitions(order, *keys).select(*keys, "v").mapInPandas(pick, f"rank int, {kinds}, v double")
+def _after(pixels: DataFrame, last, descending: bool, keys: Keys) -> DataFrame:
+    """The pixels that follow ``last`` in the order."""
+    follows, same = (F.col("v") < F.lit(last["v"]) if descending else F.col("v") > F.lit(last["v"])), F.col("v") == F.lit(last["v"])
+    for k in keys:
+        follows |= same & (F.col(k) > last[k])
+        same &= F.col(k) == last[k]
+    return pixels.filter(follows)
+
+
+def _surroundings(spark, chosen: list, size: float, keys: Keys, around: list) -> DataFrame:
+    """The chosen pixels in every cell of the grid that they can reach; no more than a few rows for each."""
+    rows = [(*c[:-1], *[int(np.floor(a / size)) + b for a, b in zip(c[:-1], o, strict=True)]) for c in chosen for o in around]
+    return spark.createDataFrame(rows, ", ".join([f"__p{k} int" for k in keys] + [f"__c{k} bigint" for k in keys]))
+
+
+def _squares(keys: Keys):
+    out = F.lit(0.0)
+    for k in keys:
+        out += F.pow(F.col(k) - F.col(f"__p{k}"), 2)
+    return out
 
 
 def seed_candidates(image: DataFrame, n: int, distance_fraction: float = 0.05, least: float = 0.3, keys: Keys = PLANE) -> DataFrame:

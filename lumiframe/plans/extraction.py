@@ -2,13 +2,13 @@
 
 They run on movies made of the driver's tables; the tests hold the operators against numpy.
 
-The scene: the embedding movie as noise, with a round cell in each block of 10 rows and 12 columns whose activity is the positive part of
-the vector at its centre. Its cells, and so the work, grow with the table."""
+The scene: the embedding movie as noise, with a round cell in each block of 10 rows and 12 columns. What the vector at its centre
+has above 0.15 makes the cell active, and the activity decays over the next frames. Its cells, and so the work, grow with the table."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
@@ -46,13 +46,21 @@ def cells_movie(h: int = 30, w: int = 30, t: int = 120, seed: int = 0, centres=(
     return out
 
 
-SCENE = f"{EMB}, sc as (select mv.y, mv.x, mv.t, 1 + 0.1*mv.v + coalesce(20*greatest(c.v, 0)*exp(-(pow(mv.y-c.y, 2)+pow(mv.x-c.x, 2))/8), 0) v from mv left join mv c on c.t=mv.t and c.y=mv.y//10*10+5 and c.x=mv.x//12*12+6)"
+LASTS = 12
+SCENE = f"""{EMB}, ac as (select y, x, cast(t+k as int) t, sum(greatest(v-0.15, 0)*pow(0.8, k)) a from mv, range(0, {LASTS}) g(k) where y%10=5 and x%12=6 and t+k < 64 group by 1, 2, 3),
+sc as (select mv.y, mv.x, mv.t, 1 + 0.1*mv.v + coalesce(20*c.a*exp(-(pow(mv.y-c.y, 2)+pow(mv.x-c.x, 2))/8), 0) v from mv left join ac c on c.t=mv.t and c.y=mv.y//10*10+5 and c.x=mv.x//12*12+6)"""
 CENTRES = "ce as (select distinct cast(y//10*2+x//12 as int) seed, y sy, x sx from mv where y%10=5 and x%12=6)"
 
 
+def activity(m: DataFrame, keys=("y", "x")) -> DataFrame:
+    """(keys..., t, a): what lies above 0.15, decaying."""
+    w, a = Window.partitionBy(*keys).orderBy("t"), F.greatest(F.col("v") - 0.15, F.lit(0.0))
+    return m.withColumn("a", a).withColumn("a", sum((F.coalesce(F.lag("a", k).over(w), F.lit(0.0)) * 0.8**k for k in range(1, LASTS)), F.col("a"))).drop("v")
+
+
 def scene(s: SparkSession, d: str) -> DataFrame:
     m, block = emb(s, d), lambda k, n: F.floor(F.col(k) / n).cast("int").alias(f"__{k}")
-    cells = m.filter("y % 10 = 5 and x % 12 = 6").select(block("y", 10), block("x", 12), "t", F.greatest("v", F.lit(0.0)).alias("a"), F.col("y").alias("cy"), F.col("x").alias("cx"))
+    cells = activity(m.filter("y % 10 = 5 and x % 12 = 6")).select(block("y", 10), block("x", 12), "t", "a", F.col("y").alias("cy"), F.col("x").alias("cx"))
     near = F.exp(-(F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("x") - F.col("cx"), 2)) / 8)
     held = m.select("*", block("y", 10), block("x", 12)).join(cells, ["__y", "__x", "t"], "left")
     return held.select("y", "x", "t", (1 + 0.1 * F.col("v") + F.coalesce(20 * F.col("a") * near, F.lit(0.0))).alias("v"))
@@ -71,7 +79,7 @@ def shape_of(m: DataFrame) -> tuple[int, int]:
 def volume_scene(s: SparkSession, d: str) -> DataFrame:
     """The same as a volume: a cell for four planes, about its third."""
     v = movie.embedding_volume(s, d)
-    cells = v.filter("l % 4 = 2 and w = 5 and d = 5").select(F.floor(F.col("l") / 4).alias("__l"), "t", F.greatest("v", F.lit(0.0)).alias("a"), F.col("l").alias("cl"))
+    cells = activity(v.filter("l % 4 = 2 and w = 5 and d = 5"), movie.VOLUME).select(F.floor(F.col("l") / 4).alias("__l"), "t", "a", F.col("l").alias("cl"))
     near = F.exp(-(F.pow(F.col("l") - F.col("cl"), 2) + F.pow(F.col("w") - 5, 2) + F.pow(F.col("d") - 5, 2)) / 4)
     held = v.withColumn("__l", F.floor(F.col("l") / 4)).join(cells, ["__l", "t"], "left")
     return held.select("l", "w", "d", "t", (1 + 0.1 * F.col("v") + F.coalesce(20 * F.col("a") * near, F.lit(0.0))).alias("v"))
@@ -200,7 +208,7 @@ def _(s, d):
 
 def _extract(s: SparkSession, d: str, method: str, **options) -> DataFrame:
     m = scene(s, d)
-    fp, _ = factor.extract_patches(m, shape_of(m), (20, 25), 5, method=method, n=3, **options)
+    fp, _ = factor.extract_patches(m, shape_of(m), (20, 25), 5, method=method, n=6, **options)
     return fp.select("roi", "y", "x", r6("w", 4).alias("w"))
 
 

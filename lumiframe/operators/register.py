@@ -1,7 +1,8 @@
-"""Motion correction as Spark jobs: a template is an image on the driver, frames are registered in parallel.
+"""Motion correction as Spark jobs: frames are registered in parallel to a template that is a written table (``template``).
 
 Frames within a bin share a template and are independent, so each bin is one grouped job over its frames; bins follow each other, since
-a bin's median is the next bin's template. A registered bin is a checkpoint: later bins don't repeat earlier ones.
+a bin's median is the next bin's template. Registered bins are parts of one table in the shared folder: later bins don't repeat earlier ones, and
+the registered movie is one scan, however many bins it had. No image passes the driver but a light template on its way to be broadcast.
 """
 
 from __future__ import annotations
@@ -9,94 +10,99 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiframe.functions import registration as reg
-from lumiframe.operators.graph import _checkpoint
-from lumiframe.operators.movie import PLANE, to_array
+from lumiframe.operators.movie import PLANE
+from lumiframe.operators.template import Template, new_path, pack, per_frame, written
 
 METHODS = ("rigid", "patch", "patchwarp")
 
 
 def bootstrap_template(movie: DataFrame, first: int = 100, keys: Sequence[str] = PLANE) -> DataFrame:
     """Median image of the first frames; the frame limit reaches the scan."""
-    return movie.filter(F.col("t") < first).groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("v"))
+    return _median(movie.filter(F.col("t") < first), keys)
 
 
-def _per_frame(movie: DataFrame, keys: Sequence[str], move) -> DataFrame:
-    """``move(frame) -> (frame, shift)`` for every frame; rows with their registered value and the frame's shift as an array."""
-    keys = list(keys)
+def _median(movie: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return movie.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("v"))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        at = tuple(p[k].to_numpy() for k in keys)
-        frame = np.zeros(tuple(int(a.max()) + 1 for a in at))
-        frame[at] = p["v"]
-        out, shift = move(frame)
-        return p[[*keys, "t"]].assign(v=out[at], shift=[shift.tolist()] * len(p))
 
-    kinds = ", ".join(f"{k} int" for k in keys)
-    return movie.groupBy("t").applyInPandas(run, f"{kinds}, t int, v double, shift array<double>")
+def _extent(movie: DataFrame, keys: Sequence[str]) -> tuple[int, tuple[int, ...]]:
+    """Frames and shape of a movie that starts at zero everywhere; zeros without rows."""
+    n, *shape = movie.agg(*[F.coalesce(F.max(k) + 1, F.lit(0)) for k in ("t", *keys)]).first()
+    return n, tuple(shape)
 
 
-def rigid(movie: DataFrame, most: float = 15, upsample: int = 50, bin_frames: int = 200, first: int = 100, rounds: int = 1, whiten: bool = False, template: np.ndarray | None = None, keys: Sequence[str] = PLANE):
-    """(registered movie, shifts (t, shift), final template, first template)."""
-    start = template = to_array(bootstrap_template(movie, first, keys), keys) if template is None else template
-    n = movie.agg(F.max("t") + 1).first()[0]
+def rigid(movie: DataFrame, most: float = 15, upsample: int = 50, bin_frames: int = 200, first: int = 100, rounds: int = 1, whiten: bool = False, template: DataFrame | None = None, keys: Sequence[str] = PLANE):
+    """(registered movie, shifts (t, shift), final template, first template); templates are images (keys, v), as is ``template`` if given.
+
+    Pixels that a frame lacks count as zero in it and stay absent; a bin without frames keeps the template; an empty movie is returned as it is."""
+    n, shape = _extent(movie, keys)
+    if not n:
+        empty = movie.select(*keys, "v")
+        return movie, movie.select("t", F.array().cast("array<double>").alias("shift")), empty, empty
+    movie, shifts, end, start = _rigid(movie, n, shape, most, upsample, bin_frames, first, rounds, whiten, template, keys)
+    return movie, shifts, end.image(), start.image()
+
+
+def _rigid(movie: DataFrame, n: int, shape: tuple[int, ...], most: float = 15, upsample: int = 50, bin_frames: int = 200, first: int = 100, rounds: int = 1, whiten: bool = False, template: DataFrame | None = None, keys: Sequence[str] = PLANE) -> tuple[DataFrame, DataFrame, Template, Template]:
+    def move(ref: np.ndarray, frame: np.ndarray):
+        s = reg.estimate_shift(ref, frame, upsample, most, whiten)
+        return reg.apply_shift(frame, s), s
+
+    start = now = pack(bootstrap_template(movie, first, keys) if template is None else template, shape, keys)
     shifts = None
     for _ in range(rounds):
-        parts = []
+        path = new_path(movie, "registered")
         for a in range(0, n, bin_frames):
-            ref = template
-            moved = _per_frame(movie.filter((F.col("t") >= a) & (F.col("t") < a + bin_frames)), keys, lambda f, ref=ref: _rigid_frame(ref, f, upsample, most, whiten))
-            parts.append(_checkpoint(moved))
-            template = to_array(parts[-1].groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("v")), keys)
-        done = parts[0]
-        for p in parts[1:]:
-            done = done.unionByName(p)
-        own = done.groupBy("t").agg(F.first("shift").alias("shift"))
+            within = (F.col("t") >= a) & (F.col("t") < a + bin_frames)
+            part = written(per_frame(movie.filter(within), now, move, (a, min(n, a + bin_frames))), "bin", f"{path}/bin={a // bin_frames}")
+            after = pack(_median(part, keys), shape, keys)
+            now = now if after.slabs.isEmpty() else after
+        done = movie.sparkSession.read.schema(part.schema).parquet(path)
+        own = done.filter("shift is not null").select("t", "shift")
         shifts = own if shifts is None else shifts.withColumnRenamed("shift", "__b").join(own, "t").select("t", F.zip_with("__b", "shift", lambda x, y: x + y).alias("shift"))
-        movie = done.drop("shift")
-    return movie, shifts, template, start
-
-
-def _rigid_frame(reference: np.ndarray, frame: np.ndarray, upsample: int, most: float, whiten: bool):
-    s = reg.estimate_shift(reference, frame, upsample, most, whiten)
-    return reg.apply_shift(frame, s), s
+        movie = done.select(*keys, "t", "v")
+    return movie, shifts, now, start
 
 
 def piecewise(movie: DataFrame, grid: int = 32, deviation: float = 3, upsample: int = 50, whiten: bool = False, **options):
     """Rigid, then each frame by a smooth field of patch shifts."""
-    _, shifts, template, start = rigid(movie, upsample=upsample, whiten=whiten, **options)
-
-    def move(frame: np.ndarray):
-        base = reg.estimate_shift(template, frame, upsample, options.get("most", 15), whiten)
-        field = reg.shift_field(template, frame, base, grid, deviation, upsample, whiten)
+    n, shape = _extent(movie, PLANE)
+    if not n:
+        return rigid(movie)
+    _, shifts, end, start = _rigid(movie, n, shape, upsample=upsample, whiten=whiten, **options)
+
+    def move(ref: np.ndarray, frame: np.ndarray):
+        base = reg.estimate_shift(ref, frame, upsample, options.get("most", 15), whiten)
+        field = reg.shift_field(ref, frame, base, grid, deviation, upsample, whiten)
         return reg.displace(frame, reg.upsample_field(field, frame.shape)), base
 
-    return _per_frame(movie, PLANE, move).drop("shift"), shifts, template, start
+    return per_frame(movie, end, move, (0, n)).drop("shift"), shifts, end.image(), start.image()
 
 
 def affine_patches(movie: DataFrame, parts: int = 4, overlap: float = 0.1, iterations: int = 50, levels: int = 1, **options):
     """Rigid with a template of all frames, then an affine map for each patch of each frame."""
     from lumiframe.operators.patches import split_ranges
 
-    n = movie.agg(F.max("t") + 1).first()[0]
-    moved, shifts, template, start = rigid(movie, **{**options, "first": n})
-    h, w = template.shape
+    n, (h, w) = _extent(movie, PLANE)
+    if not n:
+        return rigid(movie)
+    moved, shifts, end, start = _rigid(movie, n, (h, w), **{**options, "first": n})
     cores = [(a, b) for a in split_ranges(h, parts, overlap) for b in split_ranges(w, parts, overlap)]
 
-    def move(frame: np.ndarray):
+    def move(ref: np.ndarray, frame: np.ndarray):
         out = np.empty_like(frame)
         for (y0, y1, ry0, ry1), (x0, x1, rx0, rx1) in cores:
             part = frame[ry0:ry1, rx0:rx1]
-            m, _ = reg.affine_ecc(template[ry0:ry1, rx0:rx1], part, iterations, levels)
+            m, _ = reg.affine_ecc(ref[ry0:ry1, rx0:rx1], part, iterations, levels)
             y, x = np.mgrid[y0 - ry0 : y1 - ry0, x0 - rx0 : x1 - rx0].astype(float)
             out[y0:y1, x0:x1] = reg.bilinear(part, m[0, 0] * y + m[0, 1] * x + m[0, 2], m[1, 0] * y + m[1, 1] * x + m[1, 2])
         return out, np.zeros(2)
 
-    return _per_frame(moved, PLANE, move).drop("shift"), shifts, template, start
+    return per_frame(moved, end, move, (0, n)).drop("shift"), shifts, end.image(), start.image()
 
 
 def correct(movie: DataFrame, method: str = "rigid", **options):

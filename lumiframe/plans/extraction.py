@@ -134,8 +134,7 @@ def _(s, d):
 def _(s, d):
     m = _drifting(s, d)
     out, _, end, start = register.rigid(m, upsample=10, bin_frames=32, first=16)
-    as_image = lambda a: movie.from_array(s, a[..., None]).drop("t")
-    return register.assess(m, out, as_image(start), as_image(end)).select(*[F.round(c, 4).alias(c) for c in ("before", "after", "difference", "templates")])
+    return register.assess(m, out, start, end).select(*[F.round(c, 4).alias(c) for c in ("before", "after", "difference", "templates")])
 
 
 # region growing

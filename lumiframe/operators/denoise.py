@@ -131,22 +131,37 @@ def shrink(d: np.ndarray, sigma: float, method: str) -> np.ndarray:
     return np.sign(d) * np.maximum(np.abs(d) - thr, 0.0)
 
 
-def denoise_line(x: np.ndarray, wavelet: str = "sym4", level: int = 4, method: str = "bayes") -> np.ndarray:
-    n = len(x)
-    level = min(level, most_levels(n, len(FILTERS[wavelet])))
-    if level < 1:
-        return np.array(x, float)
-    a, details, sizes = np.asarray(x, float), [], []
-    for _ in range(level):
-        sizes.append(len(a))
+def _shrink_rows(d: np.ndarray, sigma: np.ndarray, method: str) -> np.ndarray:
+    """``shrink`` of each row by its own noise level."""
+    if method == "bayes":
+        signal = np.sqrt(np.maximum(np.mean(d * d, axis=1) - sigma * sigma, 0.0))
+        thr = np.where(signal > 0, sigma * sigma / np.where(signal > 0, signal, 1.0), np.abs(d).max(axis=1, initial=0.0))
+    elif method == "universal":
+        thr = sigma * math.sqrt(2 * math.log(max(d.shape[1], 2)))
+    else:
+        raise ValueError("method must be bayes or universal")
+    return np.sign(d) * np.maximum(np.abs(d) - thr[:, None], 0.0)
+
+
+def denoise_lines(x: np.ndarray, wavelet: str = "sym4", level: int = 4, method: str = "bayes") -> np.ndarray:
+    """Each row of a matrix on its own, all rows at once: every level is one pass over the matrix."""
+    a, details = np.asarray(x, float), []
+    for _ in range(min(level, most_levels(a.shape[1], len(FILTERS[wavelet])))):
+        n = a.shape[1]
         a, d = analyse(a, wavelet)
-        details.append(d)
-    sigma = float(np.median(np.abs(details[0]))) / kernels.MAD_TO_STD
-    for d, m in zip(details[::-1], sizes[::-1], strict=True):
-        a = synthesise(a, shrink(d, sigma, method), wavelet, m)
+        details.append((d, n))
+    if not details:
+        return a.copy()
+    sigma = np.median(np.abs(details[0][0]), axis=1) / kernels.MAD_TO_STD
+    for d, n in reversed(details):
+        a = synthesise(a, _shrink_rows(d, sigma, method), wavelet, n)
     return a
 
 
+def denoise_line(x: np.ndarray, wavelet: str = "sym4", level: int = 4, method: str = "bayes") -> np.ndarray:
+    return denoise_lines(np.asarray(x, float)[None], wavelet, level, method)[0]
+
+
 def denoise_plane(x: np.ndarray, wavelet: str = "sym4", level: int = 4, method: str = "bayes") -> np.ndarray:
     level = min(level, *(most_levels(n, len(FILTERS[wavelet])) for n in x.shape))
     if level < 1:
@@ -165,12 +180,25 @@ def denoise_plane(x: np.ndarray, wavelet: str = "sym4", level: int = 4, method:
     return a
 
 
+#: Samples of equal-length traces that are denoised together.
+TOGETHER = 1 << 18
+
+
 def wavelet_time(movie: DataFrame, wavelet: str = "sym4", level: int = 4, method: str = "bayes", keys: Keys = PLANE) -> DataFrame:
+    """Each trace on its own; traces of an Arrow batch that are of one length go through the levels together, ``TOGETHER`` samples at a time."""
     filters(wavelet)
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: denoise_line(x, wavelet, level, method).tolist())
+        out, sizes = [None] * len(s), s.map(len).to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            step = max(1, TOGETHER // max(1, int(n)))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                for i, row in zip(some, denoise_lines(np.stack([np.asarray(s.iloc[i], float) for i in some]), wavelet, level, method), strict=True):
+                    out[i] = row
+        return pd.Series(out, index=s.index, dtype=object)
 
     return from_trace(to_trace(movie, keys).select(*keys, run("trace").alias("trace")), keys)
 

@@ -445,3 +445,12 @@ def test_validation_is_saved_and_restored(spark, tmp_path):
     assert sorted(map(tuple, back.transients.select("roi", "trans", "t0", "t1", "class").collect()), key=str) == [(0, 0, 3, 9, 1.0), (0, 1, 12, 14, None)]
     assert sorted(map(tuple, back.artifacts.collect())) == [(0, True), (2, False)]
     assert pipeline.Session(spark).load(back.pixels).transients is None and back.clear_regions().artifacts is None
+
+
+def test_traces_of_unlike_length_are_denoised_in_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(denoise, "TOGETHER", 100)
+    rows = [(k, 0, t, float((k * 7 + t * t) % 11)) for k in range(9) for t in range(40 if k % 3 else 25)]
+    got = denoise.wavelet_time(spark.createDataFrame(rows, movie.MOVIE).coalesce(1)).toPandas()
+    for k, p in got.groupby("y"):
+        trace = np.array([r[3] for r in rows if r[0] == k])
+        assert np.allclose(p.sort_values("t").v, denoise.denoise_line(trace))

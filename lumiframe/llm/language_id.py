@@ -3,9 +3,14 @@
 A known word scores by its log frequency in each language. An unseen word falls back to its character n-grams, longest first:
 the mean score of those of its 5-grams that are known, else of its 4-grams, and so on down to single characters.
 
-The model is fitted on a bounded sample of labelled rows (``max_docs_per_lang``, drawn by a hash of the id) and keeps at most
-``max_words_per_lang`` words and ``max_grams_per_lang`` n-grams a language, so what is broadcast has a fixed bound. Prediction is
-one pass over whole texts without a shuffle.
+The model is fitted on a bounded sample of labelled rows and keeps a bounded number of entries; the bounds are parameters of ``fit``:
+
+* ``max_docs_per_lang``: about so many labelled documents a language, drawn by a hash of the id.
+* ``max_words_per_lang``, ``max_grams_per_lang``: the most frequent words and n-grams of a language.
+* ``max_entries``: words, and n-grams, times languages. Beyond it each language keeps fewer of both, never fewer languages: every label
+  of the sample can be predicted, however many there are.
+
+So what is broadcast has a fixed bound as long as there are fewer than 4,000 languages (its tables have one entry a language at least). Prediction is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from lumiframe.llm.common import filter_rows, fresh, held_out, spread, table, te
 
 UNDETERMINED = "und"
 MAX_DOCS_PER_LANG = 1_000
-MAX_LANGS = 256
 MAX_WORDS_PER_LANG = 20_000
 MAX_GRAMS_PER_LANG = 40_000
+MAX_ENTRIES = 16_000_000
 MAX_N = 5
+#: Scores of words that a task keeps for the texts to come, 32 MB.
+CACHED_SCORES = 1 << 22
 #: Evidence counts as that of at most so many words, so that scores of long texts aren't all 1.
 EVIDENCE_WORDS = 12.0
 
@@ -78,11 +85,13 @@ class Model:
             return UNDETERMINED, 0.0
         total, n = np.zeros(len(self.langs)), 0
         ws = words_of(text)
-        for k in range(0, len(ws), 1 << 14):
-            part = ws[k : k + (1 << 14)]
+        cached = max(1 << 10, min(1 << 17, CACHED_SCORES // len(self.langs)))
+        step = min(cached, 1 << 14)
+        for k in range(0, len(ws), step):
+            part = ws[k : k + step]
             if self._table is None or self._used + len(part) > len(self._table):  # scores are cached up to a bound, then afresh
                 self._rows.clear()
-                self._table, self._used = np.zeros((1 << 17, len(self.langs))), 0
+                self._table, self._used = np.zeros((cached, len(self.langs))), 0
             get, row = self._rows.get, self._row
             idx = [r if (r := get(w)) is not None else row(w) for w in part]
             total += self._table[idx].sum(0)
@@ -104,12 +113,18 @@ def _scores(tables: list[dict[str, int]], most: int, least: int = 2, alpha: floa
     return {w: k for k, w in enumerate(kept)}, logs - logs.mean(1, keepdims=True)
 
 
-def fit_counts(by_lang: dict[str, dict[str, int]], max_words: int = MAX_WORDS_PER_LANG, max_grams: int = MAX_GRAMS_PER_LANG) -> Model:
+def entries_per_lang(langs: int, most: int, max_entries: int = MAX_ENTRIES) -> int:
+    """How many entries a language keeps, at least one: a table has a row for each kept entry and a column for each language."""
+    return max(1, min(most, max_entries // max(1, langs) ** 2))
+
+
+def fit_counts(by_lang: dict[str, dict[str, int]], max_words: int = MAX_WORDS_PER_LANG, max_grams: int = MAX_GRAMS_PER_LANG, max_entries: int = MAX_ENTRIES) -> Model:
     """The model of word counts by language. A word, or an n-gram, counts as known from its second occurrence on in some language."""
     langs = sorted(by_lang)
     if not langs:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     rows, parts = {}, []
+    max_words, max_grams = (entries_per_lang(len(langs), most, max_entries) for most in (max_words, max_grams))
     words, word_table = _scores([by_lang[g] for g in langs], max_words)
     for n in range(1, MAX_N + 1):
         tables = []
@@ -120,21 +135,23 @@ def fit_counts(by_lang: dict[str, dict[str, int]], max_words: int = MAX_WORDS_PE
                 for k in range(len(src) - n + 1):
                     t[src[k : k + n]] += c
             tables.append(t)
-        own, table_ = _scores(tables, max_grams // MAX_N)
+        own, table_ = _scores(tables, max(1, max_grams // MAX_N))
         base = sum(map(len, parts))
         rows |= {w: base + k for w, k in own.items()}
         parts.append(table_)
     return Model(langs, words, word_table, rows, np.concatenate(parts))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Model:
-    """Fits on rows whose language is known and whose id isn't held out: at most about ``max_docs_per_lang`` a language, by a hash of the id."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs_per_lang: int = MAX_DOCS_PER_LANG, max_words_per_lang: int = MAX_WORDS_PER_LANG, max_grams_per_lang: int = MAX_GRAMS_PER_LANG, max_entries: int = MAX_ENTRIES) -> Model:
+    """Fits on rows whose language is known and whose id isn't held out, within the bounds that the module's text names; no language is left out."""
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.col("lang") != UNDETERMINED))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row for each label
     if not sizes:
         return fit_counts({})
-    rate = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, max_docs_per_lang / n))])
-    draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))
+    words_kept = entries_per_lang(len(sizes), max_words_per_lang, max_entries)
+    rates = {g: rate for g, n in sizes.items() if (rate := max_docs_per_lang / n) < 1}
+    rate = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang")), F.lit(1.0)) if rates else F.lit(1.0)
+    draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0) < rate
 
     def count(it):
         by: dict[str, Counter] = defaultdict(Counter)
@@ -148,11 +165,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     counted = known.filter(draw).select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     w = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    rows = counted.withColumn("r", w).filter(F.col("r") <= MAX_WORDS_PER_LANG).select("lang", "word", "n").toArrow().to_pydict()
+    rows = counted.withColumn("r", w).filter(F.col("r") <= words_kept).select("lang", "word", "n").toArrow().to_pydict()
     by_lang: dict[str, Counter] = {g: Counter() for g in sizes}
     for g, word, n in zip(rows["lang"], rows["word"], rows["n"], strict=True):
         by_lang[g][word] = n
-    return fit_counts(by_lang)
+    return fit_counts(by_lang, max_words_per_lang, max_grams_per_lang, max_entries)
 
 
 def _count_rows(by: dict[str, Counter]):

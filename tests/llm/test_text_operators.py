@@ -39,6 +39,21 @@ def test_language_edges(spark):
     assert none.predict("abc") == ("und", 0.0)
 
 
+def test_every_one_of_many_languages_is_learnt(spark):
+    # a language's words end in its number; labels come in unlike amounts
+    langs = [f"l{g:03d}" for g in range(300)]
+    spell = lambda g: "".join(chr(97 + int(c)) for c in f"{g:03d}")
+    text = lambda g: " ".join(f"{stem}{spell(g)}" for stem in ("kolu", "mira", "tesa", "nopi") * 3)
+    rows = [(k * 300 + g, text(g), langs[g]) for g in range(300) for k in range(4 + 20 * (g % 5 == 0))]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    for bounds in ({}, {"max_docs_per_lang": 8, "max_entries": 300 * 300 * 3}):
+        m = language_id.fit(docs, **bounds)
+        assert m.langs == langs
+        assert [m.predict(text(g))[0] for g in range(300)] == langs
+    assert len(m.words) <= 3 * 300 and m.word_table.size <= 300 * 300 * 3
+    assert language_id.entries_per_lang(10**6, 100) == 1
+
+
 def test_backoff_goes_from_words_to_shorter_grams():
     from collections import Counter
 

@@ -14,9 +14,9 @@ def preview(movie: DataFrame, max_frames: int = 5000, max_voxels: int | None = N
     return movie.filter(F.col("t") < n)
 
 
-def deinterleave(slices: DataFrame, depth: int, index: str = "s", time: str = "t", plane: str = "d") -> DataFrame:
-    """Slice s of an interleaved stack is plane s % depth of frame s div depth; an incomplete last frame is an error."""
-    n = slices.agg(F.max(index) + 1).first()[0] or 0
+def deinterleave(slices: DataFrame, depth: int, index: str = "s", time: str = "t", plane: str = "d", whole: bool = True) -> DataFrame:
+    """Slice s of an interleaved stack is plane s % depth of frame s div depth; an incomplete last frame is an error, or is kept as it is if not ``whole``."""
+    n = (slices.agg(F.max(index) + 1).first()[0] or 0) if whole else 0
     if n % depth:
         raise ValueError(f"{n} slices don't make whole volumes of {depth}")
     return slices.withColumn(time, F.floor(F.col(index) / depth).cast("int")).withColumn(plane, (F.col(index) % depth).cast("int")).drop(index)

@@ -134,14 +134,18 @@ def summary(movie: DataFrame, keys=("y", "x")) -> str:
     return f"{' x '.join(str(r[k]) for k in keys)} {'voxels' if len(keys) == 3 else 'pixels'}, {r['t']} frames"
 
 
+#: A NaN of its own bits marks pixels without a row; other readers see a blank pixel.
+ABSENT = np.uint32(0x7FC0ABE5)
+
+
 def encode_frames(movie: DataFrame, kind: str = "fits") -> DataFrame:
-    """(t, content): each frame as the bytes of a FITS or TIFF file of 32-bit floats, for any sink that takes bytes."""
+    """(t, content): each frame as the bytes of a FITS or TIFF file of 32-bit floats, for any sink that takes bytes. Pixels without a row are NaN and stay without one."""
     if kind not in ("fits", "tiff"):
         raise ValueError("kind must be fits or tiff")
     write = formats.write_fits if kind == "fits" else formats.write_tiff
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((int(p["y"].max()) + 1, int(p["x"].max()) + 1), np.float32)
+        a = np.full((int(p["y"].max()) + 1, int(p["x"].max()) + 1), ABSENT).view(np.float32)
         a[p["y"], p["x"]] = p["v"]
         return pd.DataFrame({"t": [int(p["t"].iloc[0])], "content": [write(a)]})
 
@@ -154,7 +158,11 @@ def decode_frames(frames: DataFrame, kind: str = "fits") -> DataFrame:
     def run(it):
         for p in it:
             for t, raw in zip(p["t"], p["content"], strict=True):
-                for q in _rows(read(bytes(raw)), ["y", "x"], t=int(t)):
-                    yield q[["y", "x", "t", "v"]]
+                a = read(bytes(raw))
+                there = np.ones(a.shape, bool) if a.dtype.itemsize != 4 else np.ascontiguousarray(a, a.dtype.newbyteorder("=")).view(np.uint32) != ABSENT
+                for k in range(0, a.size, 1 << 18):
+                    at = np.unravel_index(np.arange(k, min(k + (1 << 18), a.size)), a.shape)
+                    at = tuple(i[there[at]] for i in at)
+                    yield pd.DataFrame({"y": at[0].astype("int32"), "x": at[1].astype("int32"), "t": np.int32(t), "v": a[at].astype(float)})
 
     return frames.mapInPandas(run, LONG)

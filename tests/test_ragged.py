@@ -33,3 +33,15 @@ def same_as_sql(spark, d, name, tables=("embeddings",)):
 
 def test_interleaved_slices(spark, ragged):
     same_as_sql(spark, ragged, "s10_interleaved_slices")
+
+
+def test_encoded_frames(spark, ragged):
+    same_as_sql(spark, ragged, "s14_encode_frames")
+
+
+def test_absent_pixels_and_nan_samples_differ(spark):
+    from lumiframe.sources import readers
+
+    df = spark.createDataFrame([(0, 0, 0, float("nan")), (1, 2, 0, 2.0)], "y int, x int, t int, v double")
+    for kind in ("fits", "tiff"):
+        assert sorted((r.y, r.x, str(r.v)) for r in readers.decode_frames(readers.encode_frames(df, kind), kind).collect()) == [(0, 0, "nan"), (1, 2, "2.0")]

@@ -15,15 +15,16 @@ from lumiframe.operators.movie import VOLUME
 Keys = Sequence[str]
 
 
-def downsample(volume: DataFrame, target: int = 200, shape: Sequence[int] | None = None, keys: Keys = VOLUME) -> DataFrame:
-    """Mean over cubes so that no side is much longer than ``target``; a rest that fills no cube is trimmed."""
+def downsample(volume: DataFrame, target: int = 200, shape: Sequence[int] | None = None, keys: Keys = VOLUME, factors: Sequence[int] | None = None) -> DataFrame:
+    """Mean over cubes so that no side is much longer than ``target``, or of ``factors`` cells; a rest that fills no cube is trimmed."""
     if shape is None:
         got = volume.agg(*[(F.max(k) + 1).alias(k) for k in keys]).first()
         shape = [got[k] for k in keys]
-    f = [max(1, round(n / target)) for n in shape]
+    f = factors or [max(1, round(n / target)) for n in shape]
     inside = F.lit(True)
     for k, n, s in zip(keys, shape, f, strict=True):
-        inside &= F.col(k) < n // s * s
+        if s > 1:
+            inside &= F.col(k) < n // s * s
     return volume.filter(inside).groupBy(*[F.floor(F.col(k) / s).cast("int").alias(k) for k, s in zip(keys, f, strict=True)]).agg(F.avg("v").alias("v"))
 
 

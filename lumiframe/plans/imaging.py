@@ -740,7 +740,8 @@ def _(s, d):
 @query("v1_downsample", f"with {VOL}, f as (select l, w, d, max(v) v from vo group by l, w, d), n as (select max(l)+1 nl from f) select cast(l as int) l, cast(w//2 as int) w, cast(d//2 as int) d, round(avg(v), 6) v from f group by 1,2,3")
 def _(s, d):
     v = movie.embedding_volume(s, d).groupBy("l", "w", "d").agg(F.max("v").alias("v"))
-    return image(render.downsample(v, 5, (5, 10, 10)), VK)
+    planes = v.agg(F.max("l") + 1).first()[0]
+    return image(render.downsample(v, shape=(planes, 10, 10), factors=(1, 2, 2)), VK)
 
 
 @query("v2_normalise", f"with {VOL}, f as (select l, w, d, max(v) v from vo group by l, w, d), p as (select greatest(quantile_cont(v, 0.995), 1e-6) p from f) select l, w, d, round(least(greatest(v/p, 0.0), 1.0), 6) + 0.0 v from f, p")

@@ -45,3 +45,8 @@ def test_absent_pixels_and_nan_samples_differ(spark):
     df = spark.createDataFrame([(0, 0, 0, float("nan")), (1, 2, 0, 2.0)], "y int, x int, t int, v double")
     for kind in ("fits", "tiff"):
         assert sorted((r.y, r.x, str(r.v)) for r in readers.decode_frames(readers.encode_frames(df, kind), kind).collect()) == [(0, 0, "nan"), (1, 2, "2.0")]
+
+
+def test_downsampled_volume(spark, tmp_path):
+    duckdb.sql(f"copy (select vec_id + 1000*k vec_id, embedding, label from '{SF}/embeddings.parquet', range(3) g(k) where vec_id + 1000*k < 2456) to '{tmp_path}/embeddings.parquet'")
+    same_as_sql(spark, str(tmp_path), "v1_downsample")

@@ -38,7 +38,7 @@ def _extent(movie: DataFrame, keys: Sequence[str]) -> tuple[int, tuple[int, ...]
 def rigid(movie: DataFrame, most: float = 15, upsample: int = 50, bin_frames: int = 200, first: int = 100, rounds: int = 1, whiten: bool = False, template: DataFrame | None = None, keys: Sequence[str] = PLANE):
     """(registered movie, shifts (t, shift), final template, first template); templates are images (keys, v), as is ``template`` if given.
 
-    Pixels that a frame lacks count as zero in it and stay absent; a bin without frames keeps the template; an empty movie is returned as it is."""
+    Pixels that a frame lacks count as the mean of the others, in it and in the template, and stay absent; a bin without frames keeps the template; an empty movie is returned as it is."""
     n, shape = _extent(movie, keys)
     if not n:
         empty = movie.select(*keys, "v")

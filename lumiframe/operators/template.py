@@ -94,13 +94,18 @@ def pack(image: DataFrame, shape: Sequence[int], keys: Sequence[str]) -> Templat
 
 def per_frame(movie: DataFrame, template: Template, move: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], frames: tuple[int, int]) -> DataFrame:
     """``move(template, frame) -> (frame, shift)`` for every frame of a movie of the template's shape: (keys, t, v, shift) of each of its rows, with the
-    frame's shift on the first of its rows alone and null on the others. ``frames``: the first frame and the one after the last."""
+    frame's shift on the first of its rows alone and null on the others. Places without a row in the frame get each image's mean over the others, so that
+    their edges, which don't move, hold no frame fast. ``frames``: the first frame and the one after the last."""
     keys, shape = template.keys, template.shape
 
     def moved(ref: np.ndarray, t: pa.Table) -> pa.Table:
         at = tuple(t.column(k).to_numpy() for k in keys)
         frame = np.zeros(shape)
         frame[at] = t.column("v").to_numpy()
+        if t.num_rows < frame.size:
+            there = np.zeros(shape, bool)
+            there[at] = True
+            frame, ref = (np.where(there, a, a[there].mean()) for a in (frame, ref))
         out, shift = move(ref, frame)
         kind = pa.list_(pa.float64())
         shifts = pa.chunked_array([pa.array([shift.tolist()], kind), pa.nulls(t.num_rows - 1, kind)])

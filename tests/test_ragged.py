@@ -90,3 +90,16 @@ def test_windows_with_few_samples_have_no_median(spark, time):
     got = {(r.y, r.x): r.v for r in denoise.median(df, 3, time).filter("t = 1").collect()}
     # (0, 0): its border repeats 1.0 four times and 2.0 twice, and 5.0 stands once; (0, 1): 1.0 and 2.0 twice, and 5.0
     assert got == {(0, 0): 2.0, (0, 1): 5.0, (1, 1): None, (3, 3): None}
+
+
+def test_registration_of_a_ragged_volume(spark, tmp_path):
+    """The first plane of eleven is whole, the last has 56 cells: what is absent doesn't move, and holds no frame fast."""
+    from lumiframe.functions import kernels
+    from lumiframe.operators import movie, register
+
+    r = np.random.default_rng(8)
+    base = 10 + kernels.blur(r.normal(size=(14, 14)), 1)
+    vol = np.stack([np.stack([base, base])[:, 2 - dy : 12 - dy, 2 - dx : 12 - dx] for dy, dx in ((0, 0), (0, 0), (0, 0), (1, 1), (-1, 1), (1, -1), (-1, 0))])
+    df = movie.from_array(spark, np.moveaxis(vol, 0, -1), movie.VOLUME).filter("l = 0 or 10*w + d < 56")
+    shifts = register.rigid(df, most=3, upsample=1, bin_frames=8, first=3, keys=movie.VOLUME)[1].orderBy("t").collect()
+    assert [tuple(int(x) for x in s["shift"]) for s in shifts] == [(0, 0, 0)] * 3 + [(0, -1, -1), (0, 1, -1), (0, -1, 1), (0, 1, 0)]

@@ -130,9 +130,9 @@ def backdrop(profiles: DataFrame, keys: Keys = PLANE) -> DataFrame:
 
 def merge_blocks(blocks: DataFrame, by: Sequence[str] = ("roi",)) -> DataFrame:
     """(by..., t0, t1): inclusive ranges that overlap or touch, merged."""
-    w = Window.partitionBy(*by).orderBy("t0", "t1")
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("t0"), F.asc_nulls_last("t1"))
     seen = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    g = blocks.withColumn("__new", F.when(seen.isNull() | (F.col("t0") > seen + 1), 1).otherwise(0)).withColumn("__g", F.sum("__new").over(w))
+    g = blocks.withColumn("__new", F.when(seen.isNull() | (F.col("t0") > seen + 1), 1).otherwise(0)).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy(*by, "__g").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("__g")
 
 

@@ -688,9 +688,8 @@ def _height(m: DataFrame) -> int:
 def _(s, d):
     m, out = emb(s, d), []
     for axis, begin, extent in (("y", patches.starts(_height(m), 8, 2), 8), ("x", patches.starts(25, 10, 3), 10)):
-        at = F.array(*[F.lit(b) for b in begin])
         got = patches.assign(m, {axis: (begin, extent)}).groupBy("patch").agg(F.count(F.lit(1)).alias("n"))
-        out.append(got.select(F.lit(axis).alias("axis"), F.col("patch").alias("k"), F.element_at(at, F.col("patch") + 1).alias("start"), "n"))
+        out.append(got.select(F.lit(axis).alias("axis"), F.col("patch").alias("k"), patches.start_of(F.col("patch"), begin).alias("start"), "n"))
     return out[0].unionByName(out[1])
 
 

@@ -209,7 +209,7 @@ def box_union(a: str, b: str, keys: Keys = PLANE):
 
 def overlapping_boxes(boxes: DataFrame, cell: int = 32, keys: Keys = PLANE) -> DataFrame:
     """(a, b, contains, union) of regions (roi, lo_..., hi_...) whose bounds overlap. Bounds are sent to the grid cells they touch and meet
-    there, so the interval join is an equi-join."""
+    there, so the interval join is an equi-join; a pair is told by the cell of its overlap's first corner alone, so none is told twice."""
     box = F.struct(*[F.col(f"{e}_{k}") for k in keys for e in ("lo", "hi")])
     at = boxes.select("roi", box.alias("box"))
     for k in keys:
@@ -217,4 +217,6 @@ def overlapping_boxes(boxes: DataFrame, cell: int = 32, keys: Keys = PLANE) -> D
     cells = [f"__{k}" for k in keys]
     other = at.select(F.col("roi").alias("b"), F.col("box").alias("bb"), *cells)
     j = at.withColumnRenamed("roi", "a").withColumnRenamed("box", "ba").join(other, cells).filter((F.col("a") < F.col("b")) & boxes_overlap("ba", "bb", keys))
-    return j.select("a", "b", box_contains("ba", "bb", keys).alias("contains"), box_union("ba", "bb", keys).alias("union")).distinct()
+    for k in keys:
+        j = j.filter(F.col(f"__{k}") == F.floor(F.greatest(f"ba.lo_{k}", f"bb.lo_{k}") / cell))
+    return j.select("a", "b", box_contains("ba", "bb", keys).alias("contains"), box_union("ba", "bb", keys).alias("union"))

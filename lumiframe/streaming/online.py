@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -537,16 +538,33 @@ def track_array(movie: np.ndarray, **options) -> tuple[State, list]:
 
 
 def extract_online(movie: DataFrame, shape: tuple[int, int], **options) -> DataFrame:
-    """(roi, y, x, w) of the cells that the online detector finds in a whole movie; frames are one group, as they must be in order."""
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros((*shape, int(p["t"].max()) + 1))
-        cube[p["y"], p["x"], p["t"]] = p["v"]
-        state, _ = track_array(cube, **options)
-        rows = [(k, int(y) + q.y, int(x) + q.x, float(q.v[y, x])) for k, q in enumerate(state.profiles) for y, x in np.argwhere(q.v > 0)]
-        return pd.DataFrame(rows, columns=["roi", "y", "x", "w"])
-
-    return movie.groupBy().applyInPandas(one, "roi int, y int, x int, w double")
+    """(roi, y, x, w) of the cells that the online detector finds in a whole movie. Frames pass one task, as they must be in order; it holds one of them and the detector's state."""
+
+    def one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = State(shape, **options)
+        for t, frame in whole_frames(it, shape):
+            state.step(t, frame)
+        for k, q in enumerate(state.profiles):
+            y, x = np.nonzero(q.v > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k), pa.int32()), pa.array(y + q.y, pa.int32()), pa.array(x + q.x, pa.int32()), pa.array(q.v[y, x], pa.float64())], names=["roi", "y", "x", "w"])
+
+    return movie.select("y", "x", "t", "v").repartition(1).sortWithinPartitions("t").mapInArrow(one, "roi int, y int, x int, w double")
+
+
+def whole_frames(it: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(t, frame) from frame 0 on, of batches (y, x, t, v) in the order of t; what has no row is zero."""
+    now, frame, any_rows = 0, np.zeros(shape), False
+    for b in it:
+        y, x, t, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)] if len(t) else []
+        for lo, hi in itertools.pairwise(cuts):
+            while now < t[lo]:
+                yield now, frame
+                now, frame = now + 1, np.zeros(shape)
+            frame[y[lo:hi], x[lo:hi]] = v[lo:hi]
+        any_rows |= len(t) > 0
+    if any_rows:
+        yield now, frame
 
 
 def noise_level(image: DataFrame) -> DataFrame:

@@ -34,3 +34,36 @@ def test_overlapping_boxes_are_told_once_without_an_aggregate(spark):
     pairs = [(p.a, p.b) for p in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("border", ["reflect", "nearest"])
+def test_a_blur_holds_no_matrix_of_the_field(border):
+    from lumiframe.functions import kernels
+
+    image = np.random.default_rng(1).normal(size=(9, 4, 2))
+    a, b = (kernels.gaussian_matrix(n, 1.5, border) for n in (9, 4))
+    assert np.allclose(kernels.blur(image, 1.5, border), np.einsum("ij,jkc,lk->ilc", a, image, b))
+    assert np.allclose(kernels.blur(np.ones((200_000, 3)), 1.0, border), 1)  # as a matrix: 320 GB
+
+
+def test_online_extraction_takes_frames_one_by_one(spark):
+    """The same cells as from the whole movie in memory, with a frame and some pixels missing and batches that cut frames."""
+    from lumiframe.plans.extraction import cells_movie
+    from lumiframe.streaming import online
+
+    m = cells_movie(t=60)
+    m[..., 7], m[3, :5] = 0, 0
+    options = dict(detection=online.Detection(cutoff=3.0, least_pixels=6), promotion=online.Promotion(after=3))
+    df = movie.from_array(spark, m).filter("t <> 7 and not (y = 3 and x < 5)")
+    state, _ = online.track_array(m, **options)
+    want = sorted((k, int(y) + q.y, int(x) + q.x, float(q.v[y, x])) for k, q in enumerate(state.profiles) for y, x in np.argwhere(q.v > 0))
+    plan = online.extract_online(df, m.shape[:2], **options)
+    assert want and sorted(tuple(r) for r in plan.collect()) == want
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_registration_reads_is_made_once(spark):
+    from lumiframe.plans import extraction
+
+    plan = extraction._drifting(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels
 from lumiframe.functions.columns import correlation
-from lumiframe.operators import contamination, factor, masks, movie, projections, register, rois, transients
+from lumiframe.operators import contamination, factor, masks, movie, projections, register, rois, template, transients
 from lumiframe.plans.imaging import EMB, MEAN, ROI, emb, emb_traces, image, r6
 from lumiframe.plans import imaging
 from lumiframe.streaming import online
@@ -115,9 +115,10 @@ def _moves(m: DataFrame) -> DataFrame:
 
 
 def _drifting(s: SparkSession, d: str) -> DataFrame:
-    """The scene's mean image with the embedding movie's noise, moved by whole pixels."""
+    """The scene's mean image with the embedding movie's noise, moved by whole pixels; written once, as registration reads it for each of its steps."""
     m, still = emb(s, d), projections.mean(scene(s, d)).withColumnRenamed("v", "still")
-    return register.integer_shift(m.join(still, ["y", "x"]).select("y", "x", "t", (10 * F.col("still") + 0.1 * F.col("v")).alias("v")), _moves(m), shape_of(m))
+    noisy = m.join(still, ["y", "x"]).select("y", "x", "t", (10 * F.col("still") + 0.1 * F.col("v")).alias("v"))
+    return template.written(register.integer_shift(noisy, _moves(m), shape_of(m)), "drifting")
 
 
 for method, options in (("rigid", {}), ("patch", {"grid": 15}), ("patchwarp", {"parts": 2, "iterations": 10})):
@@ -391,7 +392,8 @@ def _(s, d):
     still = v.groupBy("l", "w", "d").agg((10 * F.avg("v")).alias("v"))
     edge = lambda k, by: F.least(F.greatest(F.col(k) - F.col(by), F.lit(0)), F.lit(9)).alias(k)
     moved = v.join(_moves(v), "t").select("l", F.col("w").alias("ow"), F.col("d").alias("od"), "t", edge("w", "dy"), edge("d", "dx")).join(still, ["l", "w", "d"])
-    sh = register.rigid(moved.select("l", F.col("ow").alias("w"), F.col("od").alias("d"), "t", "v"), most=3, upsample=1, bin_frames=32, first=16, keys=movie.VOLUME)[1]
+    moved = template.written(moved.select("l", F.col("ow").alias("w"), F.col("od").alias("d"), "t", "v"), "drifting")
+    sh = register.rigid(moved, most=3, upsample=1, bin_frames=32, first=16, keys=movie.VOLUME)[1]
     return sh.select("t", *[r6(F.col("shift")[k], 2).alias(f"d{k}") for k in range(3)])
 
 

@@ -27,6 +27,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a batch that goes to a Python worker or comes back; Spark's own bounds (10,000 rows, 64 MB) hold some 30 MB of texts on both sides of each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches of this session's Python functions by bytes; a smaller bound that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= most_bytes:
+        spark.conf.set(key, str(most_bytes))
+
+
 def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that the engine expects; on a cluster, pass these to spark-submit instead."""
     b = SparkSession.builder.master(master).appName("lumiframe")

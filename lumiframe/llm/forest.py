@@ -12,7 +12,8 @@ What the deeper order parts is found exactly: large regions that still have seve
 cluster's nodes are dealt to blocks, each pair of which is one task's group of bounded bytes, where pairs are looked up by their rarest shingles (two sets of
 similarity s share one of the rarest ``1 - s`` of each) and compared on whole sets, unless they are linked already. Links alone are
 written, at most as many as a block has nodes. A node is dealt to ``SPREAD`` blocks or fewer while its cluster has less than ``SPREAD`` times ``BLOCK_BYTES``.
-Each link of any kind is confirmed on full sets. No node has a cap on partners.
+Each link of any kind is confirmed on full sets. No node has a cap on partners. Candidates that pairs join to a group of at most ``MEET_BYTES`` are sent once,
+to their group; in a larger one the set of each pair's second node is sent to the first.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ TREES, LEVELS = 24, 4
 MOST = 64
 #: Bytes of hashes in a block of a cluster, nodes from which a cluster has several blocks, and blocks until bytes alone decide.
 BLOCK_BYTES, BLOCK_NODES, SPREAD = 16 << 20, 1024, 8
+#: Bytes of hashes of candidates that pairs join, up to which these meet in one group, each set sent once.
+MEET_BYTES = 1 << 20
 #: Estimates so far below the threshold go: five deviations of TREES * LEVELS draws.
 SLACK = 0.2
 _HASHES = TREES * LEVELS
@@ -166,6 +169,28 @@ def _confirm(percent: int):
     return run
 
 
+def _meet(percent: int):
+    """Streams rows (group, a, b, h) sorted by group, b: the sets of a group's nodes a, which have no b, then its pairs (a, b): the similar pairs."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, {}
+        for batch in it:
+            g, a, b, h = (batch.column(k).to_pylist() for k in range(4))
+            keep = []
+            for k in range(len(g)):
+                if g[k] != group:
+                    group, own = g[k], {}
+                if b[k] is None:
+                    own[a[k]] = np.frombuffer(h[k], np.int64)
+                    keep.append(False)
+                else:
+                    x, y = own[a[k]], own[b[k]]
+                    keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def sets_of(keys: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """(key, h) of the given keys, written: h has the set's hashes in order, eight bytes each. ``holder``: (key, doc_id, row) of a row for each key."""
 
@@ -177,15 +202,39 @@ def sets_of(keys: DataFrame, docs: DataFrame, holder: DataFrame, doc_id: str, te
     keys = light(keys, F.coalesce(F.length(F.col("k_id").cast("string")), F.lit(0)) + 56)
     src = docs.select(F.col(f"`{doc_id}`").alias("id"), row_hash(f"`{text}`").alias("row"), F.col(f"`{text}`").alias("text"))
     found = src.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("row") == F.col("k_row"))).select("key", "text")
-    return materialize(found.mapInArrow(run, "key long, h binary").groupBy("key").agg(F.first("h").alias("h")), "sets")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, written."""
+    out = materialize(found.mapInArrow(run, "key long, h binary"), "sets")
+    if out.groupBy("key").count().filter("count > 1").isEmpty():
+        return out
+    once = materialize(out.groupBy("key").agg(F.first("h").alias("h")), "sets")  # rows equal in id and text
+    discard(out)
+    return once
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, meet_bytes: int = MEET_BYTES) -> DataFrame:
+    """The pairs (a, b; written) whose sets are similar, written. ``sizes``: (key, n) of every node."""
+    up = components(pairs)
+    up = materialize(up.union(up.select("root", "root").distinct()).select(F.col("node").alias("key"), "root"), "met")
+    label = materialize(sizes.join(light(up, F.lit(24)), "key").select("key", "root", "n"), "met")
+    discard(up)
+    large = label.groupBy("root").agg((8 * F.sum("n")).alias("bytes")).filter(F.col("bytes") > meet_bytes).select("root")
+    large = light(materialize(large, "large"), F.lit(16))
+    few = light(materialize(label.join(large, "root", "left_anti").select("key", F.col("root").alias("group")), "few"), F.lit(24))
+    nodes = sets.join(few, "key").select("group", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "h")
+    among = pairs.join(few.withColumnRenamed("key", "a"), "a").select("group", "a", "b", F.lit(None).cast("binary").alias("h"))
+    dealt = nodes.union(among).repartition(partitions(pairs.sparkSession), "group").sortWithinPartitions("group", F.col("b").asc_nulls_first())
+    found = dealt.mapInArrow(_meet(percent), "a long, b long")
+    if not large.isEmpty():
+        crowd = light(materialize(label.join(large, "root").select("key"), "crowd"), F.lit(16))
+        found = found.union(_by_hubs(pairs.join(crowd.withColumnRenamed("key", "a"), "a"), sets.join(crowd, "key"), percent))
+    return materialize(found, "similar")
+
+
+def _by_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: the set of each b is sent to its a."""
     with_b = pairs.join(sets.select(F.col("key").alias("b"), "h"), "b").select("a", "b", "h")
     with_a = sets.join(pairs.select(F.col("a").alias("key")).distinct(), "key").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "h")
     dealt = with_a.union(with_b).repartition(partitions(pairs.sparkSession), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(_confirm(percent), "a long, b long"), "similar")
+    return dealt.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def compare(keys: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -277,9 +326,11 @@ def links(sets: DataFrame, docs: DataFrame, known: DataFrame | None = None, doc_
     place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")
     each = materialize(sets.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("sig").alias("sig"), F.min(place).alias("p")), "nodes")
     narrow = each.select("key", F.posexplode("regions").alias("tree", "h"))
-    shared = narrow.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = materialize(narrow.join(shared, "h").select("h", "key", "tree", "m"), "regions")
-    told = met.join(each.select("key", "n", "sig"), "key").select("h", "key", "n", "sig", "tree", "m")
+    shared = materialize(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared")
+    met = materialize(narrow.join(light(shared, F.lit(24)), "h").select("h", "key", "tree", "m"), "regions")
+    some = materialize(met.select("key").distinct(), "some")
+    signed = each.join(light(some, F.lit(16)), "key").select("key", "n", "sig")
+    told = met.join(signed, "key").select("h", "key", "n", "sig", "tree", "m")
     small = told.filter(F.col("m") <= most).select("h", "key", "n", "sig").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_small(percent), "a long, b long")
     cut = 2 * LEVELS * ((F.col("tree") + 1) % TREES)
     deeper = F.concat(F.expr(f"substring(sig, 1 + {2 * LEVELS} * ((tree + 1) % {TREES}))"), F.substring("sig", F.lit(1), cut))
@@ -294,8 +345,8 @@ def links(sets: DataFrame, docs: DataFrame, known: DataFrame | None = None, doc_
 
     crowd = met.filter(F.col("m") > most).select("key").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     full = sets_of(crowd, docs, each.select("key", "p.doc_id", "p.row"), doc_id, text, shingle)
-    found = confirmed(pairs, full, percent)
-    discard(pairs)
+    found = confirmed(pairs, full, each.select("key", "n"), percent)
+    discard(pairs, shared, some)
     crowded = met.filter(F.col("m") > most).select("h", "key")
     if not crowded.isEmpty():
         root = components(found).select(F.col("node").alias("key"), "root")

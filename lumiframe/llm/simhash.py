@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiframe.llm.common import discard, materialize, partitions, spread, table, text_batches
+from lumiframe.llm.components import least_links
 from lumiframe.llm.groups import name_groups, one_of_each, row_hash
 
 RADIUS = 4
@@ -93,26 +94,6 @@ def _pair_variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate([np.repeat(np.arange(len(fps)), m) for m in n])
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest with the components of the given links: each node linked to the least of its component."""
-    nodes, inv = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = inv[: len(a)], inv[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        m = np.minimum(label[x], label[y])
-        np.minimum.at(new, x, m)
-        np.minimum.at(new, y, m)
-        np.minimum.at(new, label[x], m)
-        np.minimum.at(new, label[y], m)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    up = label != np.arange(len(nodes))
-    return nodes[up], nodes[label[up]]
-
-
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return starts, np.diff(np.append(starts, len(keys)))
@@ -137,7 +118,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np
     if not a or not sum(map(len, a)):
         return f[:0], f[:0], hot_fps
     pair = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
-    return (*_forest(pair[0], pair[1]), hot_fps)
+    return (*least_links(pair[0], pair[1]), hot_fps)
 
 
 ENTRY = "key long, fp long, to long"  # an entry has no ``to``; a row with it is a finished link, to itself if fp is hot
@@ -183,7 +164,7 @@ def _emit_balls(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, sizes = _runs(keys)
             first = np.repeat(own[starts], sizes)
             if (first != own).any():
-                a, z = _forest(own[first != own], first[first != own])
+                a, z = least_links(own[first != own], first[first != own])
                 yield from _rows(a, a, z)
             yield from _rows(keys[starts], own[starts])
 
@@ -236,7 +217,7 @@ def _met_balls(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, sizes = _runs(keys)
     first = np.repeat(fps[starts], sizes)
     other = first != fps
-    return _forest(fps[other], first[other]) if other.any() else (fps[:0], fps[:0])
+    return least_links(fps[other], first[other]) if other.any() else (fps[:0], fps[:0])
 
 
 def links(fps: DataFrame, most: int = MOST) -> DataFrame:

@@ -130,6 +130,22 @@ def test_components_of_long_chains_and_stars(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_rounds_meet_forests_of_dense_parts(spark, monkeypatch):
+    """A part of all pairs enters the rounds with at most one edge a node from each task, also where a task gives out several buffers."""
+    n, met = 300, []
+    state = components._state
+    monkeypatch.setattr(components, "_state", lambda e: met.append(state(e)[0]) or state(e))
+    edges = spark.range(n * n).selectExpr("id div 300 a", "id % 300 b").filter("a < b").selectExpr("a", "b", "a = 0 bare").repartition(4)
+    for buffer in (components.BUFFER, 1000, 100):
+        monkeypatch.setattr(components, "BUFFER", buffer)
+        met.clear()
+        got = {r.node: r.root for r in components.components(edges).collect()}
+        assert got == {k: 0 for k in range(1, n)}
+        assert met[0] <= (4 * n if buffer >= 1000 else n * n // 2)
+    words = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
+    assert {tuple(r) for r in components.components(words).collect()} == {("b", "a"), ("c", "a"), ("y", "x")}
+
+
 def slow_substring_dedup(docs, window=13):
     first = {}
     for d, t in docs:

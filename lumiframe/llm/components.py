@@ -75,11 +75,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """(u, v) with u > v in; each node's neighbours (the larger ones, or the smaller ones and itself) linked to its least neighbour."""
     pairs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = pairs.join(least, "u")
-    if large:
-        out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    if large:  # m <= u < v
+        return pairs.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    out = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 

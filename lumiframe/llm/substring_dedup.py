@@ -14,9 +14,9 @@ repeat is kept away from the automata first:
 
 Hot keys: within a chunk of documents, a key or a segment that many of them hold is sent once, with the list of its holders; whatever
 is known to repeat inside the chunk doesn't wait for the shuffle. A key of more than ``MOST_HOLDERS`` documents makes no shard, whose automaton
-would outgrow a task: its windows go one by one, from each chunk only for the chunk's least document (all others in the chunk are
-known to repeat), and the least document of each is an aggregate and a join that no single task has to hold. So a shard is
-bounded by ``MOST_HOLDERS`` documents and its segments by ``MOST_WINDOWS`` windows. Words, not hashes, decide: hashes only pick the shard.
+would outgrow a task: each of its windows is a segment with a shard of its own, by the hash of its words, and from each chunk it goes only for
+the chunk's least document (all others in the chunk are known to repeat). Both kinds are cut out of a text in one pass. So a shard is
+bounded by ``MOST_HOLDERS`` documents or has one text, and its segments by ``MOST_WINDOWS`` windows. Words, not hashes, decide: hashes only pick the shard.
 """
 
 from __future__ import annotations
@@ -177,7 +177,38 @@ def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "doc_id", "row"])
 
 
-SEGMENT = "key long, least long, words string, holders binary"
+SEGMENT = "key long, least long, words string, holders binary"  # without words, holders are finished spans
+
+
+def _segment_rows(key: list[int], least: list[int], words: list[bytes | None], holders: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for c in range(0, len(key), 1 << 13):
+        cut = slice(c, c + (1 << 13))
+        cols = [pa.array(key[cut], pa.int64()), pa.array(least[cut], pa.int64()), pa.array(words[cut], pa.binary()).cast(pa.string()), pa.array(holders[cut], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "least", "words", "holders"])
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _lone(held: dict[bytes, list], window: int) -> Iterator[pa.RecordBatch]:
+    """Windows of hot keys as segments: each for the chunk's least document, to meet the other chunks; for the chunk's other documents finished spans."""
+    from xxhash import xxh64_intdigest
+
+    items, done = [], []
+    for words, holders in held.items():
+        least = min(holders)[0]
+        items.append((_signed(xxh64_intdigest(words, 42)), least, words, np.array([h for h in holders if h[0] == least], "<i8").tobytes()))
+        done += [h for h in holders if h[0] != least]
+    joined: list[list[int]] = []
+    for d, r, s in sorted(done):  # neighbouring windows are one span
+        if joined and joined[-1][:2] == [d, r] and s <= joined[-1][3]:
+            joined[-1][3] = s + window
+        else:
+            joined.append([d, r, s, s + window])
+    items += [(r, d, None, np.array([d, r, a, b], "<i8").tobytes()) for d, r, a, b in joined]
+    if items:
+        yield from _segment_rows(*map(list, zip(*items, strict=True)))
 
 
 def _segments(window: int):
@@ -186,7 +217,8 @@ def _segments(window: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(it, "text", _CHUNK_BYTES):
             held: dict[tuple, list] = {}
-            for d, r, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            alone: dict[bytes, list] = {}
+            for d, r, t, want, lone in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 raw = t.encode()
                 keys = window_keys(raw, window)
                 hit = np.isin(keys.view(np.int64), np.array(want, np.int64))
@@ -197,63 +229,15 @@ def _segments(window: int):
                         for s in range(first, first + size, MOST_WINDOWS):
                             n = min(MOST_WINDOWS, first + size - s)
                             held.setdefault((int(keys[s].view(np.int64)), b" ".join(words[s : s + n + window - 1])), []).append((d, r, s))
-            items = list(held.items())
-            for c in range(0, len(items), 1 << 13):
-                part = items[c : c + (1 << 13)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([min(h)[0] for _, h in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.binary()).cast(pa.string()), pa.array([np.array(h, "<i8").tobytes() for _, h in part], pa.binary())],
-                    names=["key", "least", "words", "holders"],
-                )
+                if lone:
+                    for s in np.flatnonzero(np.isin(keys.view(np.int64), np.array(lone, np.int64))).tolist():
+                        alone.setdefault(b" ".join(words[s : s + window]), []).append((d, r, s))
+            yield from _segment_rows([k[0] for k in held], [min(h)[0] for h in held.values()], [k[1] for k in held], [np.array(h, "<i8").tobytes() for h in held.values()])
+            yield from _lone(alone, window)
 
     return run
 
 
-LONE = "words string, doc_id long, row long, a long, b long"  # a finished span has no words
-
-
-def _lone_windows(window: int):
-    """Windows of hot keys: those of each chunk's least document, to meet the other chunks; for the chunk's other documents finished spans."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(it, "text", _CHUNK_BYTES):
-            held: dict[bytes, list] = {}
-            for d, r, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                raw = t.encode()
-                words = raw.split()
-                for s in np.flatnonzero(np.isin(window_keys(raw, window).view(np.int64), np.array(want, np.int64))).tolist():
-                    held.setdefault(b" ".join(words[s : s + window]), []).append((d, r, s))
-            texts, open_, done = [], [], []
-            for words, holders in held.items():
-                least = min(holders)[0]
-                for h in holders:
-                    if h[0] == least:
-                        texts.append(words)
-                        open_.append(h)
-                    else:
-                        done.append(h)
-            joined: list[list[int]] = []
-            for d, r, s in sorted(done):  # neighbouring windows are one span
-                if joined and joined[-1][:2] == [d, r] and s <= joined[-1][3]:
-                    joined[-1][3] = s + window
-                else:
-                    joined.append([d, r, s, s + window])
-            rows = [(d, r, s, s + window) for d, r, s in open_] + joined
-            for c in range(0, len(rows), 1 << 14):
-                cols = zip(*rows[c : c + (1 << 14)], strict=True)
-                said = pa.array(texts[c : c + (1 << 14)] + [None] * (len(rows[c : c + (1 << 14)]) - len(texts[c : c + (1 << 14)])), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([said, *(pa.array(x, pa.int64()) for x in cols)], names=["words", "doc_id", "row", "a", "b"])
-
-    return run
-
-
-def _hot_spans(docs: DataFrame, window: int) -> DataFrame:
-    """The spans of hot keys' windows. ``docs``: (doc_id, row, text, want)."""
-    every = materialize(docs.mapInArrow(_lone_windows(window), LONE), "hot-windows")
-    met = every.filter("words is not null")
-    first = materialize(met.groupBy("words").agg(F.min("doc_id").alias("first")), "hot-firsts")
-    return met.join(first, "words").filter("first < doc_id").select("doc_id", "row", "a", "b").union(every.filter("words is null").select("doc_id", "row", "a", "b"))
-
-
 class Automaton:
     """Suffix automaton of word sequences; every state keeps the document whose sequence reached it first."""
 
@@ -355,6 +339,9 @@ def _spans(window: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard = None, _Shard(window)
         for b in it:
+            finished = b.filter(b.column(2).is_null()).column(3).to_pylist()
+            done = np.frombuffer(b"".join(finished), "<i8").reshape(-1, 4).T
+            b = b.filter(b.column(2).is_valid())
             found = []
             for k, least, words in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if k != key:
@@ -362,10 +349,10 @@ def _spans(window: int):
                 found.append(shard.firsts(words, least))
             holders = b.column(3).to_pylist()
             h = np.frombuffer(b"".join(holders), "<i8").reshape(-1, 3)
-            per = np.array([len(x) // 24 for x in holders])
+            per = np.array([len(x) // 24 for x in holders], np.int64)
             lo, hi, n = (np.repeat(np.array([f[c] for f in found], np.int64), per) for c in (0, 1, 3))
             whole = hi < h[:, 0]
-            out = [np.stack((h[whole, 0], h[whole, 1], h[whole, 2], h[whole, 2] + n[whole] + window - 1))]
+            out = [done, np.stack((h[whole, 0], h[whole, 1], h[whole, 2], h[whole, 2] + n[whole] + window - 1))]
             seg = np.repeat(np.arange(len(found)), per)
             for i in np.flatnonzero(~whole & (lo < h[:, 0])).tolist():
                 d, r, at = h[i].tolist()
@@ -389,19 +376,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = sketch.repartition(n, F.coalesce("at", F.xxhash64("key", "row"))).sortWithinPartitions("at", "doc_id")
     keys = materialize(dealt.mapInArrow(_repeated, "key long, doc_id long, row long"), "repeated-keys")
     hot = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_holders).select("key", F.lit(True).alias("hot")), "hot-keys")
-    none = hot.isEmpty()
-    marked = keys.withColumn("hot", F.lit(None).cast("boolean")) if none else keys.join(hot, "key", "left")
+    marked = keys.withColumn("hot", F.lit(None).cast("boolean")) if hot.isEmpty() else keys.join(hot, "key", "left")
     wanted = marked.groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("hot").isNull(), F.col("key"))).alias("want"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("lone"))
-    if none:
-        met = src.join(wanted, ["doc_id", "row"])
-    else:
-        wanted = materialize(wanted, "wanted-keys")
-        met = src.join(wanted.filter(F.size("want") > 0), ["doc_id", "row"])
-    segments = met.select("doc_id", "row", "text", "want").mapInArrow(_segments(window), SEGMENT)
-    spans = segments.repartition(n, "key").sortWithinPartitions("key", "least").mapInArrow(_spans(window), "doc_id long, row long, a long, b long")
-    if none:
-        return spans
-    return spans.union(_hot_spans(src.join(wanted.filter(F.size("lone") > 0), ["doc_id", "row"]).select("doc_id", "row", "text", F.col("lone").alias("want")), window))
+    segments = src.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "want", "lone").mapInArrow(_segments(window), SEGMENT)
+    return segments.repartition(n, "key").sortWithinPartitions("key", "least").mapInArrow(_spans(window), "doc_id long, row long, a long, b long")
 
 
 def _covered(n: int, spans: list) -> np.ndarray:

@@ -189,6 +189,16 @@ def test_substring_dedup_against_brute_force(spark, most):
     assert _got(df.limit(0), most_holders=most) == []
 
 
+def test_hot_and_other_keys_share_one_pass_over_the_texts(spark, monkeypatch):
+    """Texts go to their keys once, hot keys or not: no text of a hot key's windows is written or joined apart."""
+    docs = [(k, " ".join([f"c{i}" for i in range(20)] + [f"w{k // 2}x{i}" for i in range(30)])) for k in range(60)]
+    written, write = [], substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, label: written.append(label) or write(df, label))
+    got = _got(spark.createDataFrame(docs, DOCS).repartition(4), most_holders=10)
+    assert sorted(got) == sorted(slow_substring_dedup(docs))
+    assert written == ["repeated-keys", "hot-keys", "spans"]
+
+
 def test_a_hot_minimizer_fills_no_shard(spark):
     """A line that every document holds between words of its own: all its windows go one by one."""
     rng = random.Random(2)

@@ -96,8 +96,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         if not state[0]:
             break
-        new = materialize(_within_tasks(_star(_star(cur, True), False)), "edges")
-        discard(cur)
+        large = materialize(_star(cur, True), "edges")  # a small star reads it twice
+        new = materialize(_within_tasks(_star(large, False)), "edges")
+        discard(cur, large)
         cur, old = new, state
         state = _state(cur)
         if state == old:
